@@ -17,7 +17,7 @@ from stratafold.plans.training import CrossValidation, boosted_trees, cross_vali
 from stratafold.schema import (
     CATEGORICAL, ENCODED_STATS, ID, LABEL, NGRAM_SOURCES, NUMERIC, SERVICES, MatrixColumns, table_schema,
 )
-from stratafold.session import keep
+from stratafold.session import stage
 from stratafold.sources.subjects import subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,7 +266,7 @@ def group_residual(spark, sf_dir):
 
 def zscore_gap(spark, sf_dir):
     parts = cleaned(spark, sf_dir, ["TotalCharges", LABEL])
-    moments = pop.class_moments(parts["orig"], "TotalCharges", LABEL)
+    moments = pop.class_moments(parts["orig"], "TotalCharges", LABEL).first().asDict()
     df = pop.z_score_gap(_probes(parts), "TotalCharges", moments)
     return rounded(df, [ID], ["zscore_churn_gap_TC", "zscore_nonchurner_TC"])
 
@@ -274,7 +274,8 @@ def zscore_gap(spark, sf_dir):
 def quantile_distance(spark, sf_dir):
     parts = cleaned(spark, sf_dir, ["TotalCharges", LABEL])
     classes = {"ch": F.col(LABEL) == 1, "nc": F.col(LABEL) == 0}
-    profile = pop.value_profile("TotalCharges", parts["orig"], classes, list(classes))
+    ranked = {"TotalCharges": list(classes)}
+    profile = pop.value_profiles(parts["orig"], ["TotalCharges"], classes, ranked)["TotalCharges"]
     quartiles = pop.reference_quantiles(profile, {c: c for c in classes}).first().asDict()
     df = pop.quantile_distances(_probes(parts), "TotalCharges", quartiles)
     return rounded(df, [ID], [c for c in df.columns if c.startswith(("dist_To", "qdist"))])
@@ -351,7 +352,7 @@ def _matrices(spark, sf_dir, planted: bool = False):
         view = view.withColumn(LABEL, F.col("churn_planted"))
     else:
         view = clean.map_label(view, LABEL)
-    view = keep(view.drop("churn_planted"))
+    view = stage(view.drop("churn_planted"))
     parts = {s: view.where(F.col("split") == s).drop("split") for s in ("train", "test", "orig")}
     return build_feature_matrices(parts["train"], parts["test"].drop(LABEL), parts["orig"], LABEL)
 
@@ -369,7 +370,7 @@ def feature_matrix(spark, sf_dir):
 def fold_encoded_matrix(spark, sf_dir):
     """All features of the rows of one outer fold: training, held-out and test rows."""
     train, test, columns = _matrices(spark, sf_dir, planted=True)
-    rows = folds.stratified_folds(keep(train), LABEL, ID, FOLDS, SEED)
+    rows = stage(folds.stratified_folds(stage(train), LABEL, ID, FOLDS, SEED))
     fitted, valid, coded_test, features = encode_fold_features(
         rows.where(F.col("fold") != HELD_OUT).drop("fold"),
         rows.where(F.col("fold") == HELD_OUT).drop("fold"),
@@ -386,7 +387,7 @@ def fold_encoded_matrix(spark, sf_dir):
 
 
 def _fold_predictions(spark, sf_dir) -> list[DataFrame]:
-    rows = keep(folds.stratified_folds(
+    rows = stage(folds.stratified_folds(
         _labelled_train(spark, sf_dir, ["tenure"]), "churn_planted", ID, FOLDS, SEED
     ))
     return [

@@ -103,16 +103,17 @@ def apply_target_stats(
 ) -> DataFrame:
     """Add ``TE_<column>_<stat>`` read from the row's slot; a miss gets the prior or 0."""
     width = encodings.inner_folds + 1
-    added = {}
+    added = []
     for column, stats in wanted.items():
         for stat in stats:
-            place = slot + F.lit(encodings.stats.index(stat) * width)
-            fill = F.lit(encodings.prior if stat == "mean" else 0.0).cast("double")
-            added[f"TE_{column}_{stat}"] = as_feature(
-                F.coalesce(F.get(F.col(f"_found_{column}"), place), fill)
+            start = encodings.stats.index(stat) * width
+            fill = repr(float(encodings.prior)) if stat == "mean" else "0"
+            added.append(
+                f"cast(coalesce(get(`_found_{column}`, _slot + {start}), double('{fill}')) as float) "
+                f"AS `TE_{column}_{stat}`"
             )
-    found = encodings.numbers.find(rows, wanted, **options)
-    return found.withColumns(added).drop(*[f"_found_{c}" for c in wanted])
+    found = encodings.numbers.find(rows.withColumn("_slot", slot), wanted, **options)
+    return found.selectExpr(*[f"`{c}`" for c in rows.columns], *added)
 
 
 def fold_priors(rows: DataFrame, label: str, fold: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.operators.clean import is_numeric
 from stratafold.operators.lookup import lookup_join
-from stratafold.session import keep
+from stratafold.session import stage
 
 # A key column with at most this many values is looked up in a map literal, without a join.
 DICTIONARY_ROWS = 256
@@ -45,7 +45,7 @@ class KeyedNumbers:
 
     @classmethod
     def of(cls, table: DataFrame) -> KeyedNumbers:
-        table = keep(table)
+        table = stage(table)
         counted = table.groupBy("column").agg(F.count("value").alias("rows")).collect()
         sizes = {row["column"]: row["rows"] for row in counted}
         few = [c for c, rows in sizes.items() if rows <= DICTIONARY_ROWS]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stratafold.operators.prefix import counts_below, value_cells
-from stratafold.session import keep
+from stratafold.session import stage
 
 LOSS_CLIP = 1e-15
 
@@ -28,12 +28,12 @@ def fold_auc_summary(df: DataFrame, score: str, label: str, fold: str) -> DataFr
         F.concat(F.lit("Fold "), F.col(fold).cast("string")).alias("label"), score, "_pos", "_neg"
     )
     pooled = cells.groupBy(score).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    both = keep(named.unionByName(pooled.select(F.lit("Overall").alias("label"), score, "_pos", "_neg")))
+    both = stage(named.unionByName(pooled.select(F.lit("Overall").alias("label"), score, "_pos", "_neg")))
     return _area(counts_below(both, score, ["_neg"], ["label"]), ["label"])
 
 
 def _score_cells(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    return keep(value_cells(df, score, {"_pos": F.col(label) == 1, "_neg": F.col(label) == 0}, by))
+    return stage(value_cells(df, score, {"_pos": F.col(label) == 1, "_neg": F.col(label) == 0}, by))
 
 
 def _area(ranked: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from stratafold.operators.keyed import KeyedNumbers, lookup_text, unpivoted
 from stratafold.operators.lookup import lookup_join
 from stratafold.operators.prefix import bounds_of, counts_below, quantile_at, value_cells
 from stratafold.schema import UNSEEN_RATE
-from stratafold.session import keep
+from stratafold.session import stage
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 # A group column with at most this many values gets one counter per value in a shared pass.
@@ -43,7 +43,7 @@ def frequencies(tables: Sequence[DataFrame], column: str) -> DataFrame:
 def frequency_encode(df: DataFrame, tables: Sequence[DataFrame], column: str, **options) -> DataFrame:
     """Add ``FREQ_<column>``; a value that no table holds gets 0."""
     name = f"FREQ_{column}"
-    table = keep(frequencies(tables, column)).withColumnRenamed("share", name)
+    table = stage(frequencies(tables, column)).withColumnRenamed("share", name)
     joined = lookup_join(df, table, {"value": F.col(column).cast("double")}, **options)
     return joined.withColumn(name, as_feature(F.coalesce(name, F.lit(0.0))))
 
@@ -115,25 +115,33 @@ class ValueProfile:
         return F.col(f"{counter}_below") / F.lit(total) if total else F.lit(0.0)
 
 
-def value_profile(
-    column: str, population: DataFrame, counters: Mapping[str, Column], ranked: Sequence[str] = ()
-) -> ValueProfile:
-    """Count all conditions per distinct value in one pass, then rank the ``ranked`` counters.
+def value_profiles(
+    population: DataFrame, columns: Sequence[str], counters: Mapping[str, Column], ranked: Mapping[str, Sequence[str]]
+) -> dict[str, ValueProfile]:
+    """Count all conditions per distinct value of every column in one pass.
 
-    One driver action returns the totals, the number of distinct values and the bucket bounds.
+    ``ranked`` names, per column, the counters to rank. One driver action returns the totals, the
+    numbers of distinct values and the bucket bounds.
     """
-    values = population.withColumn("value", F.col(column).cast("double"))
-    cells = keep(value_cells(values, "value", counters))
+    flags = [condition.alias(f"_is_{name}") for name, condition in counters.items()]
+    numbers = [F.col(c).cast("double").alias(c) for c in columns]
+    long = population.select(*flags, *numbers).unpivot(
+        [f"_is_{name}" for name in counters], list(columns), "column", "value"
+    )
+    cells = stage(value_cells(long, "value", {n: F.col(f"_is_{n}") for n in counters}, ["column"]), "values")
     wanted = [F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(c) for c in counters]]
-    if ranked:
-        wanted.append(bounds_of("value", cells.sparkSession).alias("_bounds"))
-    found = cells.agg(*wanted).first()
-    totals = {c: int(found[c] or 0) for c in counters}
-    table = cells
-    if ranked:
-        bounds = sorted(set(found["_bounds"] or []))
-        table = keep(counts_below(cells, "value", list(ranked), bounds=bounds))
-    return ValueProfile(column, table, totals, int(found["_rows"]))
+    bounds = bounds_of("value", cells.sparkSession).alias("_bounds")
+    found = {row["column"]: row for row in cells.groupBy("column").agg(*wanted, bounds).collect()}
+    profiles = {}
+    for column in columns:
+        table = cells.where(F.col("column") == column).drop("column")
+        row = found.get(column)
+        totals = {c: int(row[c]) if row else 0 for c in counters}
+        if ranked.get(column):
+            cuts = sorted(set(row["_bounds"])) if row else []
+            table = stage(counts_below(table, "value", list(ranked[column]), bounds=cuts), "ranks")
+        profiles[column] = ValueProfile(column, table, totals, int(row["_rows"]) if row else 0)
+    return profiles
 
 
 def reference_quantiles(profile: ValueProfile, counters: Mapping[str, str]) -> DataFrame:
@@ -160,8 +168,8 @@ def quantile_distances(df: DataFrame, column: str, quantiles: Mapping[str, float
     return df.withColumns(near).withColumns(gaps)
 
 
-def class_moments(reference: DataFrame, column: str, label: str) -> dict[str, float | None]:
-    """Mean and population deviation of ``column`` in the positive and negative class."""
+def class_moments(reference: DataFrame, column: str, label: str) -> DataFrame:
+    """One row: mean and population deviation of ``column`` in both classes."""
     groups = {"ch": F.col(label) == 1, "nc": F.col(label) == 0}
     return reference.agg(
         *[
@@ -169,7 +177,7 @@ def class_moments(reference: DataFrame, column: str, label: str) -> dict[str, fl
             for name, test in groups.items()
             for stat, f in (("mean", F.avg), ("std", F.stddev_pop))
         ]
-    ).first().asDict()
+    )
 
 
 def z_score(value: Column, mean: float | None, deviation: float | None) -> Column:
@@ -217,7 +225,7 @@ def ecdf_against(
 
     pooled = narrow(reference, True).unionByName(narrow(df, False))
     names = list(subsets)
-    cells = keep(value_cells(pooled, "value", {n: F.col(f"_in_{n}") for n in names}, by))
+    cells = stage(value_cells(pooled, "value", {n: F.col(f"_in_{n}") for n in names}, by))
     ranked = counts_below(cells, "value", names, by)
     totals = cells.groupBy(*by).agg(*[F.sum(n).alias(f"_total_{n}") for n in names])
     sized = ranked.join(totals, by) if by else ranked.crossJoin(F.broadcast(totals))

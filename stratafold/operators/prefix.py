@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stratafold.session import keep, shuffle_width
+from stratafold.session import shuffle_width, stage
 
 _BUCKET = "_bucket"
 _MAX_BOUNDS = 8192
@@ -94,7 +94,7 @@ def exact_quantiles(
     df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact interpolated quantiles per group; no group is gathered in one task."""
-    cells = keep(value_cells(df, value, {"n": F.lit(True)}, by))
+    cells = stage(value_cells(df, value, {"n": F.lit(True)}, by))
     ranked = counts_below(cells, value, ["n"], by)
     totals = cells.groupBy(*by).agg(F.sum("n").alias("_total"))
     sized = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))

@@ -14,6 +14,7 @@ from stratafold.operators.lookup import lookup_join
 from stratafold.schema import CATEGORICAL, LABEL, NUMERIC, UNSEEN_RATE, MatrixColumns
 
 _TOTAL = "TotalCharges"
+_SOURCE = "_source"
 # Output name and group column of the ranks within a reference group.
 _GROUP_RANKS = {"cond_pctrank_IS_TC": "InternetService", "cond_pctrank_C_TC": "Contract"}
 
@@ -32,8 +33,7 @@ class Population:
     categories: pop.CategoryProfile
     values: dict[str, pop.ValueProfile]
     groups: dict[str, list[str] | None]
-    quartiles: dict[str, float | None]
-    moments: dict[str, float | None]
+    scalars: dict[str, float | None]
 
 
 def fit_population(train: DataFrame, test: DataFrame, reference: DataFrame, label: str) -> Population:
@@ -57,15 +57,10 @@ def fit_population(train: DataFrame, test: DataFrame, reference: DataFrame, labe
     for column, found in groups.items():
         for place, value in enumerate(found or []):
             ranked[f"{column}_{place}"] = inside & (F.col(column) == value)
-    values = {
-        column: pop.value_profile(
-            column, pooled, shared | (ranked if column == _TOTAL else {}), list(ranked) if column == _TOTAL else []
-        )
-        for column in NUMERIC
-    }
-    quartiles = pop.reference_quantiles(values[_TOTAL], {"ch": "ch", "nc": "nc"}).first().asDict()
-    moments = pop.class_moments(reference, _TOTAL, label)
-    return Population(reference, categories, values, groups, quartiles, moments)
+    values = pop.value_profiles(pooled, NUMERIC, shared | ranked, {_TOTAL: list(ranked)})
+    quartiles = pop.reference_quantiles(values[_TOTAL], {"ch": "ch", "nc": "nc"})
+    scalars = quartiles.crossJoin(pop.class_moments(reference, _TOTAL, label)).first().asDict()
+    return Population(reference, categories, values, groups, scalars)
 
 
 def _pool(train: DataFrame, test: DataFrame, reference: DataFrame, label: str) -> DataFrame:
@@ -104,8 +99,8 @@ def add_population_features(
     df = df.withColumn(
         "pctrank_churn_gap_TC", as_feature(F.col("pctrank_churner_TC") - F.col("pctrank_nonchurner_TC"))
     )
-    df = pop.z_score_gap(df, _TOTAL, fitted.moments)
-    return pop.quantile_distances(df, _TOTAL, fitted.quartiles)
+    df = pop.z_score_gap(df, _TOTAL, fitted.scalars)
+    return pop.quantile_distances(df, _TOTAL, fitted.scalars)
 
 
 def _add_value_features(df: DataFrame, fitted: Population, column: str, options: dict) -> DataFrame:
@@ -148,17 +143,21 @@ def build_feature_matrices(
     """Add all features to the training and the test table.
 
     Labels are 0/1 codes. ``options`` are passed to every lookup join (broadcast limit, spread
-    column). The tables are read several times; pass stored tables.
+    column). The tables are read several times; pass stored tables. Both outputs share one plan;
+    the filter on the source reaches the scans, so each reads its own table only.
     """
     filled = impute_medians({"train": train, "test": test, "reference": reference}, _TOTAL)
     fitted = fit_population(filled["train"], filled["test"], filled["reference"], target_col)
-
-    def features(df: DataFrame) -> DataFrame:
-        wide = add_population_features(df, fitted, options)
-        wide = row.service_features(row.ratio_features(wide))
-        for plan in (row.TENURE_DIGITS, row.MONTHLY_DIGITS, row.TOTAL_DIGITS):
-            wide = row.digit_features(wide, plan)
-        wide = row.numeric_keys(row.per_tenure_features(wide))
-        return row.ngram_keys(wide, row.all_ngram_groups())
-
-    return features(filled["train"]), features(filled["test"]), matrix_columns()
+    both = filled["train"].withColumn(_SOURCE, F.lit("train")).unionByName(
+        filled["test"].withColumn(_SOURCE, F.lit("test")), allowMissingColumns=True
+    )
+    wide = add_population_features(both, fitted, options)
+    wide = row.service_features(row.ratio_features(wide))
+    for plan in (row.TENURE_DIGITS, row.MONTHLY_DIGITS, row.TOTAL_DIGITS):
+        wide = row.digit_features(wide, plan)
+    wide = row.numeric_keys(row.per_tenure_features(wide))
+    wide = row.ngram_keys(wide, row.all_ngram_groups())
+    train_only = [c for c in train.columns if c not in test.columns]
+    train_features = wide.where(F.col(_SOURCE) == "train").drop(_SOURCE)
+    test_features = wide.where(F.col(_SOURCE) == "test").drop(_SOURCE, *train_only)
+    return train_features, test_features, matrix_columns()

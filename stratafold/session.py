@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,8 +20,6 @@ def local_session(cpus: int | str = 8, partitions: int | None = None, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        # the fold matrix is wider than the default 100-field limit of whole-stage codegen
-        .config("spark.sql.codegen.maxFields", "400")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -35,11 +32,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(initial or 0))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a derived table that several jobs read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,8 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+def stage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several jobs read to the shared folder and read it back.
+
+    This cuts the lineage: later plans start from files, hold no executor memory and survive the
+    loss of executors. The folder's owner decides how long its tables are kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
