@@ -40,6 +40,8 @@ def cleaned(spark: SparkSession, sf_dir: str, columns: list[str]) -> dict[str, D
     view = subjects(spark, sf_dir, sorted({ID, "split", *columns}))
     if LABEL in columns:
         view = clean.map_label(view, LABEL)
+    if set(columns) & set(SERVICES):
+        view = stage(view, "subjects")  # joined and aggregated once, read several times
     parts = {s: view.where(F.col("split") == s) for s in ("train", "test", "orig")}
     return clean.impute_medians(parts, "TotalCharges") if "TotalCharges" in columns else parts
 

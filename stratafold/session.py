@@ -20,6 +20,10 @@ def local_session(cpus: int | str = 8, partitions: int | None = None, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # small local files: let every core have a scan split and a shuffle partition
+        .config("spark.sql.files.minPartitionNum", str(width))
+        .config("spark.sql.files.openCostInBytes", "131072")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
