@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratafold.functions import clock_text, label_code
 from stratafold.operators import clean, encode, ensemble, folds, metrics
@@ -28,11 +28,8 @@ TE_NGRAMS = ["BG_Contract_PaymentMethod", "TG_Contract_InternetService_PaymentMe
 
 def rounded(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Keys and numbers at six decimals, so that engines can be compared."""
-    def six(name: str) -> Column:
-        value = F.col(name).cast("double")
-        return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value, 6)).alias(name)
-
-    return df.select(*keys, *[six(n) for n in names])
+    six = [f"floor(double(`{n}`) * 1000000D + 0.5D) / 1000000D AS `{n}`" for n in names]
+    return df.select(*keys, *[F.expr(text) for text in six])
 
 
 def cleaned(spark: SparkSession, sf_dir: str, columns: list[str]) -> dict[str, DataFrame]:
@@ -149,7 +146,7 @@ def log_loss(spark, sf_dir):
 def _oof_means(spark, sf_dir) -> DataFrame:
     """Training rows scored by the label mean of their contract in the other folds."""
     train = _labelled_train(spark, sf_dir, ["Contract"])
-    rows = folds.stratified_folds(train, "churn_planted", ID, FOLDS, SEED)
+    rows = stage(folds.stratified_folds(train, "churn_planted", ID, FOLDS, SEED), "folded")
     cells = encode.target_cells(rows, ["Contract"], "churn_planted", ["fold"])
     prior = rows.agg(F.avg("churn_planted")).first()[0]
     stats = encode.out_of_fold_stats(cells, "fold", FOLDS, prior, ["mean"])
@@ -312,10 +309,8 @@ def _ecdf_by(group: str, name: str) -> Query:
 def _te(spark, sf_dir, part: str) -> DataFrame:
     """Encodings of one held-out fold for its training, held-out or test rows."""
     sources = ["tenure", *NGRAM_SOURCES]
-    rows = row.ngram_keys(
-        row.numeric_keys(_nested(spark, sf_dir, [*sources, "MonthlyCharges", "TotalCharges"])),
-        row.all_ngram_groups(),
-    )
+    rows = stage(_nested(spark, sf_dir, [*sources, "MonthlyCharges", "TotalCharges"]), "folded")
+    rows = row.ngram_keys(row.numeric_keys(rows), row.all_ngram_groups())
     columns = MatrixColumns(TE_KEYS, TE_NGRAMS)
     cells = key_cells(rows, columns, "churn_planted", "inner_fold", INNER, "fold")
     prior = rows.where(F.col("fold") != HELD_OUT).agg(F.avg("churn_planted")).first()[0]
@@ -348,15 +343,14 @@ def smoothed_te(spark, sf_dir):
 # matrices ----------------------------------------------------------------------------------------
 
 
-def _matrices(spark, sf_dir, planted: bool = False):
+def _matrices(spark, sf_dir, fold: Callable[[DataFrame], DataFrame] | None = None):
+    """Feature matrices of the stored subjects. With ``fold``, on the planted label and folded rows."""
     view = subjects(spark, sf_dir)
-    if planted:
-        view = view.withColumn(LABEL, F.col("churn_planted"))
-    else:
-        view = clean.map_label(view, LABEL)
-    view = stage(view.drop("churn_planted"))
+    view = view.withColumn(LABEL, F.col("churn_planted")) if fold else clean.map_label(view, LABEL)
+    view = stage(view.drop("churn_planted"), "subjects")
     parts = {s: view.where(F.col("split") == s).drop("split") for s in ("train", "test", "orig")}
-    return build_feature_matrices(parts["train"], parts["test"].drop(LABEL), parts["orig"], LABEL)
+    train = stage(fold(parts["train"]), "folded") if fold else parts["train"]
+    return build_feature_matrices(train, parts["test"].drop(LABEL), parts["orig"], LABEL)
 
 
 def feature_matrix(spark, sf_dir):
@@ -371,8 +365,10 @@ def feature_matrix(spark, sf_dir):
 
 def fold_encoded_matrix(spark, sf_dir):
     """All features of the rows of one outer fold: training, held-out and test rows."""
-    train, test, columns = _matrices(spark, sf_dir, planted=True)
-    rows = stage(folds.stratified_folds(stage(train), LABEL, ID, FOLDS, SEED))
+    train, test, columns = _matrices(
+        spark, sf_dir, lambda df: folds.stratified_folds(df, LABEL, ID, FOLDS, SEED)
+    )
+    rows = stage(train, "train-features")
     fitted, valid, coded_test, features = encode_fold_features(
         rows.where(F.col("fold") != HELD_OUT).drop("fold"),
         rows.where(F.col("fold") == HELD_OUT).drop("fold"),
@@ -442,7 +438,9 @@ def _fitted(spark: SparkSession, sf_dir: str) -> CrossValidation:
     """One cross-validation per session and data folder, shared by the model queries."""
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _FITTED:
-        train, test, columns = _matrices(spark, sf_dir, planted=True)
+        train, test, columns = _matrices(
+            spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, 2, 3, SEED)
+        )
         _FITTED[place] = cross_validated_fit(
             train, test, columns, boosted_trees(rounds=3, depth=4, step=0.3), folds=2, inner_folds=3
         )

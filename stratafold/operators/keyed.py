@@ -60,6 +60,7 @@ class KeyedNumbers:
         Without ``dictionaries`` every lookup is a join.
         """
         literals = {}
+        options = {"population": df} | options
         for column in columns:
             name, key = f"_found_{column}", lookup_text(df, column)
             if not self.sizes.get(column):

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratafold.session import shuffle_width
+from stratafold.session import shuffle_width, stage
 
 # A lookup of this many rows (a key and a few numbers each) stays well below 100 MB.
 BROADCAST_ROWS = 200_000
@@ -19,12 +19,14 @@ def lookup_join(
     rows: int | None = None,
     spread: str = "id",
     broadcast_rows: int = BROADCAST_ROWS,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Add the non-key columns of ``table`` to ``df``; rows without a match get nulls.
 
     ``keys`` maps the key columns of ``table`` to expressions over ``df``. ``rows`` is the counted
     size of ``table`` if the caller knows it. Up to ``broadcast_rows`` the table is broadcast;
-    beyond, both sides are shuffled and hot keys are split over several partitions.
+    beyond, both sides are shuffled and hot keys are split over several partitions. They are
+    counted in ``population``: the rows of ``df`` before earlier joins, so as not to repeat these.
     """
     size = table.count() if rows is None else rows
     probes = df.withColumns({f"_probe_{name}": column for name, column in keys.items()})
@@ -32,7 +34,8 @@ def lookup_join(
     if size <= broadcast_rows:
         joined = probes.join(F.broadcast(sides), _match(keys), "left")
     else:
-        joined = _fanned_join(probes, sides, list(keys), spread)
+        hot = _hot_keys(df if population is None else population, keys)
+        joined = _fanned_join(probes, sides, hot, list(keys), spread)
     added = [c for c in table.columns if c not in keys]
     return joined.select(*df.columns, *added)
 
@@ -44,29 +47,32 @@ def _match(keys) -> Column:
     return matched
 
 
-def _fanned_join(probes: DataFrame, sides: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """Shuffle join in which a key gets as many partitions as it has partition loads of rows.
+def _hot_keys(population: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
+    """Keys with more than one even partition load of rows, and how many loads they have.
 
-    A hot key holds more than one even share of the probe rows, so there are at most as many hot
-    keys as shuffle partitions: that bounds the broadcast of ``hot``. Rows with a missing key
-    match nothing and are spread as well.
+    There are at most as many such keys as shuffle partitions, which bounds their broadcast.
+    """
+    width = shuffle_width(population.sparkSession)
+    named = population.select(*[column.alias(f"_hot_{name}") for name, column in keys.items()])
+    counted = named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("_n"))
+    total = population.agg(F.count(F.lit(1)).alias("_total"))
+    loads = F.ceil(F.col("_n") * width / F.col("_total")).cast("int")
+    hot = counted.dropna().crossJoin(F.broadcast(total)).where(F.col("_n") * width > F.col("_total"))
+    return stage(hot.select(*named.columns, loads.alias("_fan")), "hot-keys")
+
+
+def _fanned_join(
+    probes: DataFrame, sides: DataFrame, hot: DataFrame, keys: list[str], spread: str
+) -> DataFrame:
+    """Shuffle join in which a hot key gets as many partitions as it has loads of rows.
+
+    Its table row is repeated once per lane and its probe rows are dealt out to the lanes. Rows
+    with a missing key match nothing and are dealt out over all partitions.
     """
     width = shuffle_width(probes.sparkSession)
-    probe_keys = [f"_probe_{name}" for name in keys]
-    counted = probes.groupBy(*probe_keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = probes.agg(F.count(F.lit(1)).alias("_total"))
     missing = F.lit(False)
-    for name in probe_keys:
-        missing = missing | F.col(name).isNull()
-    hot = F.broadcast(
-        counted.where(~missing)
-        .crossJoin(F.broadcast(total))
-        .where(F.col("_n") * width > F.col("_total"))
-        .select(
-            *[F.col(f"_probe_{name}").alias(f"_hot_{name}") for name in keys],
-            F.ceil(F.col("_n") * width / F.col("_total")).alias("_fan"),
-        )
-    )
+    for name in keys:
+        missing = missing | F.col(f"_probe_{name}").isNull()
 
     def same(prefix: str) -> Column:
         matched = F.lit(True)
@@ -74,14 +80,12 @@ def _fanned_join(probes: DataFrame, sides: DataFrame, keys: list[str], spread: s
             matched = matched & (F.col(f"{prefix}{name}") == F.col(f"_hot_{name}"))
         return matched
 
-    lane = F.pmod(F.xxhash64(spread), F.when(missing, F.lit(width)).otherwise(F.col("_fan")))
-    left = probes.join(hot, same("_probe_"), "left").withColumn(
-        "_lane", F.coalesce(lane, F.lit(0)).cast("int")
+    lanes = F.when(missing, F.lit(width)).otherwise(F.coalesce("_fan", F.lit(1)))
+    left = probes.join(F.broadcast(hot), same("_probe_"), "left").withColumn(
+        "_lane", F.pmod(F.xxhash64(spread), lanes).cast("int")
     )
-    right = sides.join(hot, same("_side_"), "left").withColumn(
-        "_side_lane",
-        F.explode(F.sequence(F.lit(0), (F.coalesce(F.col("_fan"), F.lit(1)) - 1).cast("int"))),
+    right = sides.join(F.broadcast(hot), same("_side_"), "left").withColumn(
+        "_side_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
     )
-    drop = [f"_hot_{name}" for name in keys] + ["_fan"]
     matched = _match(keys) & (F.col("_lane") == F.col("_side_lane"))
-    return left.drop(*drop).join(right.drop(*drop), matched, "left")
+    return left.drop(*hot.columns).join(right.drop(*hot.columns), matched, "left")

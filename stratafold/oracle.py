@@ -16,8 +16,7 @@ _QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def six(expression: str, name: str) -> str:
-    value = f"CAST({expression} AS DOUBLE)"
-    return f'CASE WHEN {value} = 0 THEN 0.0 ELSE round({value}, 6) END AS "{name}"'
+    return f'floor(CAST({expression} AS DOUBLE) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS "{name}"'
 
 
 def single(expression: str) -> str:

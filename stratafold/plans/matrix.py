@@ -86,7 +86,7 @@ def add_population_features(
     df: DataFrame, fitted: Population, options: dict | None = None
 ) -> DataFrame:
     """Frequencies, reference rates, ranks, z-scores, residual and quartile distances."""
-    options = options or {}
+    options = {"population": df} | (options or {})
     for column in NUMERIC:
         df = _add_value_features(df, fitted, column, options)
     for name, group in _GROUP_RANKS.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from stratafold.operators.clean import map_label, require_columns, require_labels
+from stratafold.operators.folds import nested_folds
 from stratafold.plans.matrix import build_feature_matrices
 from stratafold.plans.runs import RunReport, next_run_number, stored_names
 from stratafold.plans.training import CrossValidation, cross_validated_fit
@@ -46,11 +47,11 @@ def run_pipeline(
     for name, df in raw.items():
         report.params({f"{name}_rows": df.count(), f"{name}_columns": len(df.columns)})
     report.params({"folds": folds, "inner_folds": inner_folds, "seed": seed})
+    train = stage(nested_folds(train, LABEL, ID, folds, inner_folds, seed), "train")
     train, test, columns = build_feature_matrices(train, raw["test"], reference, LABEL)
-    report.params({"train_features": len(train.columns), "test_features": len(test.columns)})
-    result = cross_validated_fit(
-        stage(train, "train-features"), test, columns, estimator, folds, inner_folds, seed
-    )
+    added = len({"fold", "inner_fold"})
+    report.params({"train_features": len(train.columns) - added, "test_features": len(test.columns)})
+    result = cross_validated_fit(train, test, columns, estimator, folds, inner_folds, seed)
     for place, model in enumerate(result.models):
         rounds = getattr(model, "getNumTrees", None)
         if rounds is not None:
