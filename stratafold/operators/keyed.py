@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.operators.clean import is_numeric
-from stratafold.operators.lookup import lookup_join
+from stratafold.operators.lookup import lookup_join, row_bytes
 from stratafold.session import stage
 
-# A key column with at most this many values is looked up in a map literal, without a join.
+# A key column within both limits is looked up in a map literal, without a join.
 DICTIONARY_ROWS = 256
+DICTIONARY_BYTES = 1 << 20
 
 
 def lookup_text(df: DataFrame, name: str) -> Column:
@@ -35,24 +36,28 @@ def unpivoted(df: DataFrame, columns: Iterable[str], others: Iterable[Column]) -
 class KeyedNumbers:
     """``table`` holds ``column``, ``value`` and an array ``numbers``, one row per pair.
 
-    ``sizes`` counts the values per column. Columns of at most ``DICTIONARY_ROWS`` values are
-    held in ``small`` as well: they are the only rows that reach the driver.
+    ``sizes`` and ``weights`` are the number of values and their bytes per column. Columns of few
+    and short values are held in ``small`` as well: they are the only rows on the driver.
     """
 
     table: DataFrame
     sizes: dict[str, int]
+    weights: dict[str, int]
     small: dict[str, dict[str, list[float | None]]]
 
     @classmethod
     def of(cls, table: DataFrame) -> KeyedNumbers:
-        table = stage(table)
-        counted = table.groupBy("column").agg(F.count("value").alias("rows")).collect()
+        table = stage(table, "lookups")
+        counted = table.groupBy("column").agg(
+            F.count("value").alias("rows"), F.sum(row_bytes(table)).alias("bytes")
+        ).collect()
         sizes = {row["column"]: row["rows"] for row in counted}
-        few = [c for c, rows in sizes.items() if rows <= DICTIONARY_ROWS]
+        weights = {row["column"]: row["bytes"] for row in counted}
+        few = [c for c in sizes if sizes[c] <= DICTIONARY_ROWS and weights[c] <= DICTIONARY_BYTES]
         small: dict[str, dict[str, list[float | None]]] = {c: {} for c in few}
         for row in table.where(F.col("column").isin(few)).collect():
             small[row["column"]][row["value"]] = row["numbers"]
-        return cls(table, sizes, small)
+        return cls(table, sizes, weights, small)
 
     def find(self, df: DataFrame, columns: Iterable[str], dictionaries: bool = True, **options) -> DataFrame:
         """Add ``_found_<column>``: the numbers of the row's value, null if there are none.
@@ -70,5 +75,5 @@ class KeyedNumbers:
                 literals[name] = F.try_element_at(F.from_json(F.lit(text), "map<string,array<double>>"), key)
             else:
                 table = self.table.where(F.col("column") == column).select("value", F.col("numbers").alias(name))
-                df = lookup_join(df, table, {"value": key}, rows=self.sizes[column], **options)
+                df = lookup_join(df, table, {"value": key}, size=self.weights[column], **options)
         return df.withColumns(literals) if literals else df

@@ -4,38 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratafold.session import shuffle_width, stage
 
-# A lookup of this many rows (a key and a few numbers each) stays well below 100 MB.
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+_ROW_BYTES = 32
+
+
+def row_bytes(table: DataFrame) -> Column:
+    """Estimated bytes of a row: texts and arrays by their length, other values by eight."""
+    size = F.lit(_ROW_BYTES).cast("bigint")
+    for cell in table.schema.fields:
+        if isinstance(cell.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(cell.name), F.lit(0))
+        elif isinstance(cell.dataType, T.ArrayType):
+            size = size + F.coalesce(F.size(cell.name), F.lit(0)) * 8
+        else:
+            size = size + 8
+    return size
 
 
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
     keys: Mapping[str, Column],
-    rows: int | None = None,
-    spread: str = "id",
-    broadcast_rows: int = BROADCAST_ROWS,
+    size: int | None = None,
+    spread: str | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
     population: DataFrame | None = None,
 ) -> DataFrame:
     """Add the non-key columns of ``table`` to ``df``; rows without a match get nulls.
 
-    ``keys`` maps the key columns of ``table`` to expressions over ``df``. ``rows`` is the counted
-    size of ``table`` if the caller knows it. Up to ``broadcast_rows`` the table is broadcast;
-    beyond, both sides are shuffled and hot keys are split over several partitions. They are
-    counted in ``population``: the rows of ``df`` before earlier joins, so as not to repeat these.
+    ``keys`` maps the key columns of ``table`` to expressions over ``df``. ``size`` is the measured
+    size of ``table`` in bytes if the caller knows it. Up to ``broadcast_bytes`` the table is
+    broadcast; beyond, both sides are shuffled and hot keys are split over several partitions.
+    These are counted in ``population``: the rows of ``df`` before earlier joins, so as not to
+    repeat them. Rows are split by the column ``spread`` or by all columns.
     """
-    size = table.count() if rows is None else rows
+    if size is None:
+        size = table.agg(F.sum(row_bytes(table))).first()[0] or 0
     probes = df.withColumns({f"_probe_{name}": column for name, column in keys.items()})
     sides = table.withColumnsRenamed({name: f"_side_{name}" for name in keys})
-    if size <= broadcast_rows:
+    if size <= broadcast_bytes:
         joined = probes.join(F.broadcast(sides), _match(keys), "left")
     else:
         hot = _hot_keys(df if population is None else population, keys)
-        joined = _fanned_join(probes, sides, hot, list(keys), spread)
+        joined = _fanned_join(probes, sides, hot, list(keys), [spread] if spread else df.columns)
     added = [c for c in table.columns if c not in keys]
     return joined.select(*df.columns, *added)
 
@@ -62,7 +77,7 @@ def _hot_keys(population: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
 
 
 def _fanned_join(
-    probes: DataFrame, sides: DataFrame, hot: DataFrame, keys: list[str], spread: str
+    probes: DataFrame, sides: DataFrame, hot: DataFrame, keys: list[str], spread: list[str]
 ) -> DataFrame:
     """Shuffle join in which a hot key gets as many partitions as it has loads of rows.
 
@@ -82,7 +97,7 @@ def _fanned_join(
 
     lanes = F.when(missing, F.lit(width)).otherwise(F.coalesce("_fan", F.lit(1)))
     left = probes.join(F.broadcast(hot), same("_probe_"), "left").withColumn(
-        "_lane", F.pmod(F.xxhash64(spread), lanes).cast("int")
+        "_lane", F.pmod(F.xxhash64(*spread), lanes).cast("int")
     )
     right = sides.join(F.broadcast(hot), same("_side_"), "left").withColumn(
         "_side_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))

@@ -242,5 +242,5 @@ def ecdf_against(
     keys = {"value": F.col(column).cast("double")}
     if group:
         keys["_group"] = lookup_text(df, group)
-    joined = lookup_join(df, table, keys, rows=cells.count(), **options)
+    joined = lookup_join(df, stage(table, "ranks"), keys, **options)
     return joined.withColumns({n: as_feature(F.coalesce(n, F.lit(0.0))) for n in names})

@@ -120,7 +120,9 @@ def _add_value_features(df: DataFrame, fitted: Population, column: str, options:
                 )
     looked_up = share | rate | ranks | per_group
     table = profile.table.select("value", *[c.alias(n) for n, c in looked_up.items()])
-    joined = lookup_join(df, table, {"value": F.col(column).cast("double")}, rows=profile.rows, **options)
+    numbers = 1 + len(share | rate | ranks) + sum(len(fitted.groups[_GROUP_RANKS[n]]) for n in per_group)
+    size = profile.rows * (32 + 8 * numbers)
+    joined = lookup_join(df, table, {"value": F.col(column).cast("double")}, size, **options)
     filled = {n: as_feature(F.coalesce(n, F.lit(0.0))) for n in (*share, *ranks)}
     filled |= {n: as_feature(F.coalesce(n, F.lit(UNSEEN_RATE))) for n in rate}
     for name, group in _GROUP_RANKS.items():

@@ -85,23 +85,23 @@ def test_auc_equals_the_evaluator(spark, people):
     assert got + turned == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_lookups_keep_every_row(spark, people, limit):
     rows, frame = people
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> '3'")
     table = table.unionByName(spark.createDataFrame([("unused", 5)], "k string, n long"))
-    got = lookup_join(rows, table, {"k": F.col("k")}, broadcast_rows=limit).toPandas()
+    got = lookup_join(rows, table, {"k": F.col("k")}, broadcast_bytes=limit).toPandas()
     counts = frame.k.value_counts().drop("3", errors="ignore")
     assert sorted(got.id) == sorted(frame.id)
     wanted = frame.set_index("id").k.map(counts)
     assert got.set_index("id").n.sort_index().fillna(-1).tolist() == wanted.sort_index().fillna(-1).tolist()
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_missing_and_hot_missing_keys_survive(spark, limit):
     rows = spark.range(400).withColumn("k", F.when(F.col("id") % 3 > 0, F.lit("h")))
     table = spark.createDataFrame([("h", 1.0), ("x", 2.0)], "k string, v double")
-    got = lookup_join(rows, table, {"k": F.col("k")}, broadcast_rows=limit)
+    got = lookup_join(rows, table, {"k": F.col("k")}, broadcast_bytes=limit)
     assert got.count() == 400
     assert got.agg(F.count("v")).first()[0] == rows.agg(F.count("k")).first()[0]
 
@@ -110,7 +110,7 @@ def test_hot_key_is_fanned_over_partitions(spark, partitions):
     partitions(8)
     rows = spark.range(4000).withColumn("k", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_join(rows, table, {"k": F.col("k")}, broadcast_rows=0)
+    joined = lookup_join(rows, table, {"k": F.col("k")}, broadcast_bytes=0)
     assert joined.count() == 4000 and joined.agg(F.max("n")).first()[0] == 1334
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_lane" in plan and "xxhash64" in plan
@@ -122,7 +122,7 @@ def test_dictionary_and_join_agree(spark, people):
         F.array(F.avg("y"), F.lit(None).cast("double")).alias("numbers")
     )
     keyed = KeyedNumbers.of(table)
-    ways = [keyed.find(rows, ["k"]), keyed.find(rows, ["k"], dictionaries=False), keyed.find(rows, ["k"], dictionaries=False, broadcast_rows=0)]
+    ways = [keyed.find(rows, ["k"]), keyed.find(rows, ["k"], dictionaries=False), keyed.find(rows, ["k"], dictionaries=False, broadcast_bytes=0)]
     first, *others = [sorted((r["id"], r["_found_k"]) for r in df.collect()) for df in ways]
     assert all(first == other for other in others) and all(v[1] is None for _, v in first)
 

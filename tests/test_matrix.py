@@ -41,7 +41,7 @@ def test_ranks_lie_in_the_unit_interval(matrices):
 
 
 def test_every_join_path_gives_the_same_matrix(tables, matrices):
-    shuffled, _, _ = build_feature_matrices(*tables, options={"broadcast_rows": 0})
+    shuffled, _, _ = build_feature_matrices(*tables, options={"broadcast_bytes": 0})
     first, second = (df.orderBy(ID).toPandas() for df in (matrices[0], shuffled))
     assert first.equals(second[first.columns])
 

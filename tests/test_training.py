@@ -69,10 +69,26 @@ def test_delimited_cells(spark, tmp_path):
     assert got[3]["gender"] == "a,b" and got[3]["MonthlyCharges"] is None and got[3]["tenure"] == 4
 
 
-def test_shared_folder_follows_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/some/where")
-    assert shared_dir(spark) == "/some/where"
-    spark.conf.unset("spark.checkpoint.dir")
-    if before:
-        spark.conf.set("spark.checkpoint.dir", before)
+class Session:
+    """As much of a session as the choice of the shared folder looks at."""
+
+    def __init__(self, master, named=None):
+        self.sparkContext, self.conf = self, self
+        self.master, self._named, self._own = master, named, None
+
+    def get(self, name, default):
+        return self._named if name == "spark.checkpoint.dir" and self._named else default
+
+    def getCheckpointDir(self):
+        return self._own
+
+    def setCheckpointDir(self, folder):
+        self._own = folder
+
+
+def test_shared_folder_follows_the_session():
+    assert shared_dir(Session("spark://host:7077", "/some/where")) == "/some/where"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("spark://host:7077"))
+    local = Session("local[2]")
+    assert shared_dir(local) == shared_dir(local) == local.getCheckpointDir()
