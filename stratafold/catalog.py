@@ -67,8 +67,8 @@ def label_null_check(spark, sf_dir):
 
 
 def class_profile(spark, sf_dir):
-    train = clean.map_label(subjects(spark, sf_dir, ["split", LABEL]).where("split = 'train'"), LABEL)
-    profile = clean.class_profile(train, LABEL).withColumn(LABEL, F.col(LABEL).cast("bigint"))
+    rows = clean.map_label(subjects(spark, sf_dir, [LABEL]), LABEL)
+    profile = clean.class_profile(rows, LABEL).withColumn(LABEL, F.col(LABEL).cast("bigint"))
     return rounded(profile, [LABEL, "n_rows"], ["share"])
 
 
@@ -96,18 +96,17 @@ def constant_fill(spark, sf_dir):
 # folds -------------------------------------------------------------------------------------------
 
 
-def _labelled_train(spark, sf_dir, columns=(), label="churn_planted") -> DataFrame:
-    view = subjects(spark, sf_dir, [*dict.fromkeys([ID, label, "split", *columns])])
-    return view.where("split = 'train'").drop("split")
+def _labelled(spark, sf_dir, columns=(), label="churn_planted") -> DataFrame:
+    return subjects(spark, sf_dir, [*dict.fromkeys([ID, label, *columns])])
 
 
 def stratified_folds(spark, sf_dir):
-    train = clean.map_label(_labelled_train(spark, sf_dir, label=LABEL), LABEL)
+    train = clean.map_label(_labelled(spark, sf_dir, label=LABEL), LABEL)
     return folds.stratified_folds(train, LABEL, ID, FOLDS, SEED).select(ID, F.col("fold").cast("bigint").alias("fold"))
 
 
 def _nested(spark, sf_dir, columns=()) -> DataFrame:
-    train = _labelled_train(spark, sf_dir, columns)
+    train = _labelled(spark, sf_dir, columns)
     return folds.nested_folds(train, "churn_planted", ID, FOLDS, INNER, SEED)
 
 
@@ -144,8 +143,8 @@ def log_loss(spark, sf_dir):
 
 
 def _oof_means(spark, sf_dir) -> DataFrame:
-    """Training rows scored by the label mean of their contract in the other folds."""
-    train = _labelled_train(spark, sf_dir, ["Contract"])
+    """Rows scored by the label mean of their contract in the other folds."""
+    train = _labelled(spark, sf_dir, ["Contract"])
     rows = stage(folds.stratified_folds(train, "churn_planted", ID, FOLDS, SEED), "folded")
     cells = encode.target_cells(rows, ["Contract"], "churn_planted", ["fold"])
     prior = rows.agg(F.avg("churn_planted")).first()[0]
@@ -160,7 +159,7 @@ def oof_target_mean_auc(spark, sf_dir):
 
 def fold_auc_summary(spark, sf_dir):
     rows = folds.stratified_folds(
-        _labelled_train(spark, sf_dir, ["MonthlyCharges"]), "churn_planted", ID, FOLDS, SEED
+        _labelled(spark, sf_dir, ["MonthlyCharges"]), "churn_planted", ID, FOLDS, SEED
     )
     return rounded(metrics.fold_auc_summary(rows, "MonthlyCharges", "churn_planted", "fold"), ["label"], ["auc"])
 
@@ -309,7 +308,8 @@ def _ecdf_by(group: str, name: str) -> Query:
 def _te(spark, sf_dir, part: str) -> DataFrame:
     """Encodings of one held-out fold for its training, held-out or test rows."""
     sources = ["tenure", *NGRAM_SOURCES]
-    rows = stage(_nested(spark, sf_dir, [*sources, "MonthlyCharges", "TotalCharges"]), "folded")
+    train = _labelled(spark, sf_dir, ["split", *sources, "MonthlyCharges", "TotalCharges"]).where("split = 'train'")
+    rows = stage(folds.nested_folds(train, "churn_planted", ID, FOLDS, INNER, SEED), "folded")
     rows = row.ngram_keys(row.numeric_keys(rows), row.all_ngram_groups())
     columns = MatrixColumns(TE_KEYS, TE_NGRAMS)
     cells = key_cells(rows, columns, "churn_planted", "inner_fold", INNER, "fold")
@@ -386,7 +386,7 @@ def fold_encoded_matrix(spark, sf_dir):
 
 def _fold_predictions(spark, sf_dir) -> list[DataFrame]:
     rows = stage(folds.stratified_folds(
-        _labelled_train(spark, sf_dir, ["tenure"]), "churn_planted", ID, FOLDS, SEED
+        _labelled(spark, sf_dir, ["tenure"]), "churn_planted", ID, FOLDS, SEED
     ))
     return [
         rows.where(F.col("fold") == k).select(ID, "fold", (F.col("tenure") / (80.0 + k)).alias("oof_pred"))

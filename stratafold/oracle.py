@@ -65,7 +65,8 @@ def folds_cte(name: str, source: str, label: str, count: int, fold: str, where:
     )
 
 
-_FOLDED = folds_cte("folded", "filled", "churn_planted", FOLDS, "fold", "split = 'train'")
+_FOLDED = folds_cte("folded", "filled", "churn_planted", FOLDS, "fold")
+_FOLDED_TRAIN = folds_cte("folded", "filled", "churn_planted", FOLDS, "fold", "split = 'train'")
 _NESTED = (
     "nested AS (SELECT *, (row_number() OVER (ORDER BY churn_planted, fold, "
     f"md5(CAST(id AS VARCHAR) || '#{SEED}'), id) - 1) % {INNER} AS inner_fold FROM folded)"
@@ -308,7 +309,7 @@ def te_joins(keys: dict[str, tuple[str, list[str]]], slot: str) -> str:
 def te_queries() -> dict[str, str]:
     sources = CAT_KEYS | NGRAMS | {c: f'"{c}"' for c in CATEGORICAL}
     keys = {k: (sources[k], ENCODED_STATS) for k in TE_KEYS} | {k: (sources[k], ["mean"]) for k in TE_NGRAMS}
-    ctes = [_FOLDED, _NESTED, "training AS (SELECT *, churn_planted AS y FROM nested)", *te_ctes("training", keys)]
+    ctes = [_FOLDED_TRAIN, _NESTED, "training AS (SELECT *, churn_planted AS y FROM nested)", *te_ctes("training", keys)]
     columns = columns_of(te_columns(keys))
     return {
         "nested_te_train": with_base(
@@ -381,7 +382,7 @@ def oracle() -> dict[str, str]:
         "class_profile": with_base(
             'SELECT CAST("Churn" AS BIGINT) AS "Churn", count(*) AS n_rows, '
             + six("count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)", "share")
-            + " FROM filled WHERE split = 'train' GROUP BY \"Churn\""
+            + ' FROM filled GROUP BY "Churn"'
         ),
         "table_shape": from_view(
             "SELECT split AS table_name, count(*) AS n_rows, CAST(CASE WHEN split = 'test' THEN 20 ELSE 21 END AS BIGINT) "
@@ -399,7 +400,7 @@ def oracle() -> dict[str, str]:
         ),
         "stratified_folds": with_base(
             "SELECT id, CAST(fold AS BIGINT) AS fold FROM folded",
-            folds_cte("folded", "filled", '"Churn"', FOLDS, "fold", "split = 'train'"),
+            folds_cte("folded", "filled", '"Churn"', FOLDS, "fold"),
         ),
         "nested_folds": with_base(
             "SELECT id, CAST(fold AS BIGINT) AS fold, CAST(inner_fold AS BIGINT) AS inner_fold FROM nested", _FOLDED, _NESTED
