@@ -156,3 +156,11 @@ class SmoothedTargetModel:
         return found.withColumns(
             {c: F.coalesce(mean, F.lit(self.prior)) for c, mean in means.items()}
         ).drop(*[f"_found_{c}" for c in self.columns])
+
+
+def smoothed_pair(
+    train: DataFrame, other: DataFrame, columns: Sequence[str], label: str, **settings
+) -> tuple[DataFrame, DataFrame]:
+    """Fit on ``train`` and replace the columns of both tables by their smoothed means."""
+    model = SmoothedTargetEncoder(list(columns), **settings).fit(train, label)
+    return model.transform(train), model.transform(other)

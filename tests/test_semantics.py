@@ -194,6 +194,8 @@ def test_smoothed_means(spark):
     weight = 1 / (1 + math.exp(-2))
     wanted = [weight + (1 - weight) * 0.6, 0.3, 0.6, 0.6]
     assert column(model.transform(rows), "k") == pytest.approx(wanted)
+    learned, other = encode.smoothed_pair(df, rows, ["k"], "y", min_samples_leaf=1.0, smoothing=1.0)
+    assert column(other, "k") == pytest.approx(wanted) and learned.count() == 5
 
 
 def test_schema_profile(spark):
