@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, warc
+from stratafold.llm import bpe, decontaminate, line_quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,12 +27,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), wanted)
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     wanted = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return warc.read_records(spark, archive).select(*wanted)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", named, "contaminated")
+
+
 def registered() -> dict[str, Query]:
-    named = [op2_bpe, op5_warc]
+    named = [op2_bpe, op4_line_quality, op5_warc, op6_decontaminate]
     return {query.__name__: query for query in named}

@@ -17,5 +17,84 @@ FROM p LEFT JOIN r ON p.html = r.html
 """
 
 
+QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 9)
+), again AS (
+  SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), covered AS (
+  SELECT r, sum(least(8, coalesce(lead_i - i, 8))) AS n FROM (
+    SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS lead_i FROM again) GROUP BY r
+), dup AS (
+  SELECT r, sum(n - 1) AS n FROM (
+    SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r
+), base AS (
+  SELECT d.r, doc_id, source, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dup ON d.r = dup.r LEFT JOIN covered ON d.r = covered.r
+), norm AS (
+  SELECT r, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'),
+    '[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM base
+), line AS (
+  SELECT r, source, ls[i] AS h, CASE WHEN i > 1 THEN ls[i - 1] END AS before, ls[i + 1] AS after
+  FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM norm)
+), host AS (
+  SELECT source, count(*) AS docs FROM base GROUP BY source
+), common AS (
+  SELECT l.source, l.h, count(DISTINCT l.r) AS n FROM line l GROUP BY l.source, l.h
+), tmpl AS (
+  SELECT c.source, c.h FROM common c JOIN host ON c.source IS NOT DISTINCT FROM host.source
+  JOIN (SELECT source, h, max(same) AS same FROM (
+    SELECT source, h, before, after, count(*) AS same FROM line GROUP BY ALL) GROUP BY source, h) m
+    ON c.source IS NOT DISTINCT FROM m.source AND c.h = m.h
+  WHERE c.n >= 10 AND c.n >= 0.02 * docs AND same <= 0.15 * c.n
+), gone AS (
+  SELECT r, sum(length(line.h) - length(replace(line.h, ' ', '')) + 1)::BIGINT AS n_template_words
+  FROM line JOIN tmpl ON line.source IS NOT DISTINCT FROM tmpl.source AND line.h = tmpl.h GROUP BY r
+), judged AS (
+  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    coalesce(n_template_words, 0)::BIGINT AS n_template_words FROM base LEFT JOIN gone ON base.r = gone.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - n_template_words >= 0.3 * n_words AS kept, n_template_words FROM judged
+"""
+
+
+CONTAMINATION = r"""
+WITH up AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), item AS (
+  SELECT item_id, ws, least(len(ws), 13) AS k FROM (SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0
+), gram AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+  FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM item)
+), win AS (
+  SELECT r, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+  FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM up, (SELECT DISTINCT k FROM gram) WHERE len(ws) >= k)
+), met AS (
+  SELECT r, win.k, i, item_id FROM win JOIN gram ON win.g = gram.g AND win.k = gram.k
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM met GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM up LEFT JOIN hit ON up.r = hit.r LEFT JOIN named ON up.r = named.r
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op5_warc": WARC}
+    return {"op4_line_quality": QUALITY, "op5_warc": WARC, "op6_decontaminate": CONTAMINATION}
