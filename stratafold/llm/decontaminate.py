@@ -50,7 +50,9 @@ def window_hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     found = []
     for block in range(blocks):
         part = windows.where(F.pmod("h", F.lit(blocks)) == block)
-        scanned = hashed.select(key, "mark", "n_words", "w", F.posexplode("hashes").alias("place", "hash"))
+        # never empty; the outer form keeps the optimizer from testing the array's size below the scan,
+        # which would compute it a second time
+        scanned = hashed.select(key, "mark", "n_words", "w", F.posexplode_outer("hashes").alias("place", "hash"))
         met = scanned.join(F.broadcast(part), F.col("hash") == F.col("h"), "left")
         start = F.col("place") - _offset(widths)
         same = F.array_join(F.slice("w", start, F.col("width")), " ") == F.col("gram")
