@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stratafold.llm.licenses import PHRASES, TEMPLATES
+
 WARC = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
@@ -96,5 +98,46 @@ FROM up LEFT JOIN hit ON up.r = hit.r LEFT JOIN named ON up.r = named.r
 """
 
 
+LICENSES = r"""
+WITH t AS (SELECT * FROM (VALUES {templates}) v(label, own)),
+tpl AS (SELECT label, list_distinct(string_split(own, ' ')) AS own FROM t),
+phrase AS (SELECT * FROM (VALUES {phrases}) v(label, g)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d
+), base AS (
+  SELECT r, label, i FROM (
+    SELECT r, ws, label, g, len(string_split(g, ' ')) AS k, unnest(range(1, len(ws) - len(string_split(g, ' ')) + 2)) AS i
+    FROM w, phrase WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || g || ' '))
+  WHERE array_to_string(list_slice(ws, i, i + k - 1), ' ') = g
+), b AS (
+  SELECT r, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM base GROUP BY r
+), block AS (
+  SELECT r, list_distinct(list_filter(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS held
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+), near AS (
+  SELECT r, label, len(list_intersect(own, held)) / len(own) AS c FROM block, tpl
+  WHERE len(list_intersect(own, held)) >= 0.8 * len(own)
+), m AS (
+  SELECT r, max(c) AS c FROM near GROUP BY r
+), every AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (
+    SELECT r, label FROM near UNION ALL SELECT r, label FROM base) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word,
+  b.z::BIGINT AS last_word, coalesce(b.ls, '') AS base_labels, coalesce(every.ls, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.c, 0)::DOUBLE END AS score
+FROM w LEFT JOIN b ON w.r = b.r LEFT JOIN m ON w.r = m.r LEFT JOIN every ON w.r = every.r
+"""
+
+
+def _licenses() -> str:
+    listed = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    phrases = listed((label, phrase) for phrase, label in PHRASES)
+    return LICENSES.replace("{templates}", listed(TEMPLATES)).replace("{phrases}", phrases)
+
+
 def oracle() -> dict[str, str]:
-    return {"op4_line_quality": QUALITY, "op5_warc": WARC, "op6_decontaminate": CONTAMINATION}
+    return {"op4_line_quality": QUALITY, "op5_warc": WARC, "op6_decontaminate": CONTAMINATION, "op9_licenses": _licenses()}
