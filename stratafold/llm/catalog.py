@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, decontaminate, licenses, line_quality, warc
+from stratafold.llm import bpe, decontaminate, licenses, line_quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,10 +43,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", named, "contaminated")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Query]:
-    named = [op2_bpe, op4_line_quality, op5_warc, op6_decontaminate, op9_licenses]
+    named = [op2_bpe, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
     return {query.__name__: query for query in named}
