@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, decontaminate, licenses, line_quality, secrets, warc
+from stratafold.llm import bpe, decontaminate, licenses, line_quality, main_text, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), wanted)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_verdicts(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    named = [op2_bpe, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
+    named = [op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
     return {query.__name__: query for query in named}
