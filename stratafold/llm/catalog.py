@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, decontaminate, licenses, line_quality, main_text, secrets, warc
+from stratafold.llm import bpe, decontaminate, language_id, licenses, line_quality, main_text, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.train(documents))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ("n_tokens", "ids_sha256", "decoded_sha256")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), wanted)
@@ -56,5 +61,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    named = [op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
+    named = [op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
     return {query.__name__: query for query in named}
