@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, decontaminate, language_id, licenses, line_quality, main_text, secrets, warc
+from stratafold.llm import bpe, decontaminate, language_id, licenses, line_quality, main_text, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def registered() -> dict[str, Query]:
-    named = [op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses]
+    named = [op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op8_secrets, op9_licenses, op10_toxicity]
     return {query.__name__: query for query in named}

@@ -43,32 +43,41 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes, inside: np.ndarray) -> np.ndarray:
     """Hash of every word of a UTF-8 text in order; ``inside`` tells which bytes belong to words."""
+    return word_and_start_hashes(text, inside, ())[0]
+
+
+def word_and_start_hashes(text: bytes, inside: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the words, then for each length those of the words' first bytes, for longer words."""
     whole = np.frombuffer(text, np.uint8)
     if len(whole) <= SLICE:
-        return _slice_hashes(whole, inside)
+        return _slice_hashes(whole, inside, lengths)
     parts, at = [], 0
     while at < len(whole):
         end = min(len(whole), at + SLICE)
         while end < len(whole) and inside[whole[end]] and inside[whole[end - 1]]:
             ahead = np.flatnonzero(~inside[whole[end : end + SLICE]])
             end = end + int(ahead[0]) if len(ahead) else min(len(whole), end + SLICE)
-        parts.append(_slice_hashes(whole[at:end], inside))
+        parts.append(_slice_hashes(whole[at:end], inside, lengths))
         at = end
-    return np.concatenate(parts)
+    return [np.concatenate(kind) for kind in zip(*parts)]
 
 
-def _slice_hashes(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+def _slice_hashes(data: np.ndarray, inside: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     flags = np.zeros(len(data) + 2, np.int8)
     flags[1:-1] = inside[data]
     steps = np.diff(flags)
     starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return [np.empty(0, np.uint64) for _ in range(1 + len(lengths))]
     powers, inverses = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTERS[data] * powers[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _BASE)
+    sizes = ends - starts
+    made = [mix((sums[ends] - sums[starts]) * inverses[starts] + sizes.astype(np.uint64) * _BASE)]
+    for length in lengths:
+        at = starts[sizes > length]
+        made.append(mix((sums[at + length] - sums[at]) * inverses[at] + np.uint64(3 * length + 1)))
+    return made
 
 
 def joined(first: np.ndarray, *others: np.ndarray) -> np.ndarray:
