@@ -13,10 +13,10 @@ _ROW_BYTES = 32
 
 
 def row_bytes(table: DataFrame) -> Column:
-    """Estimated bytes of a row: texts and arrays by their length, other values by eight."""
+    """Estimated bytes of a row: texts, bytes and arrays by their length, other values by eight."""
     size = F.lit(_ROW_BYTES).cast("bigint")
     for cell in table.schema.fields:
-        if isinstance(cell.dataType, T.StringType):
+        if isinstance(cell.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(cell.name), F.lit(0))
         elif isinstance(cell.dataType, T.ArrayType):
             size = size + F.coalesce(F.size(cell.name), F.lit(0)) * 8
