@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratafold.llm.tokens import RAW_BREAKS, words
+from stratafold.llm.tokens import RAW_BREAKS, RAW_WORD, words
 from stratafold.operators.lookup import lookup_join, row_bytes
 from stratafold.session import stage
 
@@ -128,13 +128,11 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     before."""
     found = contamination(df, benchmark, key, text).where("n_hit > 0").select(key, "mark", F.col("spans").alias("_spans"))
     judged = _judged(df, found, key, text)
-    raw = f"array_remove(split(`{text}`, r'{RAW_BREAKS}'), '')"
-    cut = F.expr(f"""
-    array_join(transform(filter(
-      arrays_zip(
-        slice(split(`{text}`, r'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), 1, size({raw})) AS gap,
-        {raw} AS word, sequence(0, size({raw}) - 1) AS i),
-      x -> NOT exists(_spans, s -> x.i >= s.start AND x.i < s.past)), x -> concat(x.gap, x.word)), '')""")
+    raw = F.array_remove(F.split(F.col(text), RAW_BREAKS), "")
+    gaps = F.slice(F.split(F.col(text), RAW_WORD), F.lit(1), F.size(raw))
+    pieces = F.zip_with(gaps, raw, lambda gap, word: F.concat(gap, word))
+    spared = lambda piece, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["past"]))
+    cut = F.array_join(F.filter(pieces, spared), "")
     tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
     cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(cut, tail))
     return judged.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -86,7 +86,8 @@ def train(df: DataFrame, text: str = "text", settings: MarkovSettings = MarkovSe
     """Log-likelihood ratios of all character pairs, row by row of the first character.
 
     Labelled samples come from the documents: values found by the base patterns are random strings,
-    the other tokens of at least eight characters are ordinary. The fit takes a bounded sample of
+    other tokens of at least eight characters are ordinary if they stand in two documents or more (those of
+    one document only may be random and are left out). Every distinct token counts once. The fit takes a bounded sample of
     documents by text hash. Counts are at most ``2 * len(ALPHABET) ** 2`` rows. Without any sample
     the ratio compares the uniform distribution with itself and finds nothing.
     """
@@ -102,8 +103,9 @@ def train(df: DataFrame, text: str = "text", settings: MarkovSettings = MarkovSe
     plain = F.regexp_extract_all(rest, F.lit(LEARNED_TOKEN), F.lit(0))
     labelled = chosen.select(F.explode(F.array(
         F.struct(F.lit(1).alias("label"), F.filter(found, lambda v: F.length(v) >= LEAST_ASSIGNED).alias("tokens")),
-        F.struct(F.lit(0).alias("label"), plain.alias("tokens")),
+        F.struct(F.lit(0).alias("label"), F.array_distinct(plain).alias("tokens")),
     )).alias("s")).select("s.label", F.explode("s.tokens").alias("token"))
+    labelled = labelled.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).where("label = 1 OR n > 1")
     coded = labelled.select("label", _codes(F.col("token")).alias("c"))
     pairs = coded.select("label", F.explode(F.arrays_zip(
         F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b")
@@ -112,15 +114,24 @@ def train(df: DataFrame, text: str = "text", settings: MarkovSettings = MarkovSe
     return _ratios(counts, settings.uniform)
 
 
-def _ratios(counts: dict[tuple[int, int, int], int], uniform: float) -> list[float]:
+def _ratios(counts: dict[tuple[int, int, int], int], uniform: float, prior: float = 4.0) -> list[float]:
+    """Pairs are smoothed by ``prior`` characters of the model's own frequencies, these by one of the
+    uniform distribution; the model of random strings is mixed with the uniform distribution."""
     even = 1.0 / _SIZE
-    table = []
-    for a in range(_SIZE):
-        sums = [sum(counts.get((label, a, b), 0) for b in range(_SIZE)) for label in (0, 1)]
-        for b in range(_SIZE):
-            likely = [(counts.get((label, a, b), 0) + even) / (sums[label] + 1) for label in (0, 1)]
-            table.append(math.log((uniform * even + (1 - uniform) * likely[1]) / likely[0]))
-    return table
+    follow, sums, totals = {}, {}, [0, 0]
+    for (label, a, b), n in counts.items():
+        follow[label, b] = follow.get((label, b), 0) + n
+        sums[label, a] = sums.get((label, a), 0) + n
+        totals[label] += n
+
+    def likely(label: int, a: int, b: int) -> float:
+        single = (follow.get((label, b), 0) + even) / (totals[label] + 1)
+        return (counts.get((label, a, b), 0) + prior * single) / (sums.get((label, a), 0) + prior)
+
+    return [
+        math.log((uniform * even + (1 - uniform) * likely(1, a, b)) / likely(0, a, b))
+        for a in range(_SIZE) for b in range(_SIZE)
+    ]
 
 
 def _mean_ratio(token: Column, table: list[float]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 # fixed values: what separates such words once A-Z are lower case, and before
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters that lower() would change although they are not A-Z, and unassigned ones to be safe.
 _OTHER_CAPITALS = r"[[^\x00-\x7F]&&[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}]]"
