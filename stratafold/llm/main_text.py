@@ -5,8 +5,8 @@ per host, the pages that hold it. The second deletes the subtrees that recur acr
 their host, and those whose tag or class says that they are no article, and joins the blocks that
 are left.
 
-Articles can be copies of each other, so inside an article (or main) element only subtrees that hold
-no paragraph or heading, or that are named as boilerplate, are compared with the host's other pages.
+Articles can be copies of each other, so inside an article (or main) element only subtrees without
+running text are compared with the host's other pages, and what holds an article is never compared.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ NAMED = {
     "promo", "promoted", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies"}
 ARTICLE = {"article", "main"}
 #: Elements of running text; a subtree inside an article that holds one is never template.
 RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figure", *ARTICLE}
@@ -78,12 +79,13 @@ class TemplateLimits:
 class Node:
     """An open or closed element: its name, role and what it holds (texts and elements)."""
 
-    __slots__ = ("name", "mark", "parts", "boilerplate", "plain")
+    __slots__ = ("name", "mark", "parts", "boilerplate", "plain", "article")
 
     def __init__(self, name: str, mark: str, boilerplate: bool):
         self.name, self.mark, self.boilerplate = name, mark, boilerplate
         self.parts: list = []
-        self.plain = True  # holds no paragraph, heading or article
+        self.plain = name not in RUNNING  # holds no running text
+        self.article = name in ARTICLE  # is or holds an article
 
     def digest(self, wanted: list | None = None, inside: bool = False) -> bytes:
         """Hash of the subtree. ``wanted`` collects (node, hash) of those that may be template."""
@@ -95,23 +97,25 @@ class Node:
             else:
                 summary.update(b"\x01" + part.digest(wanted, inside))
                 self.plain = self.plain and part.plain
-        if self.name in RUNNING:
-            self.plain = False
+                self.article = self.article or part.article
         found = summary.digest()
-        if wanted is not None and self.name not in INLINE and (self.plain or not inside) and self.name not in ARTICLE:
+        frame = self.name in INLINE or self.name in {"#page", "html", "body"} or self.article
+        if wanted is not None and not frame and (self.plain or not inside):
             wanted.append((self, found))
         return found
 
 
-def _named(attributes: str) -> bool:
+def _named(attributes: str, words: set[str] = NAMED) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if words is not NAMED and name not in {"class", "id", "role"}:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        elif not NAMED.isdisjoint(_WORD.findall(value)):
+        elif not words.isdisjoint(_WORD.findall(value)):
             return True
     return False
 
@@ -144,8 +148,9 @@ def parse(html: str) -> Node:
         named = bool(attributes) and name not in {"html", "body"} and _named(attributes)
         node = Node(name, name + " " + attributes, name in DROPPED or named)
         if name in ARTICLE and not named and not has_article:
-            has_article = True  # what holds the first article is no boilerplate, whatever its class says
-            for holder in open_nodes:
+            # what holds the first article is no boilerplate, whatever its class says, but for comments
+            has_article = not any(_named(holder.mark, COMMENTS) for holder in open_nodes)
+            for holder in open_nodes if has_article else ():
                 holder.boilerplate = holder.name in DROPPED
         open_nodes[-1].parts.append(node)
         if name in RAW:
@@ -188,7 +193,7 @@ def blocks(root: Node, deleted: set[int]) -> list[str]:
                 everything[-1][1].append(part)
             elif part.name == "br":
                 everything[-1][1].append(" ")
-            else:
+            elif part.name not in RAW:
                 walk(part, inside)
                 if part.name not in INLINE:
                     everything.append((inside, []))
@@ -214,7 +219,8 @@ def main_text(html: str, template: set[int]) -> str:
     if template:
         root.digest(wanted)
     deleted = {id(node) for node, found in wanted if int.from_bytes(found, "little", signed=True) in template}
-    return "\n\n".join(blocks(root, deleted))
+    # a page of which nothing is left is itself copied across the host: not template, but text
+    return "\n\n".join(blocks(root, deleted) or blocks(root, set()))
 
 
 def host_of(url: Column) -> Column:
