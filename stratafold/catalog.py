@@ -152,6 +152,11 @@ def _oof_means(spark, sf_dir) -> DataFrame:
     return encode.apply_target_stats(rows, stats, {"Contract": ["mean"]}, F.col("fold"))
 
 
+def fold_auc_range(spark, sf_dir):
+    found = metrics.fold_auc_range(fold_auc_summary(spark, sf_dir))
+    return rounded(found, ["folds"], ["lowest", "highest", "mean"])
+
+
 def oof_target_mean_auc(spark, sf_dir):
     scored = _oof_means(spark, sf_dir)
     return rounded(metrics.fold_auc_summary(scored, "TE_Contract_mean", "churn_planted", "fold"), ["label"], ["auc"])
@@ -235,9 +240,10 @@ def _ngrams(size: int) -> Query:
 
 def frequency_encode(spark, sf_dir):
     parts = cleaned(spark, sf_dir, NUMERIC)
+    profiles = pop.value_profiles(ensemble.union_all(list(parts.values())), NUMERIC, {"all": F.lit(True)}, {})
     df = _probes(parts)
     for column in NUMERIC:
-        df = pop.frequency_encode(df, list(parts.values()), column)
+        df = pop.value_shares(df, profiles[column])
     return rounded(df, [ID], [f"FREQ_{c}" for c in NUMERIC])
 
 
@@ -250,8 +256,11 @@ def bag_union(spark, sf_dir):
 def reference_target_rate(spark, sf_dir):
     columns = CATEGORICAL + NUMERIC
     parts = cleaned(spark, sf_dir, [*columns, LABEL])
-    profile = pop.category_profile(parts["orig"], columns, LABEL)
-    df = pop.reference_rates(_probes(parts), profile, columns)
+    labelled = {"labelled": F.col(LABEL).isNotNull(), "positive": F.col(LABEL) == 1}
+    profiles = pop.value_profiles(parts["orig"], NUMERIC, labelled, {})
+    df = pop.reference_rates(_probes(parts), pop.category_profile(parts["orig"], CATEGORICAL, LABEL), CATEGORICAL)
+    for column in NUMERIC:
+        df = pop.value_rates(df, profiles[column], "positive", "labelled")
     return rounded(df, [ID], [f"ORIG_proba_{c}" for c in columns])
 
 
@@ -423,10 +432,10 @@ def submission_counted(spark, sf_dir):
 
 
 def run_clock(spark, sf_dir):
-    """Durations of the order quantities read as seconds, in clock format."""
+    """Durations in clock format: a minute and a quarter second for every unit of an order."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     total = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("seconds"))
-    return total.select("l_orderkey", "seconds", clock_text(F.col("seconds") * 60).alias("clock"))
+    return total.select("l_orderkey", "seconds", clock_text(F.col("seconds") * 60.25).alias("clock"))
 
 
 # models ------------------------------------------------------------------------------------------
@@ -471,7 +480,7 @@ def registered() -> dict[str, Query]:
     named = [
         clean_impute, label_map, label_null_check, class_profile, table_shape, schema_profile, constant_fill,
         stratified_folds, nested_folds, fold_sizes,
-        roc_auc_exact, roc_auc_pooled, log_loss, oof_target_mean_auc, fold_auc_summary,
+        roc_auc_exact, roc_auc_pooled, log_loss, oof_target_mean_auc, fold_auc_summary, fold_auc_range,
         prediction_histogram, topk_scores,
         ratio_features, service_flags, per_tenure_ratios, numeric_keys,
         frequency_encode, bag_union, reference_target_rate, group_residual, zscore_gap, quantile_distance,

@@ -77,7 +77,10 @@ def closed_form(count: Column, hits: Column, stat: str) -> Column:
 def out_of_fold_stats(
     cells: DataFrame, inner: str, inner_folds: int, prior: float, stats: Sequence[str]
 ) -> TargetStats:
-    """Turn cells of the training rows into encodings for every left-out inner fold."""
+    """Turn cells of the training rows into encodings for every left-out inner fold.
+
+    A cell without an inner fold from 0 to ``inner_folds`` - 1 is an error.
+    """
 
     def held(counter: str, fold: int) -> Column:
         return F.sum(F.when(F.col(inner) == fold, F.col(counter)).otherwise(0))
@@ -90,7 +93,11 @@ def out_of_fold_stats(
     slots = [(F.col("n") - F.col(f"n{i}"), F.col("s") - F.col(f"s{i}")) for i in range(inner_folds)]
     slots.append((F.col("n"), F.col("s")))
     encoded = [closed_form(n, s, stat) for stat in stats for n, s in slots]
-    table = sums.select("column", "value", F.array(*encoded).alias("numbers"))
+    known = sum((F.col(f"n{i}") for i in range(inner_folds)), F.lit(0)) == F.col("n")
+    numbers = F.when(known, F.array(*encoded)).otherwise(
+        F.raise_error(F.lit(f"inner folds must run from 0 to {inner_folds - 1}")).cast("array<double>")
+    )
+    table = sums.select("column", "value", numbers.alias("numbers"))
     return TargetStats(KeyedNumbers.of(table), list(stats), prior, inner_folds)
 
 
@@ -101,8 +108,14 @@ def apply_target_stats(
     slot: Column,
     **options,
 ) -> DataFrame:
-    """Add ``TE_<column>_<stat>`` read from the row's slot; a miss gets the prior or 0."""
+    """Add ``TE_<column>_<stat>`` read from the row's slot; a miss gets the prior or 0.
+
+    A slot below 0 or above ``inner_folds``, and a missing one, is an error.
+    """
     width = encodings.inner_folds + 1
+    slot = F.when(slot.between(0, encodings.inner_folds), slot).otherwise(
+        F.raise_error(F.lit(f"slots must run from 0 to {encodings.inner_folds}")).cast("int")
+    )
     added = []
     for column, stats in wanted.items():
         for stat in stats:

@@ -18,9 +18,9 @@ DICTIONARY_BYTES = 1 << 20
 
 
 def lookup_text(df: DataFrame, name: str) -> Column:
-    """Lookup key of a column as text; numbers compare by value (1 equals 1.0)."""
+    """Lookup key of a column as text; numbers compare by value (1 equals 1.0, -0.0 equals 0.0)."""
     if is_numeric(df, name):
-        return F.col(name).cast("double").cast("string")
+        return (F.col(name).cast("double") + F.lit(0.0)).cast("string")
     return F.col(name).cast("string")
 
 

@@ -21,17 +21,26 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
 def fold_auc_summary(df: DataFrame, score: str, label: str, fold: str) -> DataFrame:
     """AUC of every fold and of all folds pooled (``Overall``), not the mean of the folds.
 
+    Folds are named from 1 on, as readers count; their numbers start at 0.
     Pooled cells are a roll-up of the fold cells, so the rows are grouped once.
     """
     cells = _score_cells(df, score, label, [fold])
     named = cells.select(
-        F.concat(F.lit("Fold "), F.col(fold).cast("string")).alias("label"), score, "_pos", "_neg"
+        F.concat(F.lit("Fold "), (F.col(fold) + 1).cast("string")).alias("label"), score, "_pos", "_neg"
     )
     pooled = cells.groupBy(score).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     both = stage(named.unionByName(pooled.select(F.lit("Overall").alias("label"), score, "_pos", "_neg")))
     return _area(counts_below(both, score, ["_neg"], ["label"]), ["label"])
 
 
+def fold_auc_range(summary: DataFrame) -> DataFrame:
+    """One row from ``fold_auc_summary``: lowest, highest and mean AUC of the folds and how many there are."""
+    folds = summary.where(F.col("label") != "Overall")
+    return folds.agg(
+        F.min("auc").alias("lowest"), F.max("auc").alias("highest"), F.avg("auc").alias("mean"), F.count("auc").alias("folds")
+    )
+
+
 def _score_cells(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
     return stage(value_cells(df, score, {"_pos": F.col(label) == 1, "_neg": F.col(label) == 0}, by))
 

@@ -48,6 +48,24 @@ def frequency_encode(df: DataFrame, tables: Sequence[DataFrame], column: str, **
     return joined.withColumn(name, as_feature(F.coalesce(name, F.lit(0.0))))
 
 
+def value_shares(df: DataFrame, profile: ValueProfile, counter: str = "all", **options) -> DataFrame:
+    """Add ``FREQ_<column>`` from a counter of a value profile; a value without a count gets 0."""
+    share = F.col(counter) / F.lit(profile.totals[counter] or 1)
+    return _from_values(df, profile, f"FREQ_{profile.column}", share, 0.0, options)
+
+
+def value_rates(df: DataFrame, profile: ValueProfile, positive: str, labelled: str, **options) -> DataFrame:
+    """Add ``ORIG_proba_<column>`` from two counters of a value profile."""
+    rate = F.when(F.col(labelled) > 0, F.col(positive) / F.col(labelled))
+    return _from_values(df, profile, f"ORIG_proba_{profile.column}", rate, UNSEEN_RATE, options)
+
+
+def _from_values(df: DataFrame, profile: ValueProfile, name: str, number: Column, missing: float, options: dict) -> DataFrame:
+    table = profile.table.select("value", number.alias(name))
+    joined = lookup_join(df, table, {"value": F.col(profile.column).cast("double")}, 48 * profile.rows, **({"population": df} | options))
+    return joined.withColumn(name, as_feature(F.coalesce(name, F.lit(missing))))
+
+
 @dataclass(frozen=True)
 class CategoryProfile:
     """Per value of the reference population's columns: means, the label's first."""
@@ -58,9 +76,13 @@ class CategoryProfile:
     def size(self, column: str) -> int:
         return self.numbers.sizes.get(column, 0)
 
+    def on_driver(self, column: str) -> bool:
+        """Whether the column's values are few and short enough to be held on the driver."""
+        return column in self.numbers.small
+
     def values(self, column: str) -> list[str]:
-        """All values of a column that is small enough for the driver."""
-        return sorted(self.numbers.small.get(column, {}))
+        """All values of a column that is held on the driver; any other column is an error."""
+        return sorted(self.numbers.small[column])
 
 
 def category_profile(

@@ -94,7 +94,7 @@ def auc_sql(source: str, score: str, label: str, group: str) -> str:
 
 
 def summary_sql(source: str, score: str) -> str:
-    per_fold = auc_sql(source, score, "churn_planted", "'Fold ' || CAST(fold AS VARCHAR)")
+    per_fold = auc_sql(source, score, "churn_planted", "'Fold ' || CAST(fold + 1 AS VARCHAR)")
     return f"{per_fold} UNION ALL {auc_sql(source, score, 'churn_planted', chr(39) + 'Overall' + chr(39))}"
 
 
@@ -429,6 +429,10 @@ def oracle() -> dict[str, str]:
             'count(*) AS n FROM folded GROUP BY 1, 2) oc ON "Contract" = oc.ck AND fold = oc.fk)',
         ),
         "fold_auc_summary": with_base(summary_sql("folded", '"MonthlyCharges"'), _FOLDED),
+        "fold_auc_range": with_base(
+            "SELECT count(*) AS folds, " + six("min(auc)", "lowest") + ", " + six("max(auc)", "highest") + ", " + six("avg(auc)", "mean")
+            + f" FROM ({summary_sql('folded', chr(34) + 'MonthlyCharges' + chr(34))}) WHERE label <> 'Overall'", _FOLDED
+        ),
         "prediction_histogram": from_view(
             'SELECT CAST(range AS BIGINT) AS bin, coalesce(n, 0) AS n_rows, '
             + six("a + (b - a) / 40 * range", "low") + ", " + six("a + (b - a) / 40 * (range + 1)", "high")
@@ -515,9 +519,9 @@ def oracle() -> dict[str, str]:
             "WHERE regexp_matches(name, '^submission_(\\d+)\\.csv$')"
         ),
         "run_clock": (
-            "SELECT l_orderkey, seconds, lpad(CAST(CAST(floor(seconds / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || "
-            "lpad(CAST(CAST(seconds AS BIGINT) % 60 AS VARCHAR), 2, '0') || ':00.00' AS clock FROM "
-            "(SELECT l_orderkey, sum(l_quantity) AS seconds FROM lineitem GROUP BY 1)"
+            "SELECT l_orderkey, seconds, printf('%02d:%02d:%05.2f', CAST(floor(s / 3600) AS BIGINT), "
+            "CAST(floor(s / 60) AS BIGINT) % 60, s - 60 * floor(s / 60)) AS clock FROM "
+            "(SELECT l_orderkey, sum(l_quantity) AS seconds, sum(l_quantity) * 60.25::DOUBLE AS s FROM lineitem GROUP BY 1)"
         ),
     }
     return sql | te_queries()

@@ -41,7 +41,7 @@ def fit_population(train: DataFrame, test: DataFrame, reference: DataFrame, labe
     categories = pop.category_profile(reference, CATEGORICAL, label, means=["MonthlyCharges"])
     groups = {
         column: categories.values(column)
-        if categories.size(column) <= pop.COUNTED_GROUPS
+        if categories.on_driver(column) and categories.size(column) <= pop.COUNTED_GROUPS
         else None
         for column in _GROUP_RANKS.values()
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from stratafold.operators.clean import map_label, require_columns, require_labels
+from stratafold.operators.clean import map_label, require_labels
 from stratafold.operators.folds import nested_folds
 from stratafold.plans.matrix import build_feature_matrices
 from stratafold.plans.runs import RunReport, next_run_number, stored_names
@@ -33,31 +33,35 @@ def run_pipeline(
     ).first()["next_run"]
     report = RunReport(spark, int(run))
     raw = {
-        name: read_table(spark, path, table_schema(labelled), form)
-        for name, path, labelled in (
-            ("train", train_path, True),
-            ("test", test_path, False),
-            ("reference", reference_path, True),
+        name: read_table(spark, path, schema, form, extra)
+        for name, path, schema, extra in (
+            ("train", train_path, table_schema(), True),
+            ("test", test_path, table_schema(labelled=False), True),
+            ("reference", reference_path, table_schema(identified=False), False),
         )
     }
-    require_columns(raw["train"], [LABEL, ID])
-    require_columns(raw["test"], [ID])
-    train, reference = map_label(raw["train"], LABEL), map_label(raw["reference"], LABEL)
-    require_labels(train, LABEL)
-    for name, df in raw.items():
-        report.params({f"{name}_rows": df.count(), f"{name}_columns": len(df.columns)})
+    # parsed once: all later passes read the staged tables
+    tables = {
+        "train": stage(nested_folds(map_label(raw["train"], LABEL), LABEL, ID, folds, inner_folds, seed), "train"),
+        "test": stage(raw["test"], "test"),
+        "reference": stage(map_label(raw["reference"], LABEL), "reference"),
+    }
+    require_labels(tables["train"], LABEL)
+    for name, df in tables.items():
+        report.params({f"{name}_rows": df.count(), f"{name}_columns": len(raw[name].columns)})
     report.params({"folds": folds, "inner_folds": inner_folds, "seed": seed})
-    train = stage(nested_folds(train, LABEL, ID, folds, inner_folds, seed), "train")
-    train, test, columns = build_feature_matrices(train, raw["test"], reference, LABEL)
+    train, test, columns = build_feature_matrices(tables["train"], tables["test"], tables["reference"], LABEL)
     added = len({"fold", "inner_fold"})
     report.params({"train_features": len(train.columns) - added, "test_features": len(test.columns)})
     result = cross_validated_fit(train, test, columns, estimator, folds, inner_folds, seed)
     for place, model in enumerate(result.models):
+        settings = {param.name: value for param, value in model.extractParamMap().items()}
+        report.params({f"model_{place}": f"{output}/models/run={run}/fold={place}", f"model_{place}_params": settings})
         rounds = getattr(model, "getNumTrees", None)
         if rounds is not None:
             report.metric("trees", rounds, place)
     for row in result.scores().collect():
-        fold = None if row["label"] == "Overall" else int(row["label"].split()[-1])
+        fold = None if row["label"] == "Overall" else int(row["label"].split()[-1]) - 1
         report.metric("auc", row["auc"], fold)
     for fold, iteration, split, loss in result.history_rows:
         report.metric(f"{split}_loss_{iteration}", loss, fold)

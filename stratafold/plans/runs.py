@@ -28,7 +28,9 @@ def stored_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the outputs in ``folder`` (files or directories of part files)."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    except AnalysisException:
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise  # a folder that cannot be listed is not an empty one
         return spark.createDataFrame([], "name string")
     base = folder.rstrip("/").split(":")[-1]
     inside = F.regexp_extract("path", f"{re.escape(base)}/([^/]+)", 1)

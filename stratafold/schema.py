@@ -58,8 +58,9 @@ NA_TOKENS = [
 ]
 
 
-def table_schema(labelled: bool = True) -> T.StructType:
-    """Types of an input table; ``TotalCharges`` stays text until it is parsed."""
+def table_schema(labelled: bool = True, identified: bool = True) -> T.StructType:
+    """Types of an input table; ``TotalCharges`` stays text until it is parsed. The reference table
+    need not be ``identified``: its rows are only aggregated."""
     special = {
         ID: T.LongType(),
         "SeniorCitizen": T.IntegerType(),
@@ -71,6 +72,8 @@ def table_schema(labelled: bool = True) -> T.StructType:
     ]
     if labelled:
         order.append(LABEL)
+    if not identified:
+        order.remove(ID)
     return T.StructType([T.StructField(c, special.get(c, T.StringType())) for c in order])
 
 
