@@ -315,26 +315,29 @@ def _ecdf_by(group: str, name: str) -> Query:
 
 
 def _te(spark, sf_dir, part: str) -> DataFrame:
-    """Encodings of one held-out fold for its training, held-out or test rows."""
+    """Encodings of all outer folds for their training, held-out or test rows, from one lookup per key."""
     sources = ["tenure", *NGRAM_SOURCES]
     train = _labelled(spark, sf_dir, ["split", *sources, "MonthlyCharges", "TotalCharges"]).where("split = 'train'")
     rows = stage(folds.nested_folds(train, "churn_planted", ID, FOLDS, INNER, SEED), "folded")
     rows = row.ngram_keys(row.numeric_keys(rows), row.all_ngram_groups())
-    columns = MatrixColumns(TE_KEYS, TE_NGRAMS)
-    cells = key_cells(rows, columns, "churn_planted", "inner_fold", INNER, "fold")
-    prior = rows.where(F.col("fold") != HELD_OUT).agg(F.avg("churn_planted")).first()[0]
-    stats = cells.stats(prior, HELD_OUT)
+    cells = key_cells(rows, MatrixColumns(TE_KEYS, TE_NGRAMS), "churn_planted", "inner_fold", INNER, "fold")
+    priors = {r["fold"]: r["prior"] for r in encode.fold_priors(rows, "churn_planted", "fold").collect()}
+    stats = encode.all_out_of_fold_stats(
+        cells.table, "fold", "inner_fold", INNER, [priors[k] for k in range(FOLDS)], ENCODED_STATS
+    )
     wanted = cells.wanted()
     names = [f"TE_{c}_{s}" for c, found in wanted.items() for s in found]
+    every = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))
     if part == "test":
         view = subjects(spark, sf_dir, [ID, "split", *sources, "MonthlyCharges", "TotalCharges"])
-        rows = row.ngram_keys(row.numeric_keys(view.where("split = 'test'")), row.all_ngram_groups())
-        slot = F.lit(INNER)
+        rows = row.ngram_keys(row.numeric_keys(view.where("split = 'test'")), row.all_ngram_groups()).withColumn("held_out", every)
+        inner = F.lit(INNER)
     elif part == "valid":
-        rows, slot = rows.where(F.col("fold") == HELD_OUT), F.lit(INNER)
+        rows, inner = rows.withColumn("held_out", F.col("fold")), F.lit(INNER)
     else:
-        rows, slot = rows.where(F.col("fold") != HELD_OUT), F.col("inner_fold")
-    return rounded(encode.apply_target_stats(rows, stats, wanted, slot), [ID], names)
+        rows, inner = rows.withColumn("held_out", every).where(F.col("held_out") != F.col("fold")), F.col("inner_fold")
+    coded = encode.apply_target_stats(rows, stats, wanted, F.col("held_out") * (INNER + 1) + inner)
+    return rounded(coded.withColumn("held_out", F.col("held_out").cast("bigint")), [ID, "held_out"], names)
 
 
 def fold_prior(spark, sf_dir):

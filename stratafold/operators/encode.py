@@ -56,9 +56,20 @@ class TargetStats:
 
     numbers: KeyedNumbers
     stats: list[str]
-    prior: float
+    prior: float | list[float]
     inner_folds: int
 
+    def slots(self) -> int:
+        """Slots of a statistic; with a prior per outer fold, those of all outer folds in turn."""
+        return (self.inner_folds + 1) * (len(self.prior) if isinstance(self.prior, list) else 1)
+
+    def fill(self) -> str:
+        """The prior of the row's slot as SQL."""
+        if not isinstance(self.prior, list):
+            return f"double('{float(self.prior)!r}')"
+        listed = ", ".join(f"double('{float(p)!r}')" for p in self.prior)
+        return f"get(array({listed}), int(_slot div {self.inner_folds + 1}))"
+
 
 def closed_form(count: Column, hits: Column, stat: str) -> Column:
     """A statistic of a 0/1 label from its row count and sum; null for no rows."""
@@ -101,6 +112,40 @@ def out_of_fold_stats(
     return TargetStats(KeyedNumbers.of(table), list(stats), prior, inner_folds)
 
 
+def all_out_of_fold_stats(
+    cells: DataFrame, fold: str, inner: str, inner_folds: int, priors: Sequence[float], stats: Sequence[str]
+) -> TargetStats:
+    """Encodings for every outer fold in one table, so that one lookup per key serves all of them.
+
+    Slot ``held_out * (inner_folds + 1) + i`` belongs to the encoder that leaves outer fold ``held_out``
+    out; ``priors`` are those encoders' label means. Cells outside both fold ranges are an error.
+    """
+    places = [(o, i) for o in range(len(priors)) for i in range(inner_folds)]
+
+    def held(counter: str, o: int, i: int) -> Column:
+        return F.sum(F.when((F.col(fold) == o) & (F.col(inner) == i), F.col(counter)).otherwise(0))
+
+    sums = cells.groupBy("column", "value").agg(
+        F.sum("n").alias("n"), *[held(c, o, i).alias(f"{c}{o}_{i}") for c in ("n", "s") for o, i in places]
+    )
+    rest = {  # rows per inner fold that are not in the outer fold
+        f"{c}_not{o}_{i}": sum((F.col(f"{c}{p}_{i}") for p in range(len(priors)) if p != o), F.lit(0)) for c in ("n", "s") for o, i in places
+    }
+    known = sum((F.col(f"n{o}_{i}") for o, i in places), F.lit(0)) == F.col("n")
+    wide = sums.select("column", "value", known.alias("known"), *[column.alias(name) for name, column in rest.items()])
+
+    def kept(counter: str, o: int, left_out: int) -> Column:
+        return sum((F.col(f"{counter}_not{o}_{i}") for i in range(inner_folds) if i != left_out), F.lit(0))
+
+    encoded = [
+        closed_form(kept("n", o, i), kept("s", o, i), stat) for stat in stats for o in range(len(priors)) for i in range(inner_folds + 1)
+    ]
+    numbers = F.when(F.col("known"), F.array(*encoded)).otherwise(
+        F.raise_error(F.lit("fold numbers beyond their counts")).cast("array<double>")
+    )
+    return TargetStats(KeyedNumbers.of(wide.select("column", "value", numbers.alias("numbers"))), list(stats), list(priors), inner_folds)
+
+
 def apply_target_stats(
     rows: DataFrame,
     encodings: TargetStats,
@@ -110,19 +155,19 @@ def apply_target_stats(
 ) -> DataFrame:
     """Add ``TE_<column>_<stat>`` read from the row's slot; a miss gets the prior or 0.
 
-    A slot below 0 or above ``inner_folds``, and a missing one, is an error.
+    A slot beyond those of the encodings, and a missing one, is an error.
     """
-    width = encodings.inner_folds + 1
-    slot = F.when(slot.between(0, encodings.inner_folds), slot).otherwise(
-        F.raise_error(F.lit(f"slots must run from 0 to {encodings.inner_folds}")).cast("int")
+    width = encodings.slots()
+    slot = F.when(slot.between(0, width - 1), slot).otherwise(
+        F.raise_error(F.lit(f"slots must run from 0 to {width - 1}")).cast("int")
     )
     added = []
     for column, stats in wanted.items():
         for stat in stats:
             start = encodings.stats.index(stat) * width
-            fill = repr(float(encodings.prior)) if stat == "mean" else "0"
+            fill = encodings.fill() if stat == "mean" else "double('0')"
             added.append(
-                f"cast(coalesce(get(`_found_{column}`, _slot + {start}), double('{fill}')) as float) "
+                f"cast(coalesce(get(`_found_{column}`, _slot + {start}), {fill}) as float) "
                 f"AS `TE_{column}_{stat}`"
             )
     found = encodings.numbers.find(rows.withColumn("_slot", slot), wanted, **options)

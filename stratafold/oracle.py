@@ -274,7 +274,7 @@ def picked(names, joins: str) -> str:
 # target encoding ---------------------------------------------------------------------------------
 
 
-def te_ctes(source: str, keys: dict[str, tuple[str, list[str]]]) -> list[str]:
+def te_ctes(source: str, keys: dict[str, tuple[str, list[str]]], held_out: int = HELD_OUT) -> list[str]:
     """Per key and left-out inner fold, the label statistics of all other training rows.
 
     Slot ``INNER`` leaves nothing out. ``keys`` maps a name to its expression and statistics.
@@ -285,11 +285,11 @@ def te_ctes(source: str, keys: dict[str, tuple[str, list[str]]]) -> list[str]:
         listed = ", ".join(f"{aggregates[s]} AS {s}" for s in stats)
         ctes.append(
             f'"t_{name}" AS (SELECT slot, k, {listed} FROM (SELECT {expression} AS k, inner_fold, '
-            f"CAST(\"y\" AS DOUBLE) AS y FROM {source} WHERE fold <> {HELD_OUT}) "
+            f"CAST(\"y\" AS DOUBLE) AS y FROM {source} WHERE fold <> {held_out}) "
             f"JOIN (SELECT CAST(range AS BIGINT) AS slot FROM range({INNER + 1})) ON inner_fold <> slot "
             "WHERE k IS NOT NULL GROUP BY 1, 2)"
         )
-    ctes.append(f'prior AS (SELECT avg("y") AS p FROM {source} WHERE fold <> {HELD_OUT})')
+    ctes.append(f'prior AS (SELECT avg("y") AS p FROM {source} WHERE fold <> {held_out})')
     return ctes
 
 
@@ -309,18 +309,20 @@ def te_joins(keys: dict[str, tuple[str, list[str]]], slot: str) -> str:
 def te_queries() -> dict[str, str]:
     sources = CAT_KEYS | NGRAMS | {c: f'"{c}"' for c in CATEGORICAL}
     keys = {k: (sources[k], ENCODED_STATS) for k in TE_KEYS} | {k: (sources[k], ["mean"]) for k in TE_NGRAMS}
-    ctes = [_FOLDED_TRAIN, _NESTED, "training AS (SELECT *, churn_planted AS y FROM nested)", *te_ctes("training", keys)]
     columns = columns_of(te_columns(keys))
+
+    def all_folds(source: str, slot: str, where: str) -> str:
+        parts = []
+        for k in range(FOLDS):
+            ctes = [_FOLDED_TRAIN, _NESTED, "training AS (SELECT *, churn_planted AS y FROM nested)", *te_ctes("training", keys, k)]
+            body = f"SELECT id, CAST({k} AS BIGINT) AS held_out, {columns} FROM {source} {te_joins(keys, slot)} WHERE {where.format(k=k)}"
+            parts.append(f"SELECT * FROM ({with_base(body, *ctes)})")
+        return " UNION ALL ".join(parts)
+
     return {
-        "nested_te_train": with_base(
-            f"SELECT id, {columns} FROM training {te_joins(keys, 'inner_fold')} WHERE fold <> {HELD_OUT}", *ctes
-        ),
-        "te_validation": with_base(
-            f"SELECT id, {columns} FROM training {te_joins(keys, str(INNER))} WHERE fold = {HELD_OUT}", *ctes
-        ),
-        "te_test": with_base(
-            f"SELECT id, {columns} FROM filled {te_joins(keys, str(INNER))} WHERE split = 'test'", *ctes
-        ),
+        "nested_te_train": all_folds("training", "inner_fold", "fold <> {k}"),
+        "te_validation": all_folds("training", str(INNER), "fold = {k}"),
+        "te_test": all_folds("filled", str(INNER), "split = 'test'"),
     }
 
 
