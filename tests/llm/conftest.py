@@ -1,17 +1,12 @@
 import pytest
-
-SF_DIR = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_words string, w string, hashes int, spans string, `_text` string"
+from odd_rows import DOCS
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """Builds documents from (doc_id, text[, lang[, source]]) with extra columns whose names clash."""
+    """Builds documents from (doc_id, text[, lang[, source]])."""
     def build(rows):
         full = [(*row, *("en", "s")[len(row) - 2 :], "x", "x", 1, "x", "x") for row in rows]
         return spark.createDataFrame(full, DOCS)
 
     return build
-
-
-ODD = [(None, None), (None, "a b"), (7, ""), (7, ""), (8, " \t\n\x0b "), (9, None), (10, "Été naïve \U0001f600 \x1c x")]

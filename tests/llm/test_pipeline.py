@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from conftest import DOCS, SF_DIR
+from odd_rows import DOCS, SF_DIR
 
 import corpus_pipeline
 from stratafold.llm import decontaminate, near_duplicates
