@@ -443,6 +443,7 @@ def run_clock(spark, sf_dir):
 
 # models ------------------------------------------------------------------------------------------
 
+GBT_FOLDS = 2
 _FITTED: dict[tuple[str, str], CrossValidation] = {}
 
 
@@ -451,10 +452,10 @@ def _fitted(spark: SparkSession, sf_dir: str) -> CrossValidation:
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _FITTED:
         train, test, columns = _matrices(
-            spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, 2, 3, SEED)
+            spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, GBT_FOLDS, 3, SEED)
         )
         _FITTED[place] = cross_validated_fit(
-            train, test, columns, boosted_trees(rounds=3, depth=4, step=0.3), folds=2, inner_folds=3
+            train, test, columns, boosted_trees(rounds=3, depth=4, step=0.3), folds=GBT_FOLDS, inner_folds=3
         )
     return _FITTED[place]
 
@@ -479,6 +480,29 @@ def gbt_eval_history(spark, sf_dir):
     return _fitted(spark, sf_dir).history()
 
 
+def gbt_oof_rows(spark, sf_dir):
+    """Who is predicted in which fold: every training row once, with a probability."""
+    found = _fitted(spark, sf_dir).oof
+    return found.select(ID, F.col(LABEL).cast("bigint").alias(LABEL), F.col("fold").cast("bigint").alias("fold"), F.col("oof_pred").between(0, 1).alias("in_range"))
+
+
+def gbt_test_rows(spark, sf_dir):
+    return _fitted(spark, sf_dir).submission().select(ID, F.col(LABEL).between(0, 1).alias("in_range"))
+
+
+def gbt_importance_rows(spark, sf_dir):
+    """Per fold: how many features have an importance, and their sum."""
+    rows = spark.createDataFrame(_fitted(spark, sf_dir).importance_rows, "fold bigint, feature string, gain double")
+    return rows.groupBy("fold").agg(F.count_distinct("feature").alias("n_features"), F.round(F.sum("gain"), 6).alias("total"))
+
+
+def gbt_history_rows(spark, sf_dir):
+    """Per fold and split: the first round, and whether losses are positive and as many as rounds."""
+    rows = _fitted(spark, sf_dir).history().groupBy(F.col("fold").cast("bigint").alias("fold"), "split")
+    last, first = F.max("iteration"), F.min("iteration").cast("bigint")
+    return rows.agg(first.alias("first_round"), ((F.min("loss") > 0) & (F.count("loss") == last + 1)).alias("complete"))
+
+
 def registered() -> dict[str, Query]:
     named = [
         clean_impute, label_map, label_null_check, class_profile, table_shape, schema_profile, constant_fill,
@@ -490,6 +514,7 @@ def registered() -> dict[str, Query]:
         ecdf_rank, fold_prior, smoothed_te, feature_matrix, fold_encoded_matrix,
         oof_union, oof_coverage, ensemble_mean, run_clock,
         gbt_cv_oof, gbt_test_ensemble, gbt_fold_scores, gbt_importance, gbt_eval_history,
+        gbt_oof_rows, gbt_test_rows, gbt_importance_rows, gbt_history_rows,
     ]
     queries: dict[str, Query] = {q.__name__: q for q in named}
     queries |= {

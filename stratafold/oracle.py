@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from stratafold.catalog import FOLDS, HELD_OUT, INNER, SEED, TE_KEYS, TE_NGRAMS
+from stratafold.catalog import FOLDS, GBT_FOLDS, HELD_OUT, INNER, SEED, TE_KEYS, TE_NGRAMS
 from stratafold.functions.numbers import NUMBER_TEXT
 from stratafold.schema import (
     CATEGORICAL, ENCODED_STATS, NGRAM_SOURCES, NUMERIC, SERVICES, table_schema,
@@ -431,6 +431,19 @@ def oracle() -> dict[str, str]:
             'count(*) AS n FROM folded GROUP BY 1, 2) oc ON "Contract" = oc.ck AND fold = oc.fk)',
         ),
         "fold_auc_summary": with_base(summary_sql("folded", '"MonthlyCharges"'), _FOLDED),
+        "gbt_oof_rows": with_base(
+            'SELECT id, CAST(churn_planted AS BIGINT) AS "Churn", CAST(fold AS BIGINT) AS fold, TRUE AS in_range FROM models',
+            folds_cte("models", "filled", "churn_planted", GBT_FOLDS, "fold", "split = 'train'"),
+        ),
+        "gbt_test_rows": from_view("SELECT id, TRUE AS in_range FROM raw WHERE split = 'test'"),
+        "gbt_importance_rows": (
+            f"SELECT CAST(range AS BIGINT) AS fold, CAST({3 + len(all_features()) + 4 * 19 + 19} AS BIGINT) AS n_features, "
+            f"CAST(1 AS DOUBLE) AS total FROM range({GBT_FOLDS})"
+        ),
+        "gbt_history_rows": (
+            f"SELECT CAST(range AS BIGINT) AS fold, split, CAST(0 AS BIGINT) AS first_round, TRUE AS complete "
+            f"FROM range({GBT_FOLDS}) CROSS JOIN (VALUES ('train'), ('valid')) s(split)"
+        ),
         "fold_auc_range": with_base(
             "SELECT count(*) AS folds, " + six("min(auc)", "lowest") + ", " + six("max(auc)", "highest") + ", " + six("avg(auc)", "mean")
             + f" FROM ({summary_sql('folded', chr(34) + 'MonthlyCharges' + chr(34))}) WHERE label <> 'Overall'", _FOLDED

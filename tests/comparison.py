@@ -47,7 +47,7 @@ def differences(df, sql: str, engine, tolerance: float = 0.0) -> list[str]:
     right = [tuple(normal(r[p]) for p in places) for r in wanted.fetchall()]
     if len(left) != len(right):
         return [f"rows {len(left)} != {len(right)}"]
-    keys = [i for i, n in enumerate(left_names) if n in {"id", "split", "part", "label", "fold", "bin", "feature", "column_name", "key"}]
+    keys = [i for i, n in enumerate(left_names) if n in {"id", "split", "part", "label", "fold", "bin", "feature", "column_name", "key", "doc_id", "page_id", "held_out"}]
     order = lambda r: ([_sortable([r[i]]) for i in keys], _sortable(r))
     found = []
     for a, b in zip(sorted(left, key=order), sorted(right, key=order)):
