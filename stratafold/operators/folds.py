@@ -10,7 +10,7 @@ from stratafold.session import shuffle_width
 
 
 def _bucket_digits(df: DataFrame) -> int:
-    return min(5, max(1, math.ceil(math.log(4 * shuffle_width(df.sparkSession), 16))))
+    return max(1, math.ceil(math.log(4 * shuffle_width(df.sparkSession), 16)))
 
 
 def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:

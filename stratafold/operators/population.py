@@ -249,13 +249,11 @@ def ecdf_against(
     names = list(subsets)
     cells = stage(value_cells(pooled, "value", {n: F.col(f"_in_{n}") for n in names}, by))
     ranked = counts_below(cells, "value", names, by)
-    totals = cells.groupBy(*by).agg(*[F.sum(n).alias(f"_total_{n}") for n in names])
-    sized = ranked.join(totals, by) if by else ranked.crossJoin(F.broadcast(totals))
-    table = sized.select(
+    table = ranked.select(
         *by,
         "value",
         *[
-            F.when(F.col(f"_total_{n}") > 0, F.col(f"{n}_below") / F.col(f"_total_{n}"))
+            F.when(F.col(f"{n}_total") > 0, F.col(f"{n}_below") / F.col(f"{n}_total"))
             .otherwise(0.0)
             .alias(n)
             for n in names

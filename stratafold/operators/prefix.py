@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from stratafold.session import shuffle_width, stage
 
 _BUCKET = "_bucket"
-_MAX_BOUNDS = 8192
 
 
 def value_cells(
@@ -32,9 +31,9 @@ def value_cells(
 
 def bounds_of(value: str, spark: SparkSession) -> Column:
     """Aggregate over cells for the bounds of even buckets; the number follows the session."""
-    width = min(4 * shuffle_width(spark), _MAX_BOUNDS)
+    width = 4 * shuffle_width(spark)
     shares = [step / width for step in range(1, width)]
-    return F.percentile_approx(F.col(value).cast("double"), shares, F.lit(20 * width))
+    return F.percentile_approx(F.col(value).cast("double"), shares, F.lit(4 * width))
 
 
 def _bucketed(cells: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
@@ -54,7 +53,9 @@ def counts_below(
     by: Sequence[str] = (),
     bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add ``<counter>_below``: the strictly-less sum of each counter within ``by``.
+    """Add ``<counter>_below``, the strictly-less sum of each counter within ``by``, and
+    ``<counter>_total``, its whole sum there. Both come with the bucket's start, in one join by group
+    and bucket: no row is ever shuffled by the group alone.
 
     ``cells`` is read by several jobs; pass a kept or staged table.
     """
@@ -65,8 +66,11 @@ def counts_below(
     before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*place).agg(*[F.sum(c).alias(c) for c in counters])
+    whole = Window.partitionBy(*by)
     starts = totals.select(
-        *place, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in counters]
+        *place,
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in counters],
+        *[F.sum(c).over(whole).alias(f"{c}_total") for c in counters],
     )
     running = bucketed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_run_{c}") for c in counters]
@@ -74,6 +78,7 @@ def counts_below(
     return running.join(starts, place).select(
         *cells.columns,
         *[(F.col(f"_start_{c}") + F.col(f"_run_{c}")).alias(f"{c}_below") for c in counters],
+        *[F.col(f"{c}_total") for c in counters],
     )
 
 
@@ -96,8 +101,6 @@ def exact_quantiles(
     """Exact interpolated quantiles per group; no group is gathered in one task."""
     cells = stage(value_cells(df, value, {"n": F.lit(True)}, by))
     ranked = counts_below(cells, value, ["n"], by)
-    totals = cells.groupBy(*by).agg(F.sum("n").alias("_total"))
-    sized = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))
-    return sized.groupBy(*by).agg(
-        *[quantile_at(value, "n", F.col("_total"), q).alias(name) for name, q in shares.items()]
+    return ranked.groupBy(*by).agg(
+        *[quantile_at(value, "n", F.col("n_total"), q).alias(name) for name, q in shares.items()]
     )

@@ -108,3 +108,21 @@ def test_run_with_a_foreign_reference_key_and_a_further_column(spark, tmp_path):
     write_table(view.where("split = 'train'").select(ID, "tenure"), f"{tmp_path}/short")
     with pytest.raises(ValueError, match="missing columns"):
         run_pipeline(spark, f"{tmp_path}/short", f"{tmp_path}/test", f"{tmp_path}/orig", f"{tmp_path}/out")
+
+
+def test_no_exchange_is_on_the_group_alone(spark):
+    """With every join shuffled, ranks within a group are exchanged by group and bucket or by value."""
+    from stratafold.operators.population import ecdf_against
+    from stratafold.operators.prefix import counts_below, value_cells
+
+    view = subjects(spark, SF_DIR, [ID, "Contract", "MonthlyCharges"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = value_cells(view, "MonthlyCharges", {"n": F.lit(True)}, ["Contract"])
+        plan = counts_below(cells, "MonthlyCharges", ["n"], ["Contract"])._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "Contract" in line]
+        assert joins and all("_bucket" in line for line in joins)
+        assert ecdf_against(view, view, "MonthlyCharges", {"r": F.lit(True)}, group="Contract").count() == view.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
