@@ -25,15 +25,17 @@ STARTS = (4, 5, 6, 7, 8)
 class FtrlSettings:
     """``sample``: expected number of labelled documents to learn from, chosen by hash. ``bits``: the
     hashed space has ``2 ** bits`` coordinates. ``shards``: models trained side by side on the sample,
-    a fixed number, so results do not depend on the cluster."""
+    a fixed number, so results do not depend on the cluster. ``least``: a shard reports coordinates whose
+    ``z`` is larger; smaller ones are far below the L1 bound and start anew."""
 
-    sample: int = 12_000
+    sample: int = 8_000
     bits: int = 20
     shards: int = 6
     rounds: int = 4
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 2.0
+    least: float = 0.25
     l2: float = 0.1
 
 
@@ -87,7 +89,7 @@ def _shard_learner(settings: FtrlSettings, shared, round_: int):
         ordered = frame.sort_values(["k", "label"], ignore_index=True).iloc[order]
         for at, label in zip(ordered["at"], ordered["label"]):
             model.learn(np.append(np.asarray(at, np.int64), bias), int(label))
-        used = np.flatnonzero(model.n)
+        used = np.flatnonzero((np.abs(model.z) > settings.least) | (np.arange(len(model.z)) == bias))
         return pd.DataFrame({"c": used, "z": model.z[used], "n": model.n[used]})
 
     return learn
@@ -136,8 +138,7 @@ def train(
         shards = examples.groupBy("shard").applyInPandas(learn, "c bigint, z double, n double")
         count = examples.select("shard").distinct().count()
         mean = shards.groupBy("c").agg((F.sum("z") / count).alias("z"), (F.sum("n") / count).alias("n"))
-        # a coordinate the L1 term holds at zero starts anew; the last round's state is all that counts
-        frame = mean.where((F.abs("z") > settings.l1 / 4) | (F.col("c") == 1 << bits)).toPandas()
+        frame = mean.where((F.abs("z") > settings.least) | (F.col("c") == 1 << bits)).toPandas()
         state = (frame["c"].to_numpy(), frame["z"].to_numpy(), frame["n"].to_numpy())
     model = Ftrl(settings, *state)
     everything = model.weights(np.arange(len(model.z)))
