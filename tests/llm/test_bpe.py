@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from odd_rows import SF_DIR
+from odd_rows import SF_DIR, docs  # noqa: F401
 from stratafold.llm.bpe import BytePairCoder, encode_decode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from odd_rows import ODD, SF_DIR
+from odd_rows import ODD, SF_DIR, docs  # noqa: F401
 from stratafold.llm import language_id, toxicity
 
 GERMAN = "der hund und die katze sind nicht auf dem dach sondern in der schule und das ist gut für alle menschen hier"

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from odd_rows import ODD, SF_DIR
+from odd_rows import ODD, SF_DIR, docs  # noqa: F401
 from stratafold.llm import near_duplicates as near
 from stratafold.llm.wordhash import LETTERS, NO_SPACE, word_hashes
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from odd_rows import ODD
+from odd_rows import ODD, docs  # noqa: F401
 from stratafold.llm import decontaminate, licenses, line_quality, secrets
 
 BODY = " ".join(f"w{n}" for n in range(40))
