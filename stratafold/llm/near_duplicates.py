@@ -201,7 +201,7 @@ def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``key``, ``cls``) of all groups of two or more classes, and pairs of each member with its
+    """Members (``key``, ``cls``, ``size``) of all groups of two or more classes, and pairs of each member with its
     group's most central one."""
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -214,18 +214,19 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     weighed = stage(members.select("key", "cls").join(central, "cls"), "weighed-members")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"))
     pairs = weighed.join(hubs, "key").where(F.col("cls") != F.col("hub"))
-    return members.select("key", "cls"), stage(pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
+    return members, stage(pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
 
 
 def _hidden_pairs(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs between different components of groups that hold several (``rooted``: ``cls``
-    and ``root`` of their members), by prefix, length and position."""
-    tokens = rooted.join(sets, "cls").select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    tokens = stage(tokens, "tokens")
+    and the hash of the ``root`` of their members), by prefix, length and position."""
+    own = stage(rooted.join(sets, "cls").select("cls", "root", F.size("shingles").alias("n"), "shingles"), "unsettled-sets")
+    tokens = own.select("root", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min("root").alias("low"), F.max("root").alias("high"))
     shared = counts.where("freq > 1").select("token", "freq", (F.col("low") != F.col("high")).alias("mixed"))
-    held = tokens.join(shared, "token")
-    ordered = held.groupBy("cls", "root", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token", "mixed"))).alias("order"))
+    held = own.select("cls", F.explode("shingles").alias("token")).join(shared, "token")
+    ordered = held.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("freq", "token", "mixed"))).alias("order"))
+    ordered = ordered.join(own.select("cls", "root", "n"), "cls")
     # shingles that no other class has come first in the order; they join nothing
     alone = F.col("n") - F.size("order")
     longest = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1
@@ -272,12 +273,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sets = _sets(df, key, text, wanted)
     links = stage(_verified(likely, sets), "verified-links")
     found = components(links)
-    rooted = stage(_rooted(members, found), "rooted-members")
+    # the pair of a group of two has been compared; only larger groups can hold pairs that have not
+    rooted = stage(_rooted(members.where("size > 2").drop("size"), found).withColumn("root", F.xxhash64("root")), "rooted-members")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     unsettled = stage(rooted.join(mixed, "key", "left_semi").select("cls", "root").distinct(), "unsettled")
     hidden = stage(_hidden_pairs(unsettled, sets), "hidden-pairs")
     more = _verified(hidden, sets)
-    found = components(links.unionByName(more))
+    stars = found.select(F.col("cls").alias("a"), F.col("root").alias("b"))  # as good as the links they stand for
+    found = components(stars.unionByName(more))
     return _named_rows(rows, classes, found, key)
 
 
