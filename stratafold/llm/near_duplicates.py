@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.llm.wordhash import NO_SPACE, joined, mix, word_hashes
-from stratafold.operators.lookup import lookup_join
+from stratafold.operators.lookup import lookup_join, row_bytes
 from stratafold.session import stage
 
 WORDS = 5
@@ -108,6 +108,13 @@ def _hashed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(hashed, f"key {key_type}, mark bigint, n bigint, cls binary, registers binary")
 
 
+def _side(table: DataFrame, name: str) -> DataFrame:
+    """A staged join side, marked for broadcast if it measures at most ``BROADCAST`` bytes."""
+    staged = stage(table, name)
+    size = staged.agg(F.sum(row_bytes(staged))).first()[0] or 0
+    return F.broadcast(staged) if size <= BROADCAST else staged
+
+
 def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """Full sets of the classes in ``wanted`` (``cls``, ``key`` of one of its rows), one row each."""
     names = stage(wanted.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("_k"), F.lit(True).alias("_wanted")).distinct(), "wanted")
@@ -126,7 +133,7 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             )
 
     made = near.where("_wanted").select("_text").mapInArrow(gathered, "cls binary, shingles array<bigint>")
-    exact = made.join(wanted.select("cls"), "cls", "left_semi")
+    exact = made.join(_side(wanted.select("cls"), "wanted-classes"), "cls", "left_semi")
     return stage(exact.groupBy("cls").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
@@ -136,9 +143,10 @@ def _linked(common: Column, n: Column, m: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) whose full sets meet the threshold. ``b`` may stand in very many pairs."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("own")), "a")
-    hubs = sets.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").withColumnRenamed("shingles", "other")
-    both = lookup_join(left, hubs, {"cls": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("own")).join(_side(pairs, "pairs"), "a")
+    named = _side(pairs.select(F.col("b").alias("cls")).distinct(), "hub-names")
+    hubs = sets.join(named, "cls", "left_semi").withColumnRenamed("shingles", "other")
+    both = lookup_join(left, stage(hubs, "hub-sets"), {"cls": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
     common = F.size(F.array_intersect("own", "other"))
     return both.where(_linked(common, F.size("own"), F.size("other"))).select("a", "b")
 
@@ -146,8 +154,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose sizes and registers can belong to a link."""
     facts = classes.select("cls", "n", "registers")
-    left = pairs.join(facts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a")
-    hubs = facts.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select(
+    left = facts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")).join(_side(pairs, "pairs"), "a")
+    hubs = facts.join(_side(pairs.select(F.col("b").alias("cls")).distinct(), "hub-names"), "cls", "left_semi").select(
         "cls", F.col("n").alias("n_b"), F.col("registers").alias("r_b")
     )
     both = lookup_join(left, stage(hubs, "hubs"), {"cls": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
@@ -209,11 +217,11 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     listed = classes.select("cls", F.explode(bands).alias("key"))
     sizes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(listed.join(sizes, "key"), "band-members")
+    members = stage(listed.join(_side(sizes, "group-sizes"), "key"), "band-members")
     central = members.groupBy("cls").agg(F.sum("size").alias("weight"))
-    weighed = stage(members.select("key", "cls").join(central, "cls"), "weighed-members")
+    weighed = stage(members.select("key", "cls").join(_side(central, "weights"), "cls"), "weighed-members")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"))
-    pairs = weighed.join(hubs, "key").where(F.col("cls") != F.col("hub"))
+    pairs = weighed.join(_side(hubs, "group-hubs"), "key").where(F.col("cls") != F.col("hub"))
     return members, stage(pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
 
 
