@@ -23,14 +23,15 @@ SYMBOLS = r"[^#*$%&|<>]+"
 @dataclass(frozen=True)
 class LineLimits:
     """A line is template text of its host if it stands in at least ``documents`` documents and in
-    at least ``share`` of the host's documents, and if its most common surroundings (the lines before
-    and after) make up at most ``same_context`` of them: in copies of one document a line always has
-    the same neighbours, and copies are left to the duplicate removal. A document is depleted if less
-    than ``left`` of its words remain."""
+    at least ``share`` of the host's documents or ``enough`` of them, whichever is less. Documents with
+    the same set of lines count as one, and those of which more than ``copied`` of the lines and of the
+    words reach these limits do not count: they are copies or near copies of each other, which are left
+    to the duplicate removal. A document is depleted if less than ``left`` of its words remain."""
 
     documents: int = 10
     share: float = 0.02
-    same_context: float = 0.15
+    enough: int = 500
+    copied: float = 0.5
     left: float = 0.3
 
 
@@ -96,28 +97,30 @@ def _line_array(text: Column) -> Column:
 def template_lines(profiled: DataFrame, limits: LineLimits) -> DataFrame:
     """``host``, ``h`` of the template lines. ``profiled`` has ``host`` and ``lines`` per document.
 
-    Lines are distinct per document before they are exploded and summed per task before they are
-    shuffled, so a line of a third of all documents is one row per task. Surroundings are counted
-    only for lines that reach the first two limits.
+    Documents are distinct by their set of lines, so copies count once however many there are, and
+    lines are distinct per document, so repeating a line counts once. Both are summed per task before
+    they are shuffled: a line of a third of all documents is one row per task. The second count leaves
+    out the documents that consist of such lines mostly.
     """
-    hosts = profiled.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
-    lines = profiled.select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
+    sets = profiled.select("_row", "host", F.array_sort(F.array_distinct("lines")).alias("lines")).where(F.size("lines") > 0)
+    kinds = sets.withColumn("kind", F.xxhash64("lines.h")).groupBy("host", "kind").agg(F.min("_row").alias("_row"), F.first("lines").alias("lines"))
+    documents = stage(kinds.select("_row", "host", "lines"), "line-documents")
+    hosts = documents.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
+    lines = documents.select(
+        "_row", "host", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"]).alias("n_words"),
+        F.explode("lines").alias("line"),
+    ).select("_row", "host", "n_lines", "n_words", "line.h", "line.w")
     counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limits.documents)
     common = counts.join(hosts, counts.host.eqNullSafe(hosts.host)).drop(hosts.host)
-    common = stage(common.where(F.col("n") >= limits.share * F.col("host_documents")).select("host", "h", "n"), "common-lines")
-    hashes = F.col("lines.h")
-    placed = profiled.select(
-        "host",
-        F.explode(F.arrays_zip(
-            hashes.alias("h"),
-            F.concat(F.array(F.lit(0).cast("bigint")), F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))).alias("before"),
-            F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))).alias("after"),
-        )).alias("place"),
-    ).select("host", "place.h", F.xxhash64("place.before", "place.after").alias("context"))
-    found = _with_common(placed, common).where(F.col("n").isNotNull())
-    contexts = found.groupBy("host", "h", "n", "context").agg(F.count(F.lit(1)).alias("same"))
-    most = contexts.groupBy("host", "h", "n").agg(F.max("same").alias("same"))
-    kept = most.where(F.col("same") <= limits.same_context * F.col("n")).select("host", "h", F.lit(True).alias("is_template"))
+    least = F.least(limits.share * F.col("host_documents"), F.lit(float(limits.enough)))
+    common = stage(common.where(F.col("n") >= least).select("host", "h", least.alias("least")), "common-lines")
+    found = _with_common(lines, common).where(F.col("least").isNotNull())
+    held = found.groupBy("_row", "host", "n_lines", "n_words").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("w").alias("words"), F.collect_list(F.struct("h", "least")).alias("held")
+    )
+    own = held.where((F.col("lines") <= limits.copied * F.col("n_lines")) | (F.col("words") <= limits.copied * F.col("n_words")))
+    counted = own.select("host", F.explode("held").alias("x")).groupBy("host", "x.h", "x.least").agg(F.count(F.lit(1)).alias("n"))
+    kept = counted.where((F.col("n") >= limits.documents) & (F.col("n") >= F.col("least"))).select("host", "h", F.lit(True).alias("is_template"))
     return stage(kept, "template-lines")
 
 

@@ -40,6 +40,37 @@ def test_template_lines_go_and_copies_stay(docs):
     assert all(cleaned[100 + n].startswith("copy line") for n in range(15))
 
 
+def own_words(n, k=30):
+    return " ".join(f"d{letters(n)}x{letters(i)}" for i in range(k))
+
+
+def test_footers_of_several_lines_go(docs):
+    footer = "About this site\nAll rights reserved\nPowered by a tool"
+    rows = [(n, f"{own_words(n)}\n{footer}", "en", "h") for n in range(14)]
+    cleaned = {r.doc_id: r.text for r in line_quality.clean_documents(docs(rows)).collect()}
+    assert cleaned == {n: own_words(n) for n in range(14)}
+
+
+def test_a_document_that_repeats_a_line_protects_it_not(docs):
+    rows = template_rows()[:12] + [(300, own_words(50) + "\nSame header of this host!" * 40, "en", "h")]
+    cleaned = {r.doc_id: r.text for r in line_quality.clean_documents(docs(rows)).collect()}
+    assert all(not cleaned[n].startswith("Same") for n in range(12))
+
+
+def test_near_copies_stay(docs):
+    lines = [own_words(60 + k, 12) for k in range(8)]
+    rows = [(n, "\n".join(lines[:n % 8] + [own_words(100 + n, 12)] + lines[n % 8 + 1:]), "en", "h") for n in range(40)]
+    cleaned = {r.doc_id: r.text for r in line_quality.clean_documents(docs(rows)).collect()}
+    assert cleaned == {r[0]: r[1] for r in rows}
+
+
+def test_share_of_a_large_host_is_bounded(docs):
+    rows = template_rows()[:12] + [(1000 + n, own_words(60 + n), "en", "h") for n in range(600)]
+    limits = line_quality.LineLimits(enough=12)
+    cleaned = {r.doc_id: r.text for r in line_quality.clean_documents(docs(rows), limits=limits).collect()}
+    assert len(cleaned) == 612 and all(not cleaned[n].startswith("Same") for n in range(12))
+
+
 def test_depleted_documents_are_rejected(docs):
     line = " ".join(f"t{k}" for k in range(30))
     rows = [(n, f"{line}\nown{letters(n)}a own{letters(n)}b", "en", "h") for n in range(12)]
