@@ -1,7 +1,9 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document, taken as its set of words; a template is found in a block that
-holds at least ``CONTAINMENT`` of its words. Tokens are ordered by their frequency over the whole
+A block is a line of a document, or a run of consecutive words across line ends as long as a template
+and its share of foreign words, with every start covered, so wrapped lines and comment marks do not
+matter. Blocks are taken as sets of words; a template is found in a block that holds at least
+``CONTAINMENT`` of its words. Tokens are ordered by their frequency over the whole
 corpus, rare ones first. A block that meets the threshold must hold one of the template's first
 ``size - needed + 1`` tokens (prefix filter), at least ``needed`` words (length filter) and, from the
 first common token on, enough tokens on both sides (positional filter). All blocks that pass are
@@ -50,6 +52,11 @@ def needed(size: int) -> int:
     return math.ceil(CONTAINMENT * size - 1e-9)
 
 
+def run_length(text: str) -> int:
+    """Consecutive words in which a template is looked for across line ends."""
+    return math.ceil(len(text.split()) / CONTAINMENT - 1e-9)
+
+
 def _phrase_places() -> Column:
     """(start, label) of each place where the words of a phrase stand consecutively."""
     arrays = []
@@ -72,8 +79,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=None)
     their result and all stay; a missing key is a key. Only these two columns are read.
     """
     templates = TEMPLATES if templates is None else templates
-    tokens = [(label, sorted(set(text_.split()))) for label, text_ in templates]
-    vocabulary = sorted({token for _, own in tokens for token in own})
+    tokens = [(label, sorted(set(text_.split())), run_length(text_)) for label, text_ in templates]
+    vocabulary = sorted({token for _, own, _ in tokens for token in own})
     full = F.coalesce(F.col("_text"), F.lit(""))
     rows = df.select(F.col(key), F.col(text).alias("_text"))
     split = rows.select(key, F.xxhash64("_text").alias("mark"), words(full).alias("w"))
@@ -83,7 +90,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=None)
     )
     profiled = stage(profiled, "license-profiles")
     ordered = _ordered(profiled, vocabulary)
-    plans = [(n, label, [t for t in ordered if t in set(own)]) for n, (label, own) in enumerate(tokens)]
+    plans = [(n, label, [t for t in ordered if t in set(own)], run) for n, (label, own, run) in enumerate(tokens)]
     found = _similar_blocks(rows, profiled, key, plans)
     keys = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark": F.col("mark")}
     joined = lookup_join(profiled, found, keys, population=profiled)
@@ -110,29 +117,49 @@ def _similar_blocks(rows: DataFrame, profiled: DataFrame, key: str, plans) -> Da
     """``_k``, ``_mark`` of the documents with a block that meets a threshold, the labels and the
     largest containment."""
     spark = rows.sparkSession
-    prefixes = [(n, token, place) for n, _, own in plans for place, token in enumerate(own[: len(own) - needed(len(own)) + 1])]
+    prefixes = [(n, token, place) for n, _, own, _ in plans for place, token in enumerate(own[: len(own) - needed(len(own)) + 1])]
     first = sorted({token for _, token, _ in prefixes})
     lead = spark.createDataFrame(prefixes, "template int, token string, place int")
     sets = spark.createDataFrame(
-        [(n, label, own, len(own), needed(len(own))) for n, label, own in plans],
-        "template int, label string, own array<string>, size int, needed int",
+        [(n, label, own, len(own), needed(len(own)), run) for n, label, own, run in plans],
+        "template int, label string, own array<string>, size int, needed int, run int",
     )
+    # no block of a document holds more of a template than the document
+    possible = F.array_compact(F.array(*[
+        F.when(F.size(F.array_intersect("known", F.lit(own))) >= needed(len(own)), n) for n, _, own, _ in plans
+    ]))
     candidates = profiled.where(F.arrays_overlap("known", F.lit(first))).select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("mark").alias("_mark"), F.lit(True).alias("_near")
-    )
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("mark").alias("_mark"), possible.alias("_near")
+    ).where(F.size("_near") > 0)
     candidates = stage(candidates.dropDuplicates(["_k", "_mark"]), "license-candidates")
     keys = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark": F.xxhash64("_text")}
-    near = lookup_join(rows, candidates, keys, population=rows, broadcast_bytes=32 << 20).where("_near")
-    named = near.select(*[column.alias(name) for name, column in keys.items()], "_text").dropDuplicates(["_k", "_mark"])
+    near = lookup_join(rows, candidates, keys, population=rows, broadcast_bytes=32 << 20).where(F.col("_near").isNotNull())
+    named = near.select(*[column.alias(name) for name, column in keys.items()], "_text", "_near").dropDuplicates(["_k", "_mark"])
     blocks = named.select("_k", "_mark", F.posexplode(F.split("_text", "\n")).alias("block", "line"))
     held = blocks.select("_k", "_mark", "block", F.array_distinct(words(F.col("line"))).alias("held"))
-    wide = held.where(F.size("held") >= min(needed(len(own)) for _, _, own in plans))
+    wide = held.where(F.size("held") >= min(needed(len(own)) for _, _, own, _ in plans))
     met = wide.withColumn("token", F.explode_outer(F.array_intersect("held", F.lit(first)))).join(F.broadcast(lead), "token")
     earliest = met.groupBy("_k", "_mark", "block", "template").agg(F.min("place").alias("place"), F.first("held").alias("held"))
     paired = earliest.join(F.broadcast(sets), "template").where(
         (F.size("held") >= F.col("needed")) & (F.col("size") - F.col("place") >= F.col("needed"))
     )
     common = paired.withColumn("common", F.size(F.array_intersect("own", "held"))).where("common >= needed")
-    return common.groupBy("_k", "_mark").agg(
+    either = common.select("_k", "_mark", "label", "common", "size").unionByName(_in_runs(named, sets))
+    return either.groupBy("_k", "_mark").agg(
         F.collect_set("label").alias("found_labels"), F.max(F.col("common") / F.col("size")).alias("containment")
     )
+
+
+def _in_runs(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """``_k``, ``_mark``, ``label``, ``common``, ``size`` of the templates met by a run of words.
+
+    A run that meets the threshold can begin at a token of the template, so only these begin one.
+    """
+    paired = named.select("_k", "_mark", words(F.col("_text")).alias("w"), F.explode("_near").alias("template")).join(
+        F.broadcast(sets), "template"
+    )
+    best = F.expr("""get(transform(
+      array(filter(transform(w, (x, i) -> named_struct('i', i, 't', array_position(own, x))), p -> p.t > 0)),
+      p -> aggregate(sequence(0, greatest(size(p) - 1, 0)), 0, (most, k) -> greatest(most,
+        size(array_distinct(transform(filter(slice(p, k + 1, run), y -> y.i < get(p, k).i + run), y -> y.t)))))), 0)""")
+    return paired.withColumn("common", best).where("common >= needed").select("_k", "_mark", "label", "common", "size")

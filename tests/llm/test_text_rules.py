@@ -133,6 +133,21 @@ def test_licenses(docs):
     assert licenses.scan(docs([])).collect() == []
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_licenses(docs, mark):
+    import textwrap
+
+    rows = [
+        (n, "int x;\n" + "\n".join(mark + line for line in textwrap.wrap("Copyright (c) A. " + text + " and more", 40)) + "\nint y;")
+        for n, (_, text) in enumerate(licenses.TEMPLATES)
+    ]
+    mit = licenses.TEMPLATES[0][1].split()
+    rows += [(100, "\n".join(" ".join([word, *["filler"] * 9]) for word in mit)), (101, "\n".join(mit[:12]))]
+    by = {r.doc_id: r for r in licenses.scan(docs(rows)).collect()}
+    assert all(label in by[n].labels.split(",") and by[n].score == 1 for n, (label, _) in enumerate(licenses.TEMPLATES))
+    assert by[100].labels == by[101].labels == ""
+
+
 def brute_spans(text):
     assign = re.compile(secrets.ASSIGN)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 8]
