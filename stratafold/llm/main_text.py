@@ -52,6 +52,8 @@ NAMED = {
     "promo", "promoted", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+#: A class with one of these words tells how a page or its main part is laid out, not what it is.
+LAYOUT = {"with", "without", "no", "not", "has", "have", "main", "content", "layout"}
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies"}
 ARTICLE = {"article", "main"}
 #: Elements of running text; a subtree inside an article that holds one is never template.
@@ -62,7 +64,7 @@ DEEPEST = 400
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -81,9 +83,9 @@ class Node:
 
     __slots__ = ("name", "mark", "parts", "boilerplate", "plain", "article")
 
-    def __init__(self, name: str, mark: str, boilerplate: bool):
+    def __init__(self, name: str, mark: str, boilerplate: int):
         self.name, self.mark, self.boilerplate = name, mark, boilerplate
-        self.parts: list = []
+        self.parts: list = []  # boilerplate: 1 by its class, id or role, 2 by its element or as hidden
         self.plain = name not in RUNNING  # holds no running text
         self.article = name in ARTICLE  # is or holds an article
 
@@ -105,24 +107,33 @@ class Node:
         return found
 
 
+def _pairs(attributes: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTRIBUTE.findall(attributes)]
+
+
+def _names(token: str, words: set[str]) -> bool:
+    """Whether a class is one of ``words`` or begins or ends with one."""
+    parts = _WORD.findall(token)
+    return bool(parts) and LAYOUT.isdisjoint(parts) and (parts[0] in words or parts[-1] in words)
+
+
 def _named(attributes: str, words: set[str] = NAMED) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if words is not NAMED and name not in {"class", "id", "role"}:
-            continue
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif not words.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+    return any(
+        _names(token, words) for name, value in _pairs(attributes) if name in {"class", "id", "role"} for token in value.split()
+    )
+
+
+def _hidden(attributes: str) -> bool:
+    return any(
+        name == "hidden" or (name == "aria-hidden" and value == "true")
+        or (name == "style" and "display:none" in value.replace(" ", ""))
+        for name, value in _pairs(attributes)
+    )
 
 
 def parse(html: str) -> Node:
     """A tree of the whole page. Missing ends are implied, stray ends ignored, raw text kept unread."""
-    root = Node("#page", "", False)
+    root = Node("#page", "", 0)
     open_nodes, at, raw_until, has_article = [root], 0, None, False
     for match in _TAG.finditer(html):
         start, end, name, attributes = match.start(), match.group(1), match.group(2), match.group(3)
@@ -145,13 +156,14 @@ def parse(html: str) -> Node:
         if name not in INLINE:
             while len(open_nodes) > 1 and _implied_end(open_nodes, name):
                 pass
-        named = bool(attributes) and name not in {"html", "body"} and _named(attributes)
-        node = Node(name, name + " " + attributes, name in DROPPED or named)
-        if name in ARTICLE and not named and not has_article:
+        tested = bool(attributes) and name not in {"html", "body"}
+        hidden, named = tested and _hidden(attributes), tested and _named(attributes)
+        node = Node(name, name + " " + attributes, 2 if name in DROPPED or hidden else int(named))
+        if name in ARTICLE and not named and not hidden and not has_article:
             # what holds the first article is no boilerplate, whatever its class says, but for comments
             has_article = not any(_named(holder.mark, COMMENTS) for holder in open_nodes)
             for holder in open_nodes if has_article else ():
-                holder.boilerplate = holder.name in DROPPED
+                holder.boilerplate = 2 if holder.name in DROPPED else 0
         open_nodes[-1].parts.append(node)
         if name in RAW:
             raw_until = name
@@ -174,15 +186,15 @@ def _implied_end(open_nodes: list[Node], name: str) -> bool:
     return False
 
 
-def blocks(root: Node, deleted: set[int]) -> list[str]:
-    """Text blocks in page order, without boilerplate and the ``deleted`` nodes (by ``id``).
+def blocks(root: Node, deleted: set[int], least: int = 1) -> list[str]:
+    """Text blocks in page order, without boilerplate of degree ``least`` and the ``deleted`` nodes (by ``id``).
 
     If the page has an article with text, blocks outside of articles are left out.
     """
     everything: list[tuple[bool, list[str]]] = [(False, [])]
 
     def walk(node: Node, inside: bool) -> None:
-        if node.boilerplate or id(node) in deleted:
+        if node.boilerplate >= least or id(node) in deleted:
             return
         inside = inside or node.name in ARTICLE
         block = node.name not in INLINE
@@ -219,8 +231,9 @@ def main_text(html: str, template: set[int]) -> str:
     if template:
         root.digest(wanted)
     deleted = {id(node) for node, found in wanted if int.from_bytes(found, "little", signed=True) in template}
-    # a page of which nothing is left is itself copied across the host: not template, but text
-    return "\n\n".join(blocks(root, deleted) or blocks(root, set()))
+    # a page that holds nothing but what its classes name is no boilerplate, whatever they say; one of
+    # which nothing is left is itself copied across the host: not template, but text
+    return "\n\n".join(blocks(root, deleted) or blocks(root, deleted, 2) or blocks(root, set()) or blocks(root, set(), 2))
 
 
 def host_of(url: Column) -> Column:

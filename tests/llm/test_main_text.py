@@ -27,6 +27,16 @@ def test_pages(html, text):
     assert main_text(html, set()) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<p title='The hidden truth'>a</p><p data-title='A hidden gem'>b</p><p data-id='menu-7'>c</p><p data-class=menu>d", "a\n\nb\n\nc\n\nd"),
+    ("<div class='layout with-sidebar'><p>a</div><div class='no-sidebar'><p>b</div><div class='main-widget'><p>c</div>", "a\n\nb\n\nc"),
+    ("<div class=widget><p>a</p><p hidden>h</p><nav>n</nav></div>", "a"),
+    ("<p>a</p><div class='site-footer'>f</div><div class='left sidebar'>s</div><div role=navigation>n</div>", "a"),
+])
+def test_names_are_whole_attributes_and_classes(html, text):
+    assert main_text(html, set()) == text
+
+
 def test_recurring_subtrees_go_and_articles_stay(spark):
     bar = "<div><span>Hot today</span> <a href=/x>more</a></div>"
     same = "<article><p>The same article everywhere.</p></article>"
