@@ -189,14 +189,27 @@ def _implied_end(open_nodes: list[Node], name: str) -> bool:
 def blocks(root: Node, deleted: set[int], least: int = 1) -> list[str]:
     """Text blocks in page order, without boilerplate of degree ``least`` and the ``deleted`` nodes (by ``id``).
 
-    If the page has an article with text, blocks outside of articles are left out.
+    Blocks outside of articles are left out if the articles hold more text than they, or if the page
+    has one main element and that has text: then those outside of it are.
     """
     everything: list[tuple[bool, list[str]]] = [(False, [])]
+    mains: list[Node] = []
+
+    def seek(node: Node) -> None:
+        for part in node.parts if node.boilerplate < least and id(node) not in deleted else ():
+            if not isinstance(part, str):
+                if part.name == "main" and part.boilerplate < least and id(part) not in deleted:
+                    mains.append(part)
+                else:
+                    seek(part)
+
+    seek(root)
+    only = mains[0] if len(mains) == 1 else None
 
     def walk(node: Node, inside: bool) -> None:
         if node.boilerplate >= least or id(node) in deleted:
             return
-        inside = inside or node.name in ARTICLE
+        inside = inside or (node is only if only is not None else node.name in ARTICLE)
         block = node.name not in INLINE
         if block:
             everything.append((inside, []))
@@ -211,9 +224,13 @@ def blocks(root: Node, deleted: set[int], least: int = 1) -> list[str]:
                     everything.append((inside, []))
 
     walk(root, False)
+    if only is not None and not any(inside and "".join(parts).strip() for inside, parts in everything):
+        only, everything = None, [(False, [])]
+        walk(root, False)
     texts = [(inside, _SPACE.sub(" ", "".join(parts)).strip()) for inside, parts in everything]
     texts = [(inside, text) for inside, text in texts if text]
-    if any(inside for inside, _ in texts):
+    within, outside = (sum(len(text) for inside, text in texts if inside is side) for side in (True, False))
+    if within and (only is not None or within > outside):
         texts = [pair for pair in texts if pair[0]]
     return [text for _, text in texts]
 

@@ -37,6 +37,17 @@ def test_names_are_whole_attributes_and_classes(html, text):
     assert main_text(html, set()) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<div class=content><p>The long body of this page.</div><article class=teaser>t</article><article class=teaser>u</article>", "The long body of this page.\n\nt\n\nu"),
+    ("<article><p>Start.</article><p>The text goes on after it.", "Start.\n\nThe text goes on after it."),
+    ("<p>some words</p><article><p>The long body of this page.</article>", "The long body of this page."),
+    ("<div>a long notice about things</div><main><p>a<article>b</article></main>", "a\n\nb"),
+    ("<main></main><p>a long body here</p><article>b</article>", "a long body here\n\nb"),
+])
+def test_text_outside_of_small_articles_stays(html, text):
+    assert main_text(html, set()) == text
+
+
 def test_recurring_subtrees_go_and_articles_stay(spark):
     bar = "<div><span>Hot today</span> <a href=/x>more</a></div>"
     same = "<article><p>The same article everywhere.</p></article>"
