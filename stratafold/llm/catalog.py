@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratafold.llm import bpe, decontaminate, language_id, licenses, line_quality, main_text, near_duplicates, secrets, toxicity, warc
+from stratafold.llm import (
+    alignment, bpe, decontaminate, language_id, licenses, line_quality, main_text, near_duplicates, secrets, toxicity, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 def registered() -> dict[str, Query]:
-    named = [op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op7_near_duplicates, op8_secrets, op9_licenses, op10_toxicity]
+    named = [
+        op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op7_near_duplicates, op8_secrets, op9_licenses,
+        op10_toxicity, op11_whitening, op12_alignment,
+    ]
     return {query.__name__: query for query in named}
