@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratafold.llm import (
-    alignment, bpe, decontaminate, language_id, licenses, line_quality, main_text, near_duplicates, secrets, toxicity, warc, whitening,
+    alignment, bpe, decontaminate, language_id, licenses, line_quality, main_text, near_duplicates, secrets, signature_join, toxicity,
+    warc, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,9 +82,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
 
 
+def op13_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.similar_rows(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     named = [
         op1_language_id, op2_bpe, op3_main_text, op4_line_quality, op5_warc, op6_decontaminate, op7_near_duplicates, op8_secrets, op9_licenses,
-        op10_toxicity, op11_whitening, op12_alignment,
+        op10_toxicity, op11_whitening, op12_alignment, op13_signature_join,
     ]
     return {query.__name__: query for query in named}
