@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Texts are cut where a white-space-free word is followed by a space; no token of either vocabulary
-crosses such a cut, so words are encoded and aligned once per task and remembered.
+The texts of a batch lie one behind the other. Each side marks the bytes at which its tokens end: where
+both mark one, a group ends; where either does, a link ends, as exactly one token of each side covers
+the bytes between two marks. So alignment is a few operations on whole arrays.
 
 Tokens with the same bytes in both vocabularies are known beforehand: an array leads from an id of the
 first to the id of the second with the same bytes. Groups of one token each that this array foretells
@@ -16,23 +17,24 @@ import json
 import os
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from stratafold.llm.bpe import byte_letters
+from stratafold.llm.bpe import WORDS, byte_letters
 from stratafold.operators.lookup import lookup_join
 from stratafold.session import stage
 
 #: Pair tables up to this size are broadcast.
 BROADCAST = 24 << 20
-#: Words that a Python worker remembers; when there are more, all are forgotten.
-REMEMBERED = 200_000
-#: Longer words are forgotten with their batch.
-LONGEST_REMEMBERED = 256
-#: Links of several texts that are counted at once.
-SLICE = 1 << 20
+#: Code points of texts that are aligned at once.
+SLICE = 1 << 19
+#: Longer texts are encoded in pieces.
+LONGEST = 1 << 16
+#: No token crosses the place between the end of a word and a space.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACE = "▁"
 _HEX_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -40,16 +42,13 @@ _LOW = (1 << 32) - 1
 
 
 class ByteTokens:
-    """Ids and bytes of a byte-level BPE vocabulary (JSON text); special strings are ordinary text."""
+    """Ids and bytes of a byte-level BPE vocabulary (JSON text); special strings are ordinary text.
 
-    def __init__(self, model_json: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    If the ids rise with the ranks of the merges, the vocabulary itself is the table of ranks that the
+    faster of two libraries takes; any other file goes to the one that reads it as it is.
+    """
 
-        self._tokenizer = Tokenizer.from_str(model_json)
-        self._tokenizer.encode_special_tokens = True
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+    def __init__(self, model_json: str) -> None:
         parsed = json.loads(model_json)
         back = {letter: byte for byte, letter in byte_letters().items()}
         entries = parsed["model"]["vocab"]
@@ -59,9 +58,25 @@ class ByteTokens:
         for token, number in entries.items():
             if all(letter in back for letter in token):
                 self.bytes[number] = bytes(back[letter] for letter in token)
+        merged = [entries["".join(m.split(" ") if isinstance(m, str) else m)] for m in parsed["model"]["merges"]]
+        special = {t["id"] for t in parsed["added_tokens"]}
+        if merged == sorted(set(merged)) and len(entries.keys() - {t["content"] for t in parsed["added_tokens"]}) == 256 + len(merged):
+            import tiktoken
+
+            ranks = {self.bytes[number]: number for number in entries.values() if number not in special}
+            self._encode = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(model_json)
+            tokenizer.encode_special_tokens = True
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            self._encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [found.ids for found in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self._encode(text)
 
 
 class PieceTokens:
@@ -84,10 +99,9 @@ class PieceTokens:
         self.cuts = not spanning and b"".join(self.bytes[i] for i in self._model.encode(probe)) == f" {probe}".encode()
         self._lone = self._model.piece_to_id(_SPACE)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that all start with a space, which the model sets itself."""
-        found = self._model.encode([word[1:] for word in words], num_threads=1)
-        return [ids if len(word) > 1 else [self._lone] for word, ids in zip(words, found)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that starts with a space, which the model sets itself."""
+        return self._model.encode(text[1:], num_threads=1) if len(text) > 1 else [self._lone]
 
 
 def identity_map(first: ByteTokens, second: PieceTokens) -> np.ndarray:
@@ -103,86 +117,99 @@ def identity_map(first: ByteTokens, second: PieceTokens) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Aligned:
-    """What a word contributes. ``regular``: ids of the first vocabulary in foretold groups; ``links``:
-    pairs (first id above second id) of the other groups. ``whole`` is false if bytes differ."""
+    """Some texts aligned: per text its counts and groups, and all links in order with their text.
 
-    whole: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    text: str
-    regular: list[int]
-    links: list[int]
-
-
-def align_word(word: bytes, a: list[int], b: list[int], first: list[bytes], second: list[bytes], same: list[int]) -> Aligned:
-    """Cut a word's tokens into groups at the bytes where tokens of both sides end.
-
-    Between two cuts of either side lies one link, as exactly one token of each side covers it.
+    ``groups`` are ``a1,a2|b1;a3|b2``, empty without tokens. ``regular`` marks links that are a group of
+    their own which the identity map foretells.
     """
-    if b"".join([first[i] for i in a]) != word or b"".join([second[i] for i in b]) != word:
-        return Aligned(False, 0, 0, 0, "", [], [])
-    regular, links, groups = [], [], []
-    at_a = at_b = 0
-    while at_a < len(a):
-        start_a, start_b = at_a, at_b
-        end_a, end_b = len(first[a[at_a]]), len(second[b[at_b]])
-        held = [a[at_a] << 32 | b[at_b]]
-        while end_a != end_b:
-            if end_a < end_b:
-                at_a += 1
-                end_a += len(first[a[at_a]])
-            else:
-                at_b += 1
-                end_b += len(second[b[at_b]])
-            held.append(a[at_a] << 32 | b[at_b])
-        at_a, at_b = at_a + 1, at_b + 1
-        if len(held) == 1 and same[a[start_a]] == b[start_b]:
-            regular.append(a[start_a])
-        else:
-            links += held
-        groups.append(f"{','.join(map(str, a[start_a:at_a]))}|{','.join(map(str, b[start_b:at_b]))}")
-    return Aligned(True, len(a), len(b), len(groups), ";".join(groups), regular, links)
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    rows: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    regular: np.ndarray
 
 
 class Aligner:
-    """Aligns texts of a task, remembering words."""
+    """Aligns the texts of a task."""
 
     def __init__(self, model_json: str, model: bytes) -> None:
         self.first, self.second = ByteTokens(model_json), PieceTokens(model)
-        self.same = identity_map(self.first, self.second).tolist()
-        self.known: dict[str, Aligned] = {}
+        self.same = identity_map(self.first, self.second)
+        self._sizes = [np.array([len(token) for token in side.bytes], np.int64) for side in (self.first, self.second)]
+        count = max(len(self.first.bytes), len(self.second.bytes))
+        self._numerals = [f"{number}{mark}" for number in range(count) for mark in ",|;"]
 
-    def words(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
+        """The text behind a space, cut where no token of either side can cross if it is long."""
         spaced = f" {text}"
-        return _CUT.split(spaced) if self.second.cuts else [spaced]
-
-    def texts(self, texts: list[str]) -> list[list[Aligned]]:
-        """The words of every text in order; no word for an empty text and one whose bytes differ."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut = [self.words(text) if text else [] for text in texts]
-        known = self.known
-        new = list({word: None for words in cut for word in words if word not in known})
-        for word, a, b in zip(new, self.first.encode(new), self.second.encode(new)):
-            known[word] = align_word(word.encode(), a, b, self.first.bytes, self.second.bytes, self.same)
-        found = [[known[word] for word in words] for words in cut]
-        for word in new:
-            if len(word) > LONGEST_REMEMBERED:
-                del known[word]
-        return [words if all(word.whole for word in words) else [] for words in found]
-
-
-def _counted(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of every row with their number, and where each row's begin."""
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
-    starts = np.flatnonzero(new)
-    times = np.diff(np.append(starts, len(rows)))
-    offsets = np.searchsorted(rows[starts], np.arange(n_rows + 1)).astype(np.int32)
-    return offsets, values[starts], times
+        if len(spaced) <= LONGEST or not self.second.cuts:
+            return [spaced]
+        pieces, start = [], 0
+        while start < len(spaced):
+            cut = _CUT.search(spaced, start + LONGEST)
+            pieces.append(spaced[start : cut.start() if cut else len(spaced)])
+            start += len(pieces[-1])
+        return pieces
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides; None for an empty text and one that a side cannot give back."""
+        if not text:
+            return None
+        pieces, found = self._pieces(text), []
+        whole = f" {text}".encode()
+        for side in (self.first, self.second):
+            ids = side.encode(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in side.encode(piece)]
+            if b"".join(map(side.bytes.__getitem__, ids)) != whole:
+                return None
+            found.append(ids)
+        return found[0], found[1]
+
+    def align(self, texts: list[str]) -> Aligned:
+        found = [self.tokens(text) or ([], []) for text in texts]
+        counts = [np.array([len(pair[side]) for pair in found], np.int64) for side in (0, 1)]
+        ids = [np.fromiter(chain.from_iterable(pair[side] for pair in found), np.int64, counts[side].sum()) for side in (0, 1)]
+        ends = [np.cumsum(sizes[one]) - 1 for sizes, one in zip(self._sizes, ids)]  # last bytes
+        total = int(ends[0][-1]) + 1 if len(ids[0]) else 0
+        marks = np.zeros((2, total), bool)
+        for mark, one in zip(marks, ends):
+            mark[one] = True
+        both = marks[0] & marks[1]
+        group_of = np.cumsum(both) - both  # group that holds a byte
+        of_group = [group_of[one] for one in ends]
+        n_groups = int(both.sum())
+        in_group = [np.bincount(of, minlength=n_groups) for of in of_group]
+        links = np.flatnonzero(marks[0] | marks[1])
+        at = [(np.cumsum(mark) - mark)[links] for mark in marks]
+        a, b = ids[0][at[0]], ids[1][at[1]]
+        alone = (in_group[0] == 1) & (in_group[1] == 1)
+        regular = alone[group_of[links]] & (self.same[a] == b)
+        text_of = np.repeat(np.arange(len(texts)), counts[0])
+        rows = text_of[at[0]]
+        last = text_of[np.cumsum(in_group[0]) - 1] if n_groups else np.empty(0, np.int64)
+        return Aligned(*counts, np.bincount(last, minlength=len(texts)), self._written(ids, of_group, in_group, counts), rows, a, b, regular)
+
+    def _written(self, ids, of_group, in_group, counts) -> list[str]:
+        """The groups of every text as text: both sides' numerals, each with the mark that follows, in turn by group."""
+        total = [np.cumsum(n) for n in in_group]
+        places = [np.arange(len(ids[0])) + (total[1] - in_group[1])[of_group[0]], np.arange(len(ids[1])) + total[0][of_group[1]]]
+        written = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for side, mark in ((0, 1), (1, 2)):
+            closes = np.arange(len(ids[side])) == total[side][of_group[side]] - 1
+            written[places[side]] = 3 * ids[side] + np.where(closes, mark, 0)
+        parts = list(map(self._numerals.__getitem__, written.tolist()))
+        ends = np.cumsum(counts[0] + counts[1]).tolist()
+        return ["".join(parts[start:end])[:-1] for start, end in zip([0, *ends], ends)]
+
+
+def _counted(rows: np.ndarray, values: np.ndarray, n_rows: int, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values (below ``bound``) of every row with their number, and where each row's begin."""
+    keys, times = np.unique(rows * bound + values, return_counts=True)
+    offsets = np.searchsorted(keys, np.arange(n_rows + 1) * bound).astype(np.int32)
+    return offsets, keys % bound, times
 
 
 _ROW = (
@@ -210,18 +237,16 @@ def aligned_rows(df: DataFrame, first_path: str, second_path: str, key: str, tex
         empty = None
         for batch in batches:
             empty = pa.nulls(1, batch.column(0).type)
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
-                end, size = at, 0
-                while end < batch.num_rows and (end == at or size < SLICE):
-                    size += len(batch.column(1)[end].as_py() or "")
-                    end += 1
+                before = int(sizes[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + SLICE)))
                 part = batch.slice(at, end - at)
                 at = end
-                found = aligner.texts([cell.as_py() or "" for cell in part.column(1)])
-                made, counts = _made_rows(found, schema)
-                np.add.at(vector, *counts)
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], [key, *schema.names])
+                found = aligner.align([cell or "" for cell in part.column(1).to_pylist()])
+                np.add.at(vector, found.a[found.regular], 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_made_rows(found, aligner, schema)], [key, *schema.names])
         held = np.flatnonzero(vector)
         if len(held):
             row = {name: [None] for name in schema.names} | {"is_row": [False], "regular": [held], "regular_times": [vector[held]]}
@@ -231,24 +256,24 @@ def aligned_rows(df: DataFrame, first_path: str, second_path: str, key: str, tex
     return stage(rows.withColumn("_row", F.monotonically_increasing_id()), "aligned-rows")
 
 
-def _made_rows(found: list[list[Aligned]], schema: pa.Schema) -> tuple[list[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """Columns of some texts, and the ids and numbers that their foretold groups add to the vector."""
-    n = len(found)
-    counts = {name: [sum([getattr(w, name) for w in words]) for words in found] for name in ("n_a", "n_b", "n_groups")}
-    digests = [hashlib.sha256(";".join([w.text for w in words]).encode()).hexdigest() if words else "" for words in found]
+def _made_rows(found: Aligned, aligner: Aligner, schema: pa.Schema) -> list[pa.Array]:
+    n, width = len(found.groups), len(aligner.second.bytes)
     columns = {
-        "is_row": pa.array(np.ones(n, bool)), **{name: pa.array(c, pa.int64()) for name, c in counts.items()},
-        "n_links": pa.array([a + b - g for a, b, g in zip(*counts.values())], pa.int64()), "groups_sha256": pa.array(digests, pa.string()),
+        "is_row": pa.array(np.ones(n, bool)), "n_a": pa.array(found.n_a), "n_b": pa.array(found.n_b), "n_groups": pa.array(found.n_groups),
+        "n_links": pa.array(found.n_a + found.n_b - found.n_groups),
+        "groups_sha256": pa.array([hashlib.sha256(text.encode()).hexdigest() if text else "" for text in found.groups], pa.string()),
+    }
+    other = ~found.regular
+    pairs = found.a[other] * width + found.b[other]
+    parts = {
+        ("regular", "regular_times"): _counted(found.rows[found.regular], found.a[found.regular], n, len(aligner.same)),
+        ("links", "link_times"): _counted(found.rows[other], pairs, n, len(aligner.same) * width),
     }
-    for name, times, kind in (("regular", "regular_times", pa.int32()), ("links", "link_times", pa.int64())):
-        listed = [[x for w in words for x in getattr(w, name)] for words in found]
-        rows = np.repeat(np.arange(n), [len(values) for values in listed])
-        offsets, values, numbers = _counted(rows, np.array([x for values in listed for x in values], np.int64), n)
-        columns[name] = pa.ListArray.from_arrays(offsets, pa.array(values, kind))
-        columns[times] = pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int64()))
-        if name == "regular":
-            added = values, numbers
-    return [columns[name] for name in schema.names], added
+    for (name, times), (offsets, values, numbers) in parts.items():
+        values = values.astype(np.int32) if name == "regular" else (values // width << 32 | values % width)
+        columns[name] = pa.ListArray.from_arrays(offsets, pa.array(values))
+        columns[times] = pa.ListArray.from_arrays(offsets, pa.array(numbers))
+    return [columns[name] for name in schema.names]
 
 
 def _exploded(rows: DataFrame, values: str, times: str, name: str, *carried: str) -> DataFrame:

@@ -99,18 +99,30 @@ def test_odd_rows(docs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'stll▁\x1c\x85 　"))))
-def test_words_align_like_whole_texts(text):
-    sides = whole(text)
-    words = ALIGNER.texts([text])[0]
-    assert bool(sides) == bool(words)
-    if sides:
-        assert [n for n, _, _ in sides[0]] == [int(n) for w in words for g in w.text.split(";") for n in g.split("|")[0].split(",")]
-        assert [n for n, _, _ in sides[1]] == [int(n) for w in words for g in w.text.split(";") for n in g.split("|")[1].split(",")]
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'stll▁\x1c\x85 　"))), max_size=4))
+def test_texts_have_the_libraries_tokens(texts):
+    found = ALIGNER.align(texts)
+    assert len(found.groups) == len(texts)
+    for place, text in enumerate(texts):
+        sides = whole(text) or ([], [])
+        groups = [g.split("|") for g in found.groups[place].split(";")] if found.groups[place] else []
+        for side in (0, 1):
+            assert [n for n, _, _ in sides[side]] == [int(n) for g in groups for n in g[side].split(",")]
+        assert (found.n_a[place], found.n_b[place], found.n_groups[place]) == (len(sides[0]), len(sides[1]), len(groups))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  \t\nab▁  ")), min_size=1))
+def test_pieces_of_long_texts_have_the_same_tokens(text):
+    before, alignment.LONGEST = alignment.LONGEST, 3
+    try:
+        assert ALIGNER.tokens(text) == ((lambda s: s and tuple([n for n, _, _ in side] for side in s))(whole(text)))
+    finally:
+        alignment.LONGEST = before
 
 
 def test_identity_map_leads_to_equal_bytes():
-    same = alignment.identity_map(ALIGNER.first, ALIGNER.second)
+    same = ALIGNER.same
     assert (same >= 0).sum() > 10_000
     for number in range(0, 50_000, 97):
         held = [n for n in range(32_000) if b_bytes(n) == a_bytes(number)] if number < 2000 else None
@@ -120,9 +132,20 @@ def test_identity_map_leads_to_equal_bytes():
             assert not held
 
 
-def test_forgetting_words_changes_nothing(monkeypatch):
-    texts = [f"word{n % 7} other{n}, and again word{n % 5} " + "y" * (n * 20) for n in range(30)]
-    before = [[w.text for w in words] for words in ALIGNER.texts(texts)]
-    monkeypatch.setattr(alignment, "REMEMBERED", 3)
-    monkeypatch.setattr(alignment, "LONGEST_REMEMBERED", 5)
-    assert [[w.text for t in [text] for w in ALIGNER.texts([t])[0]] for text in texts] == before
+def test_long_words():
+    found = ALIGNER.align(["x" * 300_000 + " y", "é" * 20_000])
+    assert found.n_groups.min() > 0 and found.n_a[0] > 1000
+
+
+def test_ids_in_another_order_go_to_the_other_library():
+    import json
+
+    parsed = json.loads(open(A, encoding="utf-8").read())
+    entries = parsed["model"]["vocab"]
+    one, two = (token for token, number in entries.items() if number in (1000, 2000))
+    entries[one], entries[two] = entries[two], entries[one]
+    back = {number: token for token, number in entries.items()}
+    other = alignment.ByteTokens(json.dumps(parsed))
+    for text in (" some words, and 12 more!", "  é \n x"):
+        assert [back[n] for n in other.encode(text)] == FIRST.encode(text, add_special_tokens=False).tokens
+        assert b"".join(other.bytes[n] for n in other.encode(text)) == text.encode()
