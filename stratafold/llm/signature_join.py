@@ -170,8 +170,12 @@ def _sizes_fit(low: Column, high: Column, other_low: Column, other_high: Column)
     return (100 * high >= PERCENT * other_low) & (100 * other_high >= PERCENT * low)
 
 
-def _sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """Staged full sets of the classes in ``wanted`` (``id``, ``cls``): ``w`` (the id) and ``shingles``."""
+def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """Staged full sets of the classes in ``wanted`` (``id``, ``cls``, ``least`` key): ``w`` (the id) and ``shingles``.
+
+    Sets are made again from the texts. If the wanted classes' smallest keys are few enough to be
+    broadcast, only rows with one of them are hashed; texts are never shuffled for it.
+    """
 
     def gathered(batches):
         for batch in batches:
@@ -181,7 +185,11 @@ def _sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 ["cls", "shingles"],
             )
 
-    made = df.select(F.col(text)).mapInArrow(gathered, "cls binary, shingles array<bigint>")
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.col(text).alias("text"))
+    names = stage(wanted.select(F.coalesce(F.col("least").cast("string"), F.lit("")).alias("name")).distinct(), "wanted-keys")
+    if (names.agg(F.sum(row_bytes(names))).first()[0] or 0) <= BROADCAST:
+        rows = rows.join(F.broadcast(names), "name", "left_semi")
+    made = rows.select("text").mapInArrow(gathered, "cls binary, shingles array<bigint>")
     kept = made.join(_side(wanted.select("cls", "id"), "wanted-classes"), "cls")
     return stage(kept.groupBy(F.col("id").alias("w")).agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
@@ -344,11 +352,12 @@ def _hub_pairs(hubs: DataFrame, facts: DataFrame) -> DataFrame:
     return stage(met.select("a", "b"), "likely-pairs")
 
 
-def _checked(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame) -> DataFrame:
-    """Links among ``pairs``: the sets of their classes are made again from the texts and compared."""
+def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links among ``pairs``, by the full sets of their classes."""
     names = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.select("id", "cls").join(_side(names, "set-names"), "id", "left_semi")
-    return _verified(pairs, _sets(df, text, wanted))
+    ids = stage(classes.select("id", "cls").join(_side(names, "set-names"), "id", "left_semi"), "set-classes")
+    named = keyed.join(_side(ids, "set-ids"), "cls").select("cls", "id", "least")
+    return _verified(pairs, _sets(df, key, text, stage(named, "wanted-sets")))
 
 
 def _stars(found: DataFrame) -> DataFrame:
@@ -374,10 +383,12 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     empty table gives none.
     """
     rows = _hashed_rows(df, key, text)
+    keyed = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
+    keyed = stage(keyed, "class-keys")
     classes = _classes(df, text, _sketch(rows))
     facts = classes.select("id", "n", "signature")
     hubs = _hubs(classes)
-    found = components(_checked(_hub_pairs(hubs, facts), df, text, classes))
+    found = components(_checked(_hub_pairs(hubs, facts), df, key, text, classes, keyed))
     rooted = stage(_rooted(hubs, found), "rooted-members")
     counted = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
     # the pair of a hub and one other has been compared
@@ -387,17 +398,15 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     described = _lookup(unsettled, stage(wanted.withColumnRenamed("id", "w"), "unsettled-facts"), "id", spread="hub")
     pairs = _searched(described)
     promising = pairs.where("promising").select("a", "b")
-    found = components(_stars(found).unionByName(_checked(promising, df, text, classes)))
+    found = components(_stars(found).unionByName(_checked(promising, df, key, text, classes, keyed)))
     rest = _between(pairs.where("NOT promising").select("a", "b"), found)
     if not rest.isEmpty():
-        found = components(_stars(found).unionByName(_checked(rest, df, text, classes)))
-    return _named_rows(rows.where("counter IS NULL").select("key", "n", "cls"), classes, found, key)
+        found = components(_stars(found).unionByName(_checked(rest, df, key, text, classes, keyed)))
+    return _named_rows(rows.where("counter IS NULL").select("key", "n", "cls"), classes, keyed, found, key)
 
 
-def _named_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def _named_rows(rows: DataFrame, classes: DataFrame, keyed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Bring the components' smallest keys back to all rows."""
-    keyed = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
-    keyed = stage(keyed, "class-keys")
     ids = classes.select("id", "cls").join(_side(found.withColumnRenamed("cls", "id"), "roots"), "id")
     linked = stage(ids.join(keyed, "cls").select("cls", "root", "least"), "linked-classes")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
