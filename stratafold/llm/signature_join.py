@@ -4,8 +4,8 @@
 2. A counting sketch of all shingles, of fixed size, gives every shingle a place in one order, rare ones
    first. Any order keeps the results exact; this one keeps frequent passages out of the prefixes. Two
    sets that link share a shingle among the first ``n - ceil(0.85 n) + 1`` of both.
-3. Of the classes that share a prefix shingle the one with most such company is their hub and is compared
-   with each: as many pairs as members. Verified links make components.
+3. Of the classes that share a prefix shingle the one whose prefix is the commonest is their hub and is
+   compared with each: as many pairs as members. Verified links make components.
 4. Classes with a common hub that are not one component yet are searched by signature trees. A class's
    signature is a bitmap of its shingles; a tree node holds the OR of its members' bitmaps, their least
    and largest size and the most shingles that any member has beyond its bits. No member of one node can
@@ -25,9 +25,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from stratafold.llm.near_duplicates import components
 from stratafold.llm.wordhash import NO_SPACE, joined, word_hashes
 from stratafold.operators.lookup import lookup_join, row_bytes
 from stratafold.session import stage
@@ -77,16 +76,9 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, counts[(found >> _SHIFT).astype(np.int64)]))[:length]]
 
 
-def _side(table: DataFrame, name: str) -> DataFrame:
-    """A staged join side, marked for broadcast if it measures at most ``BROADCAST`` bytes."""
-    staged = stage(table, name)
-    size = staged.agg(F.sum(row_bytes(staged))).first()[0] or 0
-    return F.broadcast(staged) if size <= BROADCAST else staged
-
-
-def _lookup(df: DataFrame, table: DataFrame, column: str, **options) -> DataFrame:
-    """Add the columns of ``table``, whose key is called ``w``."""
-    return lookup_join(df, table, {"w": F.col(column)}, **({"broadcast_bytes": BROADCAST, "population": df} | options))
+def _small(table: DataFrame) -> bool:
+    """Whether a stored table measures at most ``BROADCAST`` bytes."""
+    return (table.agg(F.sum(row_bytes(table))).first()[0] or 0) <= BROADCAST
 
 
 def _hashed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,37 +120,38 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _classes(df: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
-    """Staged: ``id``, ``cls``, ``n``, ``signature`` and ``prefix`` of every distinct set."""
+    """Staged: ``id``, ``cls``, ``n``, ``signature``, ``prefix`` and ``weight`` (mean count of the prefix) of every
+    distinct set."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def described(batches):
         for batch in batches:
             found = [s for s in (shingles(cell.as_py()) for cell in batch.column(0)) if len(s)]
+            first = [prefix(s, shared.value) for s in found]
+            weights = [int(1000 * shared.value[(p >> _SHIFT).astype(np.int64)].mean()) for p in first]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
                     pa.array([signature(s) for s in found], pa.list_(pa.int64())),
-                    pa.array([prefix(s, shared.value).view(np.int64) for s in found], pa.list_(pa.int64())),
+                    pa.array([p.view(np.int64) for p in first], pa.list_(pa.int64())), pa.array(weights, pa.int64()),
                 ],
-                ["cls", "n", "signature", "prefix"],
+                ["cls", "n", "signature", "prefix", "weight"],
             )
 
-    rows = df.select(F.col(text)).mapInArrow(described, "cls binary, n bigint, signature array<bigint>, prefix array<bigint>")
-    distinct = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "signature", "prefix")])
+    schema = "cls binary, n bigint, signature array<bigint>, prefix array<bigint>, weight bigint"
+    rows = df.select(F.col(text)).mapInArrow(described, schema)
+    distinct = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "signature", "prefix", "weight")])
     return stage(distinct.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _hubs(classes: DataFrame) -> DataFrame:
     """Staged: ``id`` and ``hub`` of classes that share a prefix shingle. Classes that share one have a hub in
     common, which is also its own."""
-    listed = classes.select("id", F.explode("prefix").alias("token"))
-    groups = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(listed.join(_side(groups, "group-sizes"), "token"), "members")
-    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = members.select("token", "id").join(_side(weights, "weights"), "id")
-    order = F.struct("weight", "id")
-    hubs = weighed.groupBy("token").agg(F.max_by("id", order).alias("hub"))
-    return stage(members.select("token", "id").join(_side(hubs, "hubs"), "token").select("id", "hub").distinct(), "hub-members")
+    # equal weights are told apart by a hash, the same for all shingles
+    order = F.least("weight", F.lit((1 << 42) - 1)) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    listed = classes.select("id", order.alias("order"), F.explode("prefix").alias("token"))
+    groups = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", "order").alias("hub")).where("size > 1")
+    return stage(listed.join(groups, "token").select("id", "hub").distinct(), "hub-members")
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -173,8 +166,8 @@ def _sizes_fit(low: Column, high: Column, other_low: Column, other_high: Column)
 def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """Staged full sets of the classes in ``wanted`` (``id``, ``cls``, ``least`` key): ``w`` (the id) and ``shingles``.
 
-    Sets are made again from the texts. If the wanted classes' smallest keys are few enough to be
-    broadcast, only rows with one of them are hashed; texts are never shuffled for it.
+    Sets are made again from the texts. If the wanted classes are few enough to be broadcast, only rows
+    with one of their smallest keys are hashed; texts are never shuffled for it.
     """
 
     def gathered(batches):
@@ -185,29 +178,59 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                 ["cls", "shingles"],
             )
 
+    few = _small(wanted)
     rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.col(text).alias("text"))
-    names = stage(wanted.select(F.coalesce(F.col("least").cast("string"), F.lit("")).alias("name")).distinct(), "wanted-keys")
-    if (names.agg(F.sum(row_bytes(names))).first()[0] or 0) <= BROADCAST:
+    if few:
+        names = wanted.select(F.coalesce(F.col("least").cast("string"), F.lit("")).alias("name")).distinct()
         rows = rows.join(F.broadcast(names), "name", "left_semi")
     made = rows.select("text").mapInArrow(gathered, "cls binary, shingles array<bigint>")
-    kept = made.join(_side(wanted.select("cls", "id"), "wanted-classes"), "cls")
+    ids = wanted.select("cls", "id")
+    kept = made.join(F.broadcast(ids) if few else ids, "cls")
     return stage(kept.groupBy(F.col("id").alias("w")).agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Staged pairs (``a``, ``b``) whose full sets meet the threshold. ``b`` may stand in very many pairs."""
-    left = sets.select(F.col("w").alias("a"), F.col("shingles").alias("own")).join(_side(pairs, "pairs"), "a")
-    named = _side(pairs.select(F.col("b").alias("w")).distinct(), "partner-names")
-    partners = stage(sets.join(named, "w", "left_semi").withColumnRenamed("shingles", "other"), "partner-sets")
-    both = _lookup(left, partners, "b", population=pairs, spread="a")
+def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Staged links among ``pairs`` (``a``, ``b``): those whose full sets meet the threshold.
+
+    ``b`` may stand in very many pairs; its set is broadcast or repeated for them.
+    """
+    names = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = stage(classes.select("id", "cls").join(names, "id").join(keyed.select("cls", "least"), "cls"), "wanted-sets")
+    sets = _sets(df, key, text, wanted)
+    left = pairs.join(sets.select(F.col("w").alias("a"), F.col("shingles").alias("own")), "a")
+    partners = sets.join(pairs.select(F.col("b").alias("w")).distinct(), "w", "left_semi").withColumnRenamed("shingles", "other")
+    both = lookup_join(left, stage(partners, "partner-sets"), {"w": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
     common = F.size(F.array_intersect("own", "other"))
     linked = 100 * common >= PERCENT * (F.size("own") + F.size("other") - common)
     return stage(both.where(linked).select("a", "b"), "verified-links")
 
 
-def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Add ``root``; a class without links is its own root."""
-    return _lookup(members, found.withColumnRenamed("cls", "w"), "id").withColumn("root", F.coalesce("root", "id"))
+def components(links: DataFrame) -> DataFrame:
+    """Staged: ``id`` and ``root`` (the smallest id of its component) of every class that has a link.
+
+    In each round a class, and the one it points to, take the least that their neighbours point to, and
+    then what that points to; all is written in one job, which also counts it. Distances shrink by half
+    or more a round. Only least values are aggregated, so a class with very many links is a row per task.
+    """
+    edges = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = stage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    found = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("root"))
+    before, number = None, 0
+    while True:
+        seen = Observation(f"components-{number}")
+        counted = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id", "root")).alias("state")]
+        found = stage(found.observe(seen, *counted), "components")
+        now = (seen.get["n"], seen.get["state"])
+        if now == before:
+            return found
+        before, number = now, number + 1
+        point = lambda name, value: found.select(F.col("id").alias(name), F.col("root").alias(value))
+        met = edges.join(point("u", "own"), "u").join(point("v", "other"), "v").select("u", "own", "other")
+        offers = met.select(F.col("u").alias("id"), F.col("other").alias("root")).unionByName(
+            met.select(F.col("own").alias("id"), F.col("other").alias("root"))
+        ).unionByName(found.select("id", "root"))
+        least = offers.groupBy("id").agg(F.min("root").alias("root"))
+        found = least.join(point("root", "beyond"), "root", "left").select("id", F.least("root", F.coalesce("beyond", "root")).alias("root"))
 
 
 class Tree:
@@ -282,14 +305,18 @@ def _best(a: np.ndarray, room: np.ndarray) -> np.ndarray:
     return marked
 
 
-def _parts(unsettled: DataFrame) -> DataFrame:
-    """Add ``part``: 0 for a hub with at most ``PART`` members, else by size class and hash."""
-    counts = unsettled.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > PART)
-    large = _lookup(unsettled, stage(counts.withColumnRenamed("hub", "w"), "large-hubs"), "hub")
-    lanes = F.ceil(F.col("members") / PART)
+def _tree_members(hubs: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Staged members of hubs whose classes are not one component: ``hub``, ``id``, ``root``, ``n``, ``signature`` and
+    ``part``, which is 0 for a hub with at most ``PART`` members, else given by size class and hash."""
+    rooted = hubs.join(found, "id", "left").select("hub", "id", F.coalesce("root", "id").alias("root"))
+    rooted = stage(rooted, "rooted-members")
+    counted = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    # the pair of a hub and one other has been compared
+    mixed = counted.where("low <> high AND members > 2").select("hub", F.ceil(F.col("members") / PART).alias("lanes"))
+    described = rooted.join(mixed, "hub").join(facts, "id")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    part = F.when(F.col("members").isNull(), F.lit(0)).otherwise(band * lanes + F.pmod(F.xxhash64("id"), lanes))
-    return large.withColumn("part", part.cast("bigint")).drop("members")
+    part = F.when(F.col("lanes") == 1, F.lit(0)).otherwise(band * F.col("lanes") + F.pmod(F.xxhash64("id"), F.col("lanes")))
+    return stage(described.withColumn("part", part.cast("bigint")).drop("lanes"), "tree-members")
 
 
 def _part_pairs(parted: DataFrame) -> DataFrame:
@@ -308,16 +335,15 @@ def _part_pairs(parted: DataFrame) -> DataFrame:
     mixed = F.least("l_first", "r_first") < F.greatest("l_last", "r_last")
     fits = _sizes_fit(F.col("l_low"), F.col("l_high"), F.col("r_low"), F.col("r_high"))
     met = both.where(mixed & fits & (overlap >= _needed(F.col("l_low"), F.col("r_low"))))
-    return stage(met.select("hub", F.col("l_part").alias("p"), F.col("r_part").alias("q")), "part-pairs")
+    return met.select("hub", F.col("l_part").alias("p"), F.col("r_part").alias("q"))
 
 
-def _searched(unsettled: DataFrame) -> DataFrame:
+def _searched(parted: DataFrame) -> DataFrame:
     """Staged pairs (``a``, ``b``) of different components that signatures cannot keep apart; ``promising``
-    marks the one with most room of each class and tree. ``unsettled``: ``hub``, ``id``, ``root``, ``n``, ``signature``."""
-    parted = stage(_parts(unsettled), "tree-members")
+    marks the one with most room of each class and tree."""
     pairs = _part_pairs(parted)
     named = pairs.select("hub", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part"))
-    rows = parted.join(_side(named, "part-names"), ["hub", "part"]).select("hub", "p", "q", "part", "id", "root", "n", "signature")
+    rows = parted.join(named, ["hub", "part"]).select("hub", "p", "q", "part", "id", "root", "n", "signature")
 
     def met(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
@@ -340,35 +366,24 @@ def _searched(unsettled: DataFrame) -> DataFrame:
 
 def _hub_pairs(hubs: DataFrame, facts: DataFrame) -> DataFrame:
     """Staged pairs (``a``, ``b``) of classes and their hubs that sizes and signatures cannot keep apart."""
-    pairs = stage(hubs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "hub-pairs")
-    left = facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a")).join(_side(pairs, "pairs"), "a")
-    named = _side(pairs.select(F.col("b").alias("id")).distinct(), "hub-names")
-    right = facts.join(named, "id", "left_semi").select(F.col("id").alias("w"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    both = _lookup(left, stage(right, "hub-facts"), "b", population=pairs, spread="a")
+    left, right = (facts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in "ab")
+    both = hubs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).join(left, "a").join(right, "b")
     common = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)")
-    excess = [F.col(n) - F.expr(f"aggregate({s}, 0, (t, x) -> t + bit_count(x))") for n, s in (("n_a", "s_a"), ("n_b", "s_b"))]
+    excess = [F.col(f"n_{c}") - F.expr(f"aggregate(s_{c}, 0, (t, x) -> t + bit_count(x))") for c in "ab"]
     fits = _sizes_fit(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"))
     met = both.where(fits & (common + F.least(*excess) >= _needed(F.col("n_a"), F.col("n_b"))))
     return stage(met.select("a", "b"), "likely-pairs")
 
 
-def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Links among ``pairs``, by the full sets of their classes."""
-    names = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = stage(classes.select("id", "cls").join(_side(names, "set-names"), "id", "left_semi"), "set-classes")
-    named = keyed.join(_side(ids, "set-ids"), "cls").select("cls", "id", "least")
-    return _verified(pairs, _sets(df, key, text, stage(named, "wanted-sets")))
-
-
 def _stars(found: DataFrame) -> DataFrame:
     """Links that hold the same components together."""
-    return found.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    return found.select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Staged pairs whose classes are in different components."""
     for side in ("a", "b"):
-        pairs = _lookup(pairs, found.select(F.col("cls").alias("w"), F.col("root").alias(f"root_{side}")), side)
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     return stage(pairs.where(apart).select("a", "b"), "remaining-pairs")
 
@@ -389,30 +404,24 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     facts = classes.select("id", "n", "signature")
     hubs = _hubs(classes)
     found = components(_checked(_hub_pairs(hubs, facts), df, key, text, classes, keyed))
-    rooted = stage(_rooted(hubs, found), "rooted-members")
-    counted = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-    # the pair of a hub and one other has been compared
-    mixed = counted.where("low <> high AND members > 2").select("hub")
-    unsettled = stage(rooted.join(_side(mixed, "mixed-hubs"), "hub", "left_semi"), "unsettled")
-    wanted = facts.join(_side(unsettled.select("id").distinct(), "unsettled-names"), "id", "left_semi")
-    described = _lookup(unsettled, stage(wanted.withColumnRenamed("id", "w"), "unsettled-facts"), "id", spread="hub")
-    pairs = _searched(described)
+    pairs = _searched(_tree_members(hubs, found, facts))
     promising = pairs.where("promising").select("a", "b")
-    found = components(_stars(found).unionByName(_checked(promising, df, key, text, classes, keyed)))
-    rest = _between(pairs.where("NOT promising").select("a", "b"), found)
-    if not rest.isEmpty():
-        found = components(_stars(found).unionByName(_checked(rest, df, key, text, classes, keyed)))
+    if not promising.isEmpty():
+        found = components(_stars(found).unionByName(_checked(promising, df, key, text, classes, keyed)))
+        rest = _between(pairs.where("NOT promising").select("a", "b"), found)
+        if not rest.isEmpty():
+            found = components(_stars(found).unionByName(_checked(rest, df, key, text, classes, keyed)))
     return _named_rows(rows.where("counter IS NULL").select("key", "n", "cls"), classes, keyed, found, key)
 
 
 def _named_rows(rows: DataFrame, classes: DataFrame, keyed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Bring the components' smallest keys back to all rows."""
-    ids = classes.select("id", "cls").join(_side(found.withColumnRenamed("cls", "id"), "roots"), "id")
-    linked = stage(ids.join(keyed, "cls").select("cls", "root", "least"), "linked-classes")
+    linked = stage(classes.select("id", "cls").join(found, "id").join(keyed, "cls").select("cls", "root", "least"), "linked-classes")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(_side(smallest, "smallest-keys"), "root").select("cls", "component")
-    alone = keyed.where("copies > 1").join(_side(linked.select("cls"), "linked-names"), "cls", "left_anti")
+    named = linked.join(smallest, "root").select("cls", "component")
+    alone = keyed.where("copies > 1").join(linked.select("cls"), "cls", "left_anti")
     table = stage(named.unionByName(alone.select("cls", F.col("least").alias("component"))), "named-components")
-    both = _lookup(rows, table.select(F.col("cls").alias("w"), "component", F.lit(True).alias("named")), "cls", population=rows)
+    named = table.select(F.col("cls").alias("w"), "component", F.lit(True).alias("named"))
+    both = lookup_join(rows, named, {"w": F.col("cls")}, broadcast_bytes=BROADCAST, population=rows)
     component = F.when(F.col("named"), F.col("component")).otherwise(F.col("key"))
     return both.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
