@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratafold.session import shuffle_width, stage
 
-_BUCKET = "_bucket"
+#: Column that holds the bucket of a value.
+BUCKET = "_bucket"
 
 
 def value_cells(
@@ -36,13 +37,14 @@ def bounds_of(value: str, spark: SparkSession) -> Column:
     return F.percentile_approx(F.col(value).cast("double"), shares, F.lit(4 * width))
 
 
-def _bucketed(cells: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
+def bucketed(cells: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
+    """Add the bucket of every value; ``bounds`` rise strictly."""
     inner = [bound for bound in bounds if abs(bound) != float("inf")]
     if not inner:
-        return cells.withColumn(_BUCKET, F.lit(0.0))
+        return cells.withColumn(BUCKET, F.lit(0.0))
     probe = "_bucket_input"
     splits = [float("-inf"), *inner, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=probe, outputCol=_BUCKET)
+    cut = Bucketizer(splits=splits, inputCol=probe, outputCol=BUCKET)
     return cut.transform(cells.withColumn(probe, F.col(value).cast("double"))).drop(probe)
 
 
@@ -61,18 +63,18 @@ def counts_below(
     """
     if bounds is None:
         bounds = sorted(set(cells.agg(bounds_of(value, cells.sparkSession)).first()[0] or []))
-    bucketed = _bucketed(cells, value, bounds)
-    place = [*by, _BUCKET]
-    before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed(cells, value, bounds)
+    place = [*by, BUCKET]
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*place).agg(*[F.sum(c).alias(c) for c in counters])
+    totals = placed.groupBy(*place).agg(*[F.sum(c).alias(c) for c in counters])
     whole = Window.partitionBy(*by)
     starts = totals.select(
         *place,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in counters],
         *[F.sum(c).over(whole).alias(f"{c}_total") for c in counters],
     )
-    running = bucketed.select(
+    running = placed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_run_{c}") for c in counters]
     )
     return running.join(starts, place).select(
