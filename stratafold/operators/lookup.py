@@ -12,14 +12,19 @@ BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 32
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots and back quotes, as a reference."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_bytes(table: DataFrame) -> Column:
     """Estimated bytes of a row: texts, bytes and arrays by their length, other values by eight."""
     size = F.lit(_ROW_BYTES).cast("bigint")
     for cell in table.schema.fields:
         if isinstance(cell.dataType, (T.StringType, T.BinaryType)):
-            size = size + F.coalesce(F.octet_length(cell.name), F.lit(0))
+            size = size + F.coalesce(F.octet_length(quoted(cell.name)), F.lit(0))
         elif isinstance(cell.dataType, T.ArrayType):
-            size = size + F.coalesce(F.size(cell.name), F.lit(0)) * 8
+            size = size + F.coalesce(F.size(quoted(cell.name)), F.lit(0)) * 8
         else:
             size = size + 8
     return size
@@ -50,9 +55,9 @@ def lookup_join(
         joined = probes.join(F.broadcast(sides), _match(keys), "left")
     else:
         hot = _hot_keys(df if population is None else population, keys)
-        joined = _fanned_join(probes, sides, hot, list(keys), [spread] if spread else df.columns)
+        joined = _fanned_join(probes, sides, hot, list(keys), [quoted(c) for c in ([spread] if spread else df.columns)])
     added = [c for c in table.columns if c not in keys]
-    return joined.select(*df.columns, *added)
+    return joined.select(*[quoted(c) for c in (*df.columns, *added)])
 
 
 def _match(keys) -> Column:
