@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,20 +11,18 @@ from stratafold.functions import clock_text, label_code
 from stratafold.operators import clean, encode, ensemble, folds, metrics
 from stratafold.operators import population as pop
 from stratafold.operators import rowwise as row
-from stratafold.plans.fold_matrix import encode_fold_features, key_cells
-from stratafold.plans.matrix import build_feature_matrices
+from stratafold.operators.ranks import RankIndex
+from stratafold.plans.fold_matrix import encode_all_folds, key_cells, wanted_stats
+from stratafold.plans.matrix import build_feature_matrices, matrix_columns
 from stratafold.plans.runs import next_run_number
 from stratafold.plans.training import CrossValidation, boosted_trees, cross_validated_fit
-from stratafold.schema import (
-    CATEGORICAL, ENCODED_STATS, ID, LABEL, NGRAM_SOURCES, NUMERIC, SERVICES, MatrixColumns, table_schema,
-)
-from stratafold.session import stage
+from stratafold.schema import CATEGORICAL, ENCODED_STATS, ID, LABEL, NGRAM_SOURCES, NUMERIC, SERVICES, table_schema
+from stratafold.session import shared_dir, stage
 from stratafold.sources.subjects import subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
-FOLDS, INNER, SEED, HELD_OUT = 5, 5, 42, 0
-TE_KEYS = ["CAT_tenure", "Contract", "PaymentMethod"]
-TE_NGRAMS = ["BG_Contract_PaymentMethod", "TG_Contract_InternetService_PaymentMethod"]
+FOLDS, INNER, SEED = 5, 5, 42
+NUMERIC_KEYS = ["CAT_tenure", "Contract", "PaymentMethod"]
 
 
 def rounded(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -311,32 +310,58 @@ def _ecdf_by(group: str, name: str) -> Query:
     return query
 
 
+def ecdf_apply(spark, sf_dir):
+    """Ranks of values that the reference does not hold, by an index that was stored and read again."""
+    parts = cleaned(spark, sf_dir, ["TotalCharges", "Contract", LABEL])
+    probes = _probes(parts).withColumn("TotalCharges", F.col("TotalCharges") * 1.0001 + 0.005)
+    subsets = {"rank_nonchurner": F.col(LABEL) == 0, "rank_churner": F.col(LABEL) == 1}
+    for name, tests, group in (("all", subsets, None), ("contract", {"rank_contract": F.lit(True)}, "Contract")):
+        path = f"{shared_dir(spark)}/rank-index-{name}-{uuid.uuid4().hex}"
+        RankIndex.fit(parts["orig"], "TotalCharges", tests, group).save(path)
+        probes = RankIndex.load(spark, path).apply(probes, "TotalCharges")
+    return rounded(probes, [ID], [*subsets, "rank_contract"])
+
+
 # target encoding ---------------------------------------------------------------------------------
 
 
 def _te(spark, sf_dir, part: str) -> DataFrame:
-    """Encodings of all outer folds for their training, held-out or test rows, from one lookup per key."""
-    sources = ["tenure", *NGRAM_SOURCES]
-    train = _labelled(spark, sf_dir, ["split", *sources, "MonthlyCharges", "TotalCharges"]).where("split = 'train'")
+    """Encodings of all keys and outer folds for their training, held-out or test rows, from one lookup per key."""
+    columns = matrix_columns()
+    sources = [*CATEGORICAL, *NUMERIC]
+
+    def keyed(split: str, *others: str) -> DataFrame:
+        view = subjects(spark, sf_dir, [ID, "split", *sources, *others]).where(F.col("split") == split)
+        return view.withColumn("TotalCharges", clean.number(view, "TotalCharges"))
+
+    train = clean.impute_median(keyed("train", "churn_planted"), "TotalCharges")
     rows = stage(folds.nested_folds(train, "churn_planted", ID, FOLDS, INNER, SEED), "folded")
     rows = row.ngram_keys(row.numeric_keys(rows), row.all_ngram_groups())
-    cells = key_cells(rows, MatrixColumns(TE_KEYS, TE_NGRAMS), "churn_planted", "inner_fold", INNER, "fold")
-    priors = {r["fold"]: r["prior"] for r in encode.fold_priors(rows, "churn_planted", "fold").collect()}
-    stats = encode.all_out_of_fold_stats(
-        cells.table, "fold", "inner_fold", INNER, [priors[k] for k in range(FOLDS)], ENCODED_STATS
-    )
-    wanted = cells.wanted()
+    cells = key_cells(rows, columns, "churn_planted", "inner_fold", INNER, "fold")
+    stats = cells.all_stats(rows, "churn_planted", FOLDS)
+    wanted = wanted_stats(columns)
     names = [f"TE_{c}_{s}" for c, found in wanted.items() for s in found]
-    every = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))
     if part == "test":
-        view = subjects(spark, sf_dir, [ID, "split", *sources, "MonthlyCharges", "TotalCharges"])
-        rows = row.ngram_keys(row.numeric_keys(view.where("split = 'test'")), row.all_ngram_groups()).withColumn("held_out", every)
-        inner = F.lit(INNER)
-    elif part == "valid":
-        rows, inner = rows.withColumn("held_out", F.col("fold")), F.lit(INNER)
+        test = clean.impute_median(keyed("test"), "TotalCharges")
+        test = row.ngram_keys(row.numeric_keys(test), row.all_ngram_groups())
+        coded = encode.apply_all_folds(test, stats, wanted, "held_out")
     else:
-        rows, inner = rows.withColumn("held_out", every).where(F.col("held_out") != F.col("fold")), F.col("inner_fold")
-    coded = encode.apply_target_stats(rows, stats, wanted, F.col("held_out") * (INNER + 1) + inner)
+        coded = encode.apply_all_folds(rows, stats, wanted, "held_out", "fold", "inner_fold")
+        own = F.col("held_out") == F.col("fold")
+        coded = coded.where(own if part == "valid" else ~own)
+    return rounded(coded.withColumn("held_out", F.col("held_out").cast("bigint")), [ID, "held_out"], names)
+
+
+def nested_te_numeric(spark, sf_dir):
+    """Encodings of a label of any numbers, for the training and held-out rows of all outer folds."""
+    train = _labelled(spark, sf_dir, ["split", "tenure", "Contract", "PaymentMethod", "MonthlyCharges", "TotalCharges"]).where("split = 'train'")
+    rows = stage(folds.nested_folds(train, "churn_planted", ID, FOLDS, INNER, SEED), "folded")
+    rows = row.numeric_keys(rows.withColumn("TotalCharges", clean.number(rows, "TotalCharges")))
+    cells = encode.numeric_cells(rows, NUMERIC_KEYS, "MonthlyCharges", ["fold", "inner_fold"])
+    priors = {r["fold"]: r["prior"] for r in encode.fold_priors(rows, "MonthlyCharges", "fold").collect()}
+    stats = encode.numeric_out_of_fold_stats(cells, "fold", "inner_fold", INNER, [priors[k] for k in range(FOLDS)], ENCODED_STATS)
+    coded = encode.apply_all_folds(rows, stats, {c: ENCODED_STATS for c in NUMERIC_KEYS}, "held_out", "fold", "inner_fold")
+    names = [f"TE_{c}_{s}" for c in NUMERIC_KEYS for s in ENCODED_STATS]
     return rounded(coded.withColumn("held_out", F.col("held_out").cast("bigint")), [ID, "held_out"], names)
 
 
@@ -376,21 +401,17 @@ def feature_matrix(spark, sf_dir):
 
 
 def fold_encoded_matrix(spark, sf_dir):
-    """All features of the rows of one outer fold: training, held-out and test rows."""
+    """All features of the training, held-out and test rows of every outer fold."""
     train, test, columns = _matrices(
-        spark, sf_dir, lambda df: folds.stratified_folds(df, LABEL, ID, FOLDS, SEED)
-    )
-    rows = stage(train, "train-features")
-    fitted, valid, coded_test, features = encode_fold_features(
-        rows.where(F.col("fold") != HELD_OUT).drop("fold"),
-        rows.where(F.col("fold") == HELD_OUT).drop("fold"),
-        test, LABEL, ID, columns.base_keys, columns.ngram_keys, INNER, SEED,
-    )
-    parts = {"train": fitted, "valid": valid, "test": coded_test}
-    whole = ensemble.union_all(
-        [df.select(ID, F.lit(name).alias("part"), *features) for name, df in parts.items()]
+        spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, FOLDS, INNER, SEED)
     )
-    return rounded(whole, [ID, "part"], features)
+    fitted, tested, features, _ = encode_all_folds(stage(train, "train-features"), test, columns, FOLDS, INNER, LABEL, ID)
+    place = F.when(F.col("fold") == F.col("held_out"), "valid").otherwise("train")
+    whole = ensemble.union_all([
+        df.select(ID, F.col("held_out").cast("bigint").alias("held_out"), part.alias("part"), *features)
+        for df, part in ((fitted, place), (tested, F.lit("test")))
+    ])
+    return rounded(whole, [ID, "held_out", "part"], features)
 
 
 # ensembles and runs ------------------------------------------------------------------------------
@@ -443,7 +464,6 @@ def run_clock(spark, sf_dir):
 
 # models ------------------------------------------------------------------------------------------
 
-GBT_FOLDS = 2
 _FITTED: dict[tuple[str, str], CrossValidation] = {}
 
 
@@ -452,11 +472,9 @@ def _fitted(spark: SparkSession, sf_dir: str) -> CrossValidation:
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _FITTED:
         train, test, columns = _matrices(
-            spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, GBT_FOLDS, 3, SEED)
-        )
-        _FITTED[place] = cross_validated_fit(
-            train, test, columns, boosted_trees(rounds=3, depth=4, step=0.3), folds=GBT_FOLDS, inner_folds=3
+            spark, sf_dir, lambda df: folds.nested_folds(df, LABEL, ID, FOLDS, INNER, SEED)
         )
+        _FITTED[place] = cross_validated_fit(train, test, columns)
     return _FITTED[place]
 
 
@@ -491,16 +509,25 @@ def gbt_test_rows(spark, sf_dir):
 
 
 def gbt_importance_rows(spark, sf_dir):
-    """Per fold: how many features have an importance, and their sum."""
-    rows = spark.createDataFrame(_fitted(spark, sf_dir).importance_rows, "fold bigint, feature string, gain double")
-    return rows.groupBy("fold").agg(F.count_distinct("feature").alias("n_features"), F.round(F.sum("gain"), 6).alias("total"))
+    """Per fold: whether features split, with a positive gain that is the total over the splits."""
+    gains = _fitted(spark, sf_dir).gains().groupBy(F.col("fold").cast("bigint").alias("fold"))
+    mean = F.abs(F.col("gain") * F.col("n_splits") - F.col("total_gain")) <= 1e-9 * F.col("total_gain")
+    return gains.agg(
+        (F.count_distinct("feature") == F.count("feature")).alias("distinct"), F.every((F.col("n_splits") > 0) & (F.col("gain") > 0) & mean).alias("positive")
+    )
 
 
 def gbt_history_rows(spark, sf_dir):
-    """Per fold and split: the first round, and whether losses are positive and as many as rounds."""
-    rows = _fitted(spark, sf_dir).history().groupBy(F.col("fold").cast("bigint").alias("fold"), "split")
+    """Per fold and split: the first round, whether losses and areas of all rounds are there, and whether the kept
+    round is the best one seen."""
+    found = _fitted(spark, sf_dir)
+    rows = found.history().withColumn("kept", F.get(F.array([F.lit(rounds - 1) for rounds in found.rounds]), F.col("fold")))
     last, first = F.max("iteration"), F.min("iteration").cast("bigint")
-    return rows.agg(first.alias("first_round"), ((F.min("loss") > 0) & (F.count("loss") == last + 1)).alias("complete"))
+    best = F.max(F.when(F.col("iteration") == F.col("kept"), F.col("auc"))) >= F.max(F.when(F.col("iteration") <= F.col("kept") + 9, F.col("auc")))
+    return rows.groupBy(F.col("fold").cast("bigint").alias("fold"), "split").agg(
+        first.alias("first_round"), ((F.min("loss") > 0) & (F.count("loss") == last + 1) & (F.count("auc") == last + 1)).alias("complete"),
+        F.when(F.col("split") == "valid", best).otherwise(True).alias("best_kept"),
+    )
 
 
 def registered() -> dict[str, Query]:
@@ -511,7 +538,7 @@ def registered() -> dict[str, Query]:
         prediction_histogram, topk_scores,
         ratio_features, service_flags, per_tenure_ratios, numeric_keys,
         frequency_encode, bag_union, reference_target_rate, group_residual, zscore_gap, quantile_distance,
-        ecdf_rank, fold_prior, smoothed_te, feature_matrix, fold_encoded_matrix,
+        ecdf_rank, ecdf_apply, nested_te_numeric, fold_prior, smoothed_te, feature_matrix, fold_encoded_matrix,
         oof_union, oof_coverage, ensemble_mean, run_clock,
         gbt_cv_oof, gbt_test_ensemble, gbt_fold_scores, gbt_importance, gbt_eval_history,
         gbt_oof_rows, gbt_test_rows, gbt_importance_rows, gbt_history_rows,

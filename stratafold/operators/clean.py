@@ -59,21 +59,25 @@ def impute_median(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def impute_medians(tables: dict[str, DataFrame], column: str) -> dict[str, DataFrame]:
-    """``impute_median`` of several tables, each with its own median, in one ranking pass."""
-    parsed = {name: df.withColumn(column, number(df, column)) for name, df in tables.items()}
+def medians(tables: dict[str, DataFrame], column: str) -> dict[str, float | None]:
+    """Exact median of ``column`` in each table, in one ranking pass; None for a table without a number."""
     stacked = None
-    for name, df in parsed.items():
-        part = df.select(F.lit(name).alias("_table"), column)
+    for name, df in tables.items():
+        part = df.select(F.lit(name).alias("_table"), number(df, column).alias(column))
         stacked = part if stacked is None else stacked.unionByName(part)
-    found = {
-        row["_table"]: row["_median"]
-        for row in exact_quantiles(stacked, column, {"_median": 0.5}, by=["_table"]).collect()
-    }
-    return {
-        name: df.withColumn(column, F.coalesce(column, F.lit(found.get(name)).cast("double")))
-        for name, df in parsed.items()
-    }
+    found = exact_quantiles(stacked, column, {"_median": 0.5}, by=["_table"]).collect()
+    return dict.fromkeys(tables) | {row["_table"]: row["_median"] for row in found}
+
+
+def imputed(df: DataFrame, column: str, middle: float | None) -> DataFrame:
+    """Parse ``column`` and fill its gaps with a number."""
+    return df.withColumn(column, F.coalesce(number(df, column), F.lit(middle).cast("double")))
+
+
+def impute_medians(tables: dict[str, DataFrame], column: str) -> dict[str, DataFrame]:
+    """``impute_median`` of several tables, each with its own median, in one ranking pass."""
+    found = medians(tables, column)
+    return {name: imputed(df, column, found[name]) for name, df in tables.items()}
 
 
 def fill_constants(df: DataFrame, fills: dict[str, float]) -> DataFrame:

@@ -120,30 +120,90 @@ def all_out_of_fold_stats(
     Slot ``held_out * (inner_folds + 1) + i`` belongs to the encoder that leaves outer fold ``held_out``
     out; ``priors`` are those encoders' label means. Cells outside both fold ranges are an error.
     """
-    places = [(o, i) for o in range(len(priors)) for i in range(inner_folds)]
+    merged = {"n": ("n", "bigint", "s + c.n"), "s": ("s", "bigint", "s + c.s")}
+    per_slot = _slots(cells, fold, inner, inner_folds, len(priors), merged)
 
-    def held(counter: str, o: int, i: int) -> Column:
-        return F.sum(F.when((F.col(fold) == o) & (F.col(inner) == i), F.col(counter)).otherwise(0))
+    def per_slot_numbers(stat: str) -> Column:
+        return F.zip_with("n", "s", lambda n, s: closed_form(n, s, stat))
 
-    sums = cells.groupBy("column", "value").agg(
-        F.sum("n").alias("n"), *[held(c, o, i).alias(f"{c}{o}_{i}") for c in ("n", "s") for o, i in places]
+    numbers = F.concat(*[per_slot_numbers(stat) for stat in stats])
+    return TargetStats(KeyedNumbers.of(per_slot.select("column", "value", numbers.alias("numbers"))), list(stats), list(priors), inner_folds)
+
+
+def _slots(
+    cells: DataFrame, fold: str, inner: str, inner_folds: int, folds: int, merged: Mapping[str, tuple[str, str, str]]
+) -> DataFrame:
+    """Per (column, value) one array per entry of ``merged``, with what all cells outside a slot's outer and
+    inner fold add up to. An entry names a cell column, its type and how the sum ``s`` takes a cell ``c`` in.
+
+    A key has one cell per outer and inner fold at most, so its list is short; rows were merged before.
+    """
+    held = [c for c in dict.fromkeys(column for column, _, _ in merged.values())]
+    listed = cells.groupBy("column", "value").agg(
+        F.collect_list(F.struct(F.col(fold).alias("_o"), F.col(inner).alias("_i"), *held)).alias("_cells")
+    )
+    known = F.forall("_cells", lambda c: F.coalesce(c["_o"].between(0, folds - 1) & c["_i"].between(0, inner_folds - 1), F.lit(False)))
+    checked = F.when(known, F.col("_cells")).otherwise(F.raise_error(F.lit("fold numbers beyond their counts")).cast(listed.schema["_cells"].dataType))
+    width = inner_folds + 1
+    kept = listed.select("column", "value", checked.alias("_cells")).select(
+        "column", "value",
+        F.expr(
+            f"transform(sequence(0, {folds * width - 1}), k -> "
+            f"filter(_cells, c -> c._o <> k div {width} AND c._i <> k % {width}))"
+        ).alias("_kept"),
+    )
+    start = {kind: "0L" if kind == "bigint" else f"CAST(NULL AS {kind})" for _, kind, _ in merged.values()}
+    return kept.select(
+        "column", "value",
+        *[
+            F.expr(f"transform(_kept, cells -> aggregate(cells, {start[kind]}, (s, c) -> {step}))").alias(name)
+            for name, (_, kind, step) in merged.items()
+        ],
     )
-    rest = {  # rows per inner fold that are not in the outer fold
-        f"{c}_not{o}_{i}": sum((F.col(f"{c}{p}_{i}") for p in range(len(priors)) if p != o), F.lit(0)) for c in ("n", "s") for o, i in places
-    }
-    known = sum((F.col(f"n{o}_{i}") for o, i in places), F.lit(0)) == F.col("n")
-    wide = sums.select("column", "value", known.alias("known"), *[column.alias(name) for name, column in rest.items()])
 
-    def kept(counter: str, o: int, left_out: int) -> Column:
-        return sum((F.col(f"{counter}_not{o}_{i}") for i in range(inner_folds) if i != left_out), F.lit(0))
 
-    encoded = [
-        closed_form(kept("n", o, i), kept("s", o, i), stat) for stat in stats for o in range(len(priors)) for i in range(inner_folds + 1)
-    ]
-    numbers = F.when(F.col("known"), F.array(*encoded)).otherwise(
-        F.raise_error(F.lit("fold numbers beyond their counts")).cast("array<double>")
+def numeric_cells(
+    rows: DataFrame, columns: Sequence[str], label: str, folds: Sequence[str] = ()
+) -> DataFrame:
+    """Cells of a label of any numbers: count ``n``, ``mean``, ``spread`` (sum of squared distances to it),
+    ``low`` and ``high`` per (column, value, folds). Missing labels and NaN count nowhere."""
+    number = F.col(label).cast("double")
+    long = unpivoted(rows, columns, [*[F.col(c) for c in folds], F.when(~F.isnan(number), number).alias("_label")])
+    return long.where("_label IS NOT NULL").groupBy("column", "value", *folds).agg(
+        F.count("_label").alias("n"), F.avg("_label").alias("mean"), (F.var_pop("_label") * F.count("_label")).alias("spread"),
+        F.min("_label").alias("low"), F.max("_label").alias("high"),
     )
-    return TargetStats(KeyedNumbers.of(wide.select("column", "value", numbers.alias("numbers"))), list(stats), list(priors), inner_folds)
+
+
+def numeric_out_of_fold_stats(
+    cells: DataFrame, fold: str, inner: str, inner_folds: int, priors: Sequence[float], stats: Sequence[str]
+) -> TargetStats:
+    """``all_out_of_fold_stats`` of ``numeric_cells``.
+
+    Extremes cannot be subtracted, so every slot merges the cells it keeps: least and largest values,
+    and means and spreads by the pairwise formula, which does not cancel as differences of sums would.
+    """
+    merged = {
+        "n": ("n", "bigint", "s + c.n"),
+        "total": ("mean", "double", "coalesce(s, 0D) + c.n * c.mean"),
+        "low": ("low", "double", "least(s, c.low)"),
+        "high": ("high", "double", "greatest(s, c.high)"),
+        "moments": (
+            "spread", "struct<n: double, mean: double, spread: double>",
+            "named_struct('n', coalesce(s.n, 0D) + c.n, "
+            "'mean', coalesce(s.mean + (c.mean - s.mean) * c.n / (s.n + c.n), c.mean), "
+            "'spread', coalesce(s.spread + c.spread + power(c.mean - s.mean, 2) * s.n * c.n / (s.n + c.n), c.spread))",
+        ),
+    }
+    per_slot = _slots(cells, fold, inner, inner_folds, len(priors), merged)
+    found = {
+        "mean": F.zip_with("total", "n", lambda total, n: F.when(n > 0, total / n)),
+        "std": F.transform("moments", lambda m: F.when(m["n"] > 1, F.sqrt(m["spread"] / (m["n"] - 1)))),
+        "min": F.col("low"),
+        "max": F.col("high"),
+    }
+    numbers = F.concat(*[found[stat] for stat in stats])
+    return TargetStats(KeyedNumbers.of(per_slot.select("column", "value", numbers.alias("numbers"))), list(stats), list(priors), inner_folds)
 
 
 def apply_target_stats(
@@ -157,21 +217,54 @@ def apply_target_stats(
 
     A slot beyond those of the encodings, and a missing one, is an error.
     """
+    found = encodings.numbers.find(rows.withColumn("_slot", _checked_slot(encodings, slot)), wanted, **options)
+    return found.selectExpr(*[f"`{c}`" for c in rows.columns], *_read_slots(encodings, wanted))
+
+
+def apply_all_folds(
+    rows: DataFrame,
+    encodings: TargetStats,
+    wanted: Mapping[str, Sequence[str]],
+    held_out: str,
+    fold: str | None = None,
+    inner: str | None = None,
+    **options,
+) -> DataFrame:
+    """``apply_target_stats`` for every outer fold: one row per row and fold ``held_out``, one lookup per key.
+
+    With ``fold`` and ``inner`` a row is a training row: it gets the encodings that leave its inner fold
+    out, and those of all training rows where its own fold is held out. Without them it is a test row.
+    """
+    width = encodings.inner_folds + 1
+    folds = encodings.slots() // width
+    found = encodings.numbers.find(rows, wanted, **options)
+    every = found.withColumn(held_out, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    place = F.lit(encodings.inner_folds)
+    if fold is not None:
+        place = F.when(F.col(fold) != F.col(held_out), F.col(inner)).when(F.col(fold) == F.col(held_out), place)
+    slotted = every.withColumn("_slot", _checked_slot(encodings, F.col(held_out) * width + place))
+    return slotted.selectExpr(*[f"`{c}`" for c in rows.columns], f"`{held_out}`", *_read_slots(encodings, wanted))
+
+
+def _checked_slot(encodings: TargetStats, slot: Column) -> Column:
     width = encodings.slots()
-    slot = F.when(slot.between(0, width - 1), slot).otherwise(
+    return F.when(slot.between(0, width - 1), slot).otherwise(
         F.raise_error(F.lit(f"slots must run from 0 to {width - 1}")).cast("int")
     )
+
+
+def _read_slots(encodings: TargetStats, wanted: Mapping[str, Sequence[str]]) -> list[str]:
+    """The features as SQL over the looked-up arrays and ``_slot``."""
     added = []
     for column, stats in wanted.items():
         for stat in stats:
-            start = encodings.stats.index(stat) * width
+            start = encodings.stats.index(stat) * encodings.slots()
             fill = encodings.fill() if stat == "mean" else "double('0')"
             added.append(
                 f"cast(coalesce(get(`_found_{column}`, _slot + {start}), {fill}) as float) "
                 f"AS `TE_{column}_{stat}`"
             )
-    found = encodings.numbers.find(rows.withColumn("_slot", slot), wanted, **options)
-    return found.selectExpr(*[f"`{c}`" for c in rows.columns], *added)
+    return added
 
 
 def fold_priors(rows: DataFrame, label: str, fold: str) -> DataFrame:

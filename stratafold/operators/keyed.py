@@ -46,8 +46,9 @@ class KeyedNumbers:
     small: dict[str, dict[str, list[float | None]]]
 
     @classmethod
-    def of(cls, table: DataFrame) -> KeyedNumbers:
-        table = stage(table, "lookups")
+    def of(cls, table: DataFrame, stored: bool = False) -> KeyedNumbers:
+        """From a table of ``column``, ``value`` and ``numbers``, which is written to files unless it is ``stored``."""
+        table = table if stored else stage(table, "lookups")
         counted = table.groupBy("column").agg(
             F.count("value").alias("rows"), F.sum(row_bytes(table)).alias("bytes")
         ).collect()

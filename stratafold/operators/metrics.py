@@ -14,8 +14,7 @@ LOSS_CLIP = 1e-15
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve per group, ties counted half; null for a one-class group."""
-    cells = _score_cells(df, score, label, by)
-    return _area(counts_below(cells, score, ["_neg"], by), by)
+    return areas(score_cells(df, score, label, by), score, by)
 
 
 def fold_auc_summary(df: DataFrame, score: str, label: str, fold: str) -> DataFrame:
@@ -24,13 +23,13 @@ def fold_auc_summary(df: DataFrame, score: str, label: str, fold: str) -> DataFr
     Folds are named from 1 on, as readers count; their numbers start at 0.
     Pooled cells are a roll-up of the fold cells, so the rows are grouped once.
     """
-    cells = _score_cells(df, score, label, [fold])
+    cells = score_cells(df, score, label, [fold])
     named = cells.select(
         F.concat(F.lit("Fold "), (F.col(fold) + 1).cast("string")).alias("label"), score, "_pos", "_neg"
     )
     pooled = cells.groupBy(score).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     both = stage(named.unionByName(pooled.select(F.lit("Overall").alias("label"), score, "_pos", "_neg")))
-    return _area(counts_below(both, score, ["_neg"], ["label"]), ["label"])
+    return areas(both, score, ["label"])
 
 
 def fold_auc_range(summary: DataFrame) -> DataFrame:
@@ -41,11 +40,14 @@ def fold_auc_range(summary: DataFrame) -> DataFrame:
     )
 
 
-def _score_cells(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    return stage(value_cells(df, score, {"_pos": F.col(label) == 1, "_neg": F.col(label) == 0}, by))
+def score_cells(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Staged: one row per group and distinct score with the number of labels 1 (``_pos``) and 0 (``_neg``)."""
+    return stage(value_cells(df, score, {"_pos": F.col(label) == 1, "_neg": F.col(label) == 0}, by), "score-cells")
 
 
-def _area(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+def areas(cells: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` from stored ``score_cells``."""
+    ranked = counts_below(cells, score, ["_neg"], by)
     pos = F.col("_pos").cast("double")
     wins = F.sum(pos * (F.col("_neg_below") + F.col("_neg") / 2))
     pairs = F.sum(pos) * F.sum(F.col("_neg").cast("double"))

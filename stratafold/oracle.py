@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from stratafold.catalog import FOLDS, GBT_FOLDS, HELD_OUT, INNER, SEED, TE_KEYS, TE_NGRAMS
+from stratafold.catalog import FOLDS, INNER, NUMERIC_KEYS, SEED
 from stratafold.functions.numbers import NUMBER_TEXT
 from stratafold.schema import (
     CATEGORICAL, ENCODED_STATS, NGRAM_SOURCES, NUMERIC, SERVICES, table_schema,
@@ -274,7 +274,7 @@ def picked(names, joins: str) -> str:
 # target encoding ---------------------------------------------------------------------------------
 
 
-def te_ctes(source: str, keys: dict[str, tuple[str, list[str]]], held_out: int = HELD_OUT) -> list[str]:
+def te_ctes(source: str, keys: dict[str, tuple[str, list[str]]], held_out: int) -> list[str]:
     """Per key and left-out inner fold, the label statistics of all other training rows.
 
     Slot ``INNER`` leaves nothing out. ``keys`` maps a name to its expression and statistics.
@@ -306,56 +306,57 @@ def te_joins(keys: dict[str, tuple[str, list[str]]], slot: str) -> str:
     return " ".join([*joins, "CROSS JOIN prior"])
 
 
-def te_queries() -> dict[str, str]:
-    sources = CAT_KEYS | NGRAMS | {c: f'"{c}"' for c in CATEGORICAL}
-    keys = {k: (sources[k], ENCODED_STATS) for k in TE_KEYS} | {k: (sources[k], ["mean"]) for k in TE_NGRAMS}
-    columns = columns_of(te_columns(keys))
+def encoded_keys() -> dict[str, tuple[str, list[str]]]:
+    plain = {c: f'"{c}"' for c in CATEGORICAL}
+    return {k: (e, ENCODED_STATS) for k, e in (CAT_KEYS | plain).items()} | {k: (e, ["mean"]) for k, e in NGRAMS.items()}
+
+
+def all_folds(keys: dict, label: str, columns: str, source: str, slot: str, where: str) -> str:
+    """The encodings of every outer fold, each by direct grouping of its training rows."""
+    parts = []
+    for k in range(FOLDS):
+        ctes = [_FOLDED_TRAIN, _NESTED, f"training AS (SELECT *, {label} AS y FROM nested)", *te_ctes("training", keys, k)]
+        body = f"SELECT id, CAST({k} AS BIGINT) AS held_out, {columns} FROM {source} {te_joins(keys, slot)} WHERE {where.format(k=k)}"
+        parts.append(f"SELECT * FROM ({with_base(body, *ctes)})")
+    return " UNION ALL ".join(parts)
 
-    def all_folds(source: str, slot: str, where: str) -> str:
-        parts = []
-        for k in range(FOLDS):
-            ctes = [_FOLDED_TRAIN, _NESTED, "training AS (SELECT *, churn_planted AS y FROM nested)", *te_ctes("training", keys, k)]
-            body = f"SELECT id, CAST({k} AS BIGINT) AS held_out, {columns} FROM {source} {te_joins(keys, slot)} WHERE {where.format(k=k)}"
-            parts.append(f"SELECT * FROM ({with_base(body, *ctes)})")
-        return " UNION ALL ".join(parts)
 
+def te_queries() -> dict[str, str]:
+    keys = encoded_keys()
+    columns = columns_of(te_columns(keys))
+    numeric = {k: (CAT_KEYS.get(k, f'"{k}"'), ENCODED_STATS) for k in NUMERIC_KEYS}
+    either = f"CASE WHEN fold = {{k}} THEN {INNER} ELSE inner_fold END"
+    parts = [
+        all_folds(numeric, '"MonthlyCharges"', columns_of(te_columns(numeric)), "training", either.format(k=k), f"{k} = {{k}}") for k in range(FOLDS)
+    ]
     return {
-        "nested_te_train": all_folds("training", "inner_fold", "fold <> {k}"),
-        "te_validation": all_folds("training", str(INNER), "fold = {k}"),
-        "te_test": all_folds("filled", str(INNER), "split = 'test'"),
+        "nested_te_train": all_folds(keys, "churn_planted", columns, "training", "inner_fold", "fold <> {k}"),
+        "te_validation": all_folds(keys, "churn_planted", columns, "training", str(INNER), "fold = {k}"),
+        "te_test": all_folds(keys, "churn_planted", columns, "filled", str(INNER), "split = 'test'"),
+        "nested_te_numeric": " UNION ALL ".join(f"SELECT * FROM ({part})" for part in parts),
     }
 
 
 def encoded_matrix_sql() -> str:
-    features = all_features()
-    plain = {c: f'"{c}"' for c in CATEGORICAL}
-    keys = {k: (e, ENCODED_STATS) for k, e in (CAT_KEYS | plain).items()} | {k: (e, ["mean"]) for k, e in NGRAMS.items()}
-    inner = (
-        "training AS (SELECT *, \"Churn\" AS y, (row_number() OVER (ORDER BY fold = 0, \"Churn\", "
-        f"md5(CAST(id AS VARCHAR) || '#{SEED}'), id) - 1) % {INNER} AS inner_fold FROM folded)"
-    )
+    """Rows of every outer fold with its encodings; the population features are the same in all."""
+    features, keys = all_features(), encoded_keys()
     raw = ["tenure", "MonthlyCharges", "TotalCharges"]
+    numbers = {c: single(f'coalesce("{c}", -1)') for c in [*raw, *features]}
     wide = (
         f"wide AS (SELECT t.*, {', '.join(f'{e} AS "{n}"' for n, e in features.items())} "
         f"FROM planted t {population_joins()} WHERE split IN ('train', 'test'))"
     )
-    rows = (
-        "placed AS (SELECT wide.*, CASE WHEN wide.split = 'test' THEN 'test' WHEN training.fold = 0 THEN 'valid' "
-        f"ELSE 'train' END AS part, CASE WHEN training.fold <> 0 THEN inner_fold ELSE {INNER} END AS row_slot "
-        "FROM wide LEFT JOIN training ON wide.id = training.id)"
-    )
-    ctes = [
-        *population_ctes("planted"),
-        folds_cte("folded", "planted", '"Churn"', FOLDS, "fold", "split = 'train'"),
-        inner,
-        *te_ctes("training", keys),
-        wide,
-        rows,
-    ]
-    numbers = {c: single(f'coalesce("{c}", -1)') for c in [*raw, *features]}
-    return with_base(
-        f"SELECT id, part, {columns_of(numbers | te_columns(keys))} FROM placed {te_joins(keys, 'row_slot')}", *ctes
-    )
+    parts = []
+    for k in range(FOLDS):
+        ctes = [
+            *population_ctes("planted"), folds_cte("folded", "planted", "churn_planted", FOLDS, "fold", "split = 'train'"), _NESTED,
+            'training AS (SELECT *, "Churn" AS y FROM nested)', *te_ctes("training", keys, k), wide,
+            f"placed AS (SELECT wide.*, CASE WHEN wide.split = 'test' THEN 'test' WHEN training.fold = {k} THEN 'valid' ELSE 'train' END AS part, "
+            f"CASE WHEN training.fold <> {k} THEN inner_fold ELSE {INNER} END AS row_slot FROM wide LEFT JOIN training ON wide.id = training.id)",
+        ]
+        body = f"SELECT id, CAST({k} AS BIGINT) AS held_out, part, {columns_of(numbers | te_columns(keys))} FROM placed {te_joins(keys, 'row_slot')}"
+        parts.append(f"SELECT * FROM ({with_base(body, *ctes)})")
+    return " UNION ALL ".join(parts)
 
 
 def all_features() -> dict[str, str]:
@@ -433,16 +434,13 @@ def oracle() -> dict[str, str]:
         "fold_auc_summary": with_base(summary_sql("folded", '"MonthlyCharges"'), _FOLDED),
         "gbt_oof_rows": with_base(
             'SELECT id, CAST(churn_planted AS BIGINT) AS "Churn", CAST(fold AS BIGINT) AS fold, TRUE AS in_range FROM models',
-            folds_cte("models", "filled", "churn_planted", GBT_FOLDS, "fold", "split = 'train'"),
+            folds_cte("models", "filled", "churn_planted", FOLDS, "fold", "split = 'train'"),
         ),
         "gbt_test_rows": from_view("SELECT id, TRUE AS in_range FROM raw WHERE split = 'test'"),
-        "gbt_importance_rows": (
-            f"SELECT CAST(range AS BIGINT) AS fold, CAST({3 + len(all_features()) + 4 * 19 + 19} AS BIGINT) AS n_features, "
-            f"CAST(1 AS DOUBLE) AS total FROM range({GBT_FOLDS})"
-        ),
+        "gbt_importance_rows": f"SELECT CAST(range AS BIGINT) AS fold, TRUE AS \"distinct\", TRUE AS positive FROM range({FOLDS})",
         "gbt_history_rows": (
-            f"SELECT CAST(range AS BIGINT) AS fold, split, CAST(0 AS BIGINT) AS first_round, TRUE AS complete "
-            f"FROM range({GBT_FOLDS}) CROSS JOIN (VALUES ('train'), ('valid')) s(split)"
+            f"SELECT CAST(range AS BIGINT) AS fold, split, CAST(0 AS BIGINT) AS first_round, TRUE AS complete, TRUE AS best_kept "
+            f"FROM range({FOLDS}) CROSS JOIN (VALUES ('train'), ('valid')) s(split)"
         ),
         "fold_auc_range": with_base(
             "SELECT count(*) AS folds, " + six("min(auc)", "lowest") + ", " + six("max(auc)", "highest") + ", " + six("avg(auc)", "mean")
@@ -504,6 +502,13 @@ def oracle() -> dict[str, str]:
             picked(["cond_pctrank_C_TC"], 'LEFT JOIN rank_c ON t."TotalCharges" = rank_c.v AND t."Contract" = rank_c.g'),
             group_ranks_cte("rank_c", "Contract"),
         ),
+        "ecdf_apply": with_base(
+            "SELECT id, " + ", ".join(
+                six(single(f"coalesce((SELECT avg(CASE WHEN r.\"TotalCharges\" < v THEN 1 ELSE 0 END) FROM filled r WHERE r.split = 'orig' AND {test}), 0)"), name)
+                for name, test in (("rank_nonchurner", 'r."Churn" = 0'), ("rank_churner", 'r."Churn" = 1'), ("rank_contract", 'r."Contract" = p."Contract"'))
+            ) + " FROM probes p",
+            'probes AS (SELECT *, "TotalCharges" * 1.0001::DOUBLE + 0.005::DOUBLE AS v FROM filled WHERE split IN (\'train\', \'test\'))',
+        ),
         "fold_prior": with_base(
             "SELECT CAST(k AS BIGINT) AS fold, count(*) AS n_train, " + six("avg(churn_planted)", "prior")
             + f" FROM folded JOIN (SELECT range AS k FROM range({FOLDS})) ON fold <> k GROUP BY k",

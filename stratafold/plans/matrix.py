@@ -135,11 +135,20 @@ def _add_value_features(df: DataFrame, fitted: Population, column: str, options:
     return joined.withColumns(filled)
 
 
+def add_row_features(df: DataFrame) -> DataFrame:
+    """Features that depend on the row alone, and its keys."""
+    wide = row.service_features(row.ratio_features(df))
+    for plan in (row.TENURE_DIGITS, row.MONTHLY_DIGITS, row.TOTAL_DIGITS):
+        wide = row.digit_features(wide, plan)
+    wide = row.numeric_keys(row.per_tenure_features(wide))
+    return row.ngram_keys(wide, row.all_ngram_groups())
+
+
 def build_feature_matrices(
     train: DataFrame,
     test: DataFrame,
     reference: DataFrame,
-    target_col: str = LABEL,
+    label: str = LABEL,
     options: dict | None = None,
 ) -> tuple[DataFrame, DataFrame, MatrixColumns]:
     """Add all features to the training and the test table.
@@ -149,17 +158,16 @@ def build_feature_matrices(
     the filter on the source reaches the scans, so each reads its own table only.
     """
     filled = impute_medians({"train": train, "test": test, "reference": reference}, _TOTAL)
-    fitted = fit_population(filled["train"], filled["test"], filled["reference"], target_col)
-    both = filled["train"].withColumn(_SOURCE, F.lit("train")).unionByName(
-        filled["test"].withColumn(_SOURCE, F.lit("test")), allowMissingColumns=True
+    fitted = fit_population(filled["train"], filled["test"], filled["reference"], label)
+    return (*population_matrices(filled["train"], filled["test"], fitted, options), matrix_columns())
+
+
+def population_matrices(train: DataFrame, test: DataFrame, fitted: Population, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both matrices from imputed tables and a fitted population."""
+    both = train.withColumn(_SOURCE, F.lit("train")).unionByName(
+        test.withColumn(_SOURCE, F.lit("test")), allowMissingColumns=True
     )
-    wide = add_population_features(both, fitted, options)
-    wide = row.service_features(row.ratio_features(wide))
-    for plan in (row.TENURE_DIGITS, row.MONTHLY_DIGITS, row.TOTAL_DIGITS):
-        wide = row.digit_features(wide, plan)
-    wide = row.numeric_keys(row.per_tenure_features(wide))
-    wide = row.ngram_keys(wide, row.all_ngram_groups())
+    wide = add_row_features(add_population_features(both, fitted, options))
     train_only = [c for c in train.columns if c not in test.columns]
     train_features = wide.where(F.col(_SOURCE) == "train").drop(_SOURCE)
-    test_features = wide.where(F.col(_SOURCE) == "test").drop(_SOURCE, *train_only)
-    return train_features, test_features, matrix_columns()
+    return train_features, wide.where(F.col(_SOURCE) == "test").drop(_SOURCE, *train_only)

@@ -48,13 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table that several jobs read to the shared folder and read it back.
+def stage(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write a table that several jobs read to the shared folder and read it back. With ``by`` the rows of
+    every value of that column have files of their own, so a filter on it reads no others.
 
     This cuts the lineage: later plans start from files, hold no executor memory and survive the
     loss of executors. The folder's owner decides how long its tables are kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

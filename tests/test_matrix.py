@@ -58,8 +58,7 @@ def test_encoded_fold(matrices):
     train, test, columns = matrices
     rows = stage(folds.stratified_folds(train, LABEL, ID, 5))
     fitted, valid, coded, features = encode_fold_features(
-        rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold"), test, LABEL, ID,
-        columns.base_keys, columns.ngram_keys,
+        rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold"), test, columns, LABEL, ID,
     )
     assert len(features) == 174
     assert fitted.columns == [ID, LABEL, *features] and coded.columns == [ID, *features]
