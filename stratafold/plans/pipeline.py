@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession, functions as F
 
-from stratafold.operators.clean import map_label, require_labels
+from stratafold.operators.clean import map_label
 from stratafold.operators.folds import nested_folds
 from stratafold.plans.matrix import build_feature_matrices
-from stratafold.plans.runs import RunReport, next_run_number, stored_names
+from stratafold.plans.runs import RunReport, claim_run, next_run_number, stored_names
 from stratafold.plans.training import CrossValidation, cross_validated_fit
 from stratafold.schema import ID, LABEL, table_schema
 from stratafold.session import stage
@@ -28,10 +28,6 @@ def run_pipeline(
     estimator=None,
 ) -> CrossValidation:
     """Train on the three stored tables and write predictions, models and the report."""
-    run = next_run_number(
-        stored_names(spark, f"{output}/submissions"), "name", "submission", ".csv"
-    ).first()["next_run"]
-    report = RunReport(spark, int(run))
     raw = {
         name: read_table(spark, path, schema, form, extra)
         for name, path, schema, extra in (
@@ -40,15 +36,24 @@ def run_pipeline(
             ("reference", reference_path, table_schema(identified=False), False),
         )
     }
-    # parsed once: all later passes read the staged tables
-    tables = {
-        "train": stage(nested_folds(map_label(raw["train"], LABEL), LABEL, ID, folds, inner_folds, seed), "train"),
-        "test": stage(raw["test"], "test"),
-        "reference": stage(map_label(raw["reference"], LABEL), "reference"),
-    }
-    require_labels(tables["train"], LABEL)
-    for name, df in tables.items():
-        report.params({f"{name}_rows": df.count(), f"{name}_columns": len(raw[name].columns)})
+    first = next_run_number(
+        stored_names(spark, f"{output}/submissions"), "name", "submission", ".csv"
+    ).first()["next_run"]
+    run = claim_run(spark, output, int(first))
+    report = RunReport(spark, run)
+    # parsed once, and counted while that is done: all later passes read the staged tables
+    seen = {name: Observation(name) for name in raw}
+    codes = {name: map_label(df, LABEL) if name != "test" else df for name, df in raw.items()}
+    codes["train"] = nested_folds(codes["train"], LABEL, ID, folds, inner_folds, seed)
+    tables = {}
+    for name, df in codes.items():
+        unmapped = F.col(LABEL).isNull() if name != "test" else F.lit(False)
+        counted = [F.count(F.lit(1)).alias("rows"), F.count_if(unmapped).alias("unmapped")]
+        tables[name] = stage(df.observe(seen[name], *counted), name)
+    if seen["train"].get["unmapped"]:
+        raise ValueError(f"{seen['train'].get['unmapped']} rows have no valid {LABEL}")
+    for name in raw:
+        report.params({f"{name}_rows": seen[name].get["rows"], f"{name}_columns": len(raw[name].columns)})
     report.params({"folds": folds, "inner_folds": inner_folds, "seed": seed})
     train, test, columns = build_feature_matrices(tables["train"], tables["test"], tables["reference"], LABEL)
     added = len({"fold", "inner_fold"})
@@ -57,14 +62,16 @@ def run_pipeline(
     for place, model in enumerate(result.models):
         settings = {param.name: value for param, value in model.extractParamMap().items()}
         report.params({f"model_{place}": f"{output}/models/run={run}/fold={place}", f"model_{place}_params": settings})
-        rounds = getattr(model, "getNumTrees", None)
-        if rounds is not None:
-            report.metric("trees", rounds, place)
+        if result.rounds:
+            report.metric("trees", len(model.treeWeights), place)
+            report.metric("best_round", result.rounds[place], place)
     for row in result.scores().collect():
         fold = None if row["label"] == "Overall" else int(row["label"].split()[-1]) - 1
         report.metric("auc", row["auc"], fold)
-    for fold, iteration, split, loss in result.history_rows:
+    for fold, iteration, split, loss, auc in result.history_rows:
         report.metric(f"{split}_loss_{iteration}", loss, fold)
+        if auc is not None:
+            report.metric(f"{split}_auc_{iteration}", auc, fold)
     report.params(
         {
             "oof": f"{output}/oof/oof_predictions_{run}.csv",
