@@ -43,22 +43,29 @@ WITH d AS (
 ), norm AS (
   SELECT r, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'),
     '[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM base
+), kinds AS (
+  SELECT row_number() OVER () AS k, source, own FROM (
+    SELECT DISTINCT source, list_sort(list_distinct(ls)) AS own FROM norm WHERE len(ls) > 0)
 ), line AS (
-  SELECT r, source, ls[i] AS h, CASE WHEN i > 1 THEN ls[i - 1] END AS before, ls[i + 1] AS after
-  FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM norm)
+  SELECT k, source, n_lines, h, length(h) - length(replace(h, ' ', '')) + 1 AS w
+  FROM (SELECT k, source, len(own) AS n_lines, unnest(own) AS h FROM kinds)
 ), host AS (
-  SELECT source, count(*) AS docs FROM base GROUP BY source
+  SELECT source, least(0.02 * count(*), 500) AS least_n FROM kinds GROUP BY source
 ), common AS (
-  SELECT l.source, l.h, count(DISTINCT l.r) AS n FROM line l GROUP BY l.source, l.h
+  SELECT c.source, c.h, host.least_n FROM (SELECT source, h, count(*) AS n FROM line GROUP BY source, h) c
+  JOIN host ON c.source IS NOT DISTINCT FROM host.source WHERE c.n >= 10 AND c.n >= host.least_n
+), held AS (
+  SELECT line.k, line.source, line.h, line.w, line.n_lines, common.least_n,
+    sum(line.w) OVER (PARTITION BY line.k) AS words, count(*) OVER (PARTITION BY line.k) AS lines
+  FROM line JOIN common ON line.source IS NOT DISTINCT FROM common.source AND line.h = common.h
+), whole AS (
+  SELECT k, sum(w) AS n FROM line GROUP BY k
 ), tmpl AS (
-  SELECT c.source, c.h FROM common c JOIN host ON c.source IS NOT DISTINCT FROM host.source
-  JOIN (SELECT source, h, max(same) AS same FROM (
-    SELECT source, h, before, after, count(*) AS same FROM line GROUP BY ALL) GROUP BY source, h) m
-    ON c.source IS NOT DISTINCT FROM m.source AND c.h = m.h
-  WHERE c.n >= 10 AND c.n >= 0.02 * docs AND same <= 0.15 * c.n
+  SELECT source, h FROM held JOIN whole ON held.k = whole.k WHERE lines <= 0.5 * n_lines OR words <= 0.5 * whole.n
+  GROUP BY source, h, least_n HAVING count(*) >= 10 AND count(*) >= least_n
 ), gone AS (
-  SELECT r, sum(length(line.h) - length(replace(line.h, ' ', '')) + 1)::BIGINT AS n_template_words
-  FROM line JOIN tmpl ON line.source IS NOT DISTINCT FROM tmpl.source AND line.h = tmpl.h GROUP BY r
+  SELECT r, sum(length(l.h) - length(replace(l.h, ' ', '')) + 1)::BIGINT AS n_template_words
+  FROM (SELECT r, source, unnest(ls) AS h FROM norm) l JOIN tmpl ON l.source IS NOT DISTINCT FROM tmpl.source AND l.h = tmpl.h GROUP BY r
 ), judged AS (
   SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     coalesce(n_template_words, 0)::BIGINT AS n_template_words FROM base LEFT JOIN gone ON base.r = gone.r
@@ -99,8 +106,10 @@ FROM up LEFT JOIN hit ON up.r = hit.r LEFT JOIN named ON up.r = named.r
 
 
 LICENSES = r"""
-WITH t AS (SELECT * FROM (VALUES {templates}) v(label, own)),
-tpl AS (SELECT label, list_distinct(string_split(own, ' ')) AS own FROM t),
+WITH t AS (SELECT row_number() OVER () AS n, * FROM (VALUES {templates}) v(label, own)),
+tpl AS (
+  SELECT n, label, list_distinct(string_split(own, ' ')) AS own, ceil(len(string_split(own, ' ')) / 0.8) AS run FROM t
+),
 phrase AS (SELECT * FROM (VALUES {phrases}) v(label, g)),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -117,9 +126,19 @@ d AS (
 ), block AS (
   SELECT r, list_distinct(list_filter(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS held
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+), hit AS (
+  SELECT r, n, label, len(own) AS size, run, i, x FROM (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)
+  JOIN (SELECT *, unnest(own) AS x FROM tpl) USING (x)
+), enough AS (
+  SELECT r, n FROM hit GROUP BY r, n, size HAVING count(DISTINCT x) >= 0.8 * size
+), met AS (
+  SELECT hit.* FROM hit JOIN enough USING (r, n)
 ), near AS (
   SELECT r, label, len(list_intersect(own, held)) / len(own) AS c FROM block, tpl
   WHERE len(list_intersect(own, held)) >= 0.8 * len(own)
+  UNION ALL
+  SELECT a.r, a.label, count(DISTINCT b.x) / a.size FROM met a JOIN met b ON a.r = b.r AND a.n = b.n AND b.i >= a.i AND b.i < a.i + a.run
+  GROUP BY a.r, a.n, a.label, a.size, a.i HAVING count(DISTINCT b.x) >= 0.8 * a.size
 ), m AS (
   SELECT r, max(c) AS c FROM near GROUP BY r
 ), every AS (
