@@ -7,12 +7,13 @@ marker row per document are all that is shuffled. Only DataFrame expressions.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.llm.tokens import RAW_BREAKS, RAW_WORD, words
-from stratafold.operators.lookup import lookup_join, row_bytes
+from stratafold.operators.lookup import lookup_join, quoted, row_bytes
 from stratafold.session import stage
 
 WIDTH = 13
@@ -109,30 +110,46 @@ def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _found(df: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    narrow = df.select(F.col(quoted(key)).alias("name"), F.col(quoted(text)).alias("text"))
+    return contamination(narrow, benchmark, "name", "text")
+
+
 def _judged(df: DataFrame, verdicts: DataFrame, key: str, text: str) -> DataFrame:
     """Join rows to what was found for their key and text; most rows need no look at it."""
-    named = verdicts.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumnRenamed("mark", "_mark").drop(key)
-    named = stage(named.dropDuplicates(["_k", "_mark"]), "contaminated")
-    keys = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark": F.xxhash64(F.col(text))}
+    named = verdicts.withColumn("k", F.coalesce(F.col("name").cast("string"), F.lit(""))).drop("name")
+    named = stage(named.dropDuplicates(["k", "mark"]), "contaminated")
+    keys = {"k": F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")), "mark": F.xxhash64(F.col(quoted(text)))}
     return lookup_join(df, named, keys, broadcast_bytes=32 << 20, population=df)
 
 
 def remove_documents(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without its contaminated rows; all other rows are unchanged."""
-    bad = contamination(df, benchmark, key, text).where("contaminated").select(key, "mark", F.lit(True).alias("_bad"))
-    return _judged(df, bad, key, text).where(F.col("_bad").isNull()).select(*df.columns)
+    """``df`` without its contaminated rows; all other rows are unchanged.
+
+    Missing and empty texts hold no window and stay; repeated rows stay or go alike; an empty table or
+    benchmark changes nothing. Columns may have any names.
+    """
+    bad = f"_bad_{uuid.uuid4().hex}"
+    verdicts = _found(df, benchmark, key, text).where("contaminated").select("name", "mark", F.lit(True).alias(bad))
+    return _judged(df, verdicts, key, text).where(F.col(bad).isNull()).select(*[quoted(c) for c in df.columns])
 
 
 def remove_spans(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of ``df``; every hit word is cut from its text with what separates it from the word
-    before."""
-    found = contamination(df, benchmark, key, text).where("n_hit > 0").select(key, "mark", F.col("spans").alias("_spans"))
+    before.
+
+    A missing text stays missing, an empty one empty; repeated rows are cut alike; an empty table gives
+    none. Columns may have any names.
+    """
+    cuts = f"_cuts_{uuid.uuid4().hex}"
+    found = _found(df, benchmark, key, text).where("n_hit > 0").select("name", "mark", F.col("spans").alias(cuts))
     judged = _judged(df, found, key, text)
-    raw = F.array_remove(F.split(F.col(text), RAW_BREAKS), "")
-    gaps = F.slice(F.split(F.col(text), RAW_WORD), F.lit(1), F.size(raw))
+    whole = F.col(quoted(text))
+    raw = F.array_remove(F.split(whole, RAW_BREAKS), "")
+    gaps = F.slice(F.split(whole, RAW_WORD), F.lit(1), F.size(raw))
     pieces = F.zip_with(gaps, raw, lambda gap, word: F.concat(gap, word))
-    spared = lambda piece, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["past"]))
+    spared = lambda piece, i: ~F.exists(cuts, lambda s: (i >= s["start"]) & (i < s["past"]))
     cut = F.array_join(F.filter(pieces, spared), "")
-    tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(cut, tail))
-    return judged.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    tail = F.regexp_extract(whole, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
+    cleaned = F.when(F.col(cuts).isNull(), whole).otherwise(F.concat(cut, tail))
+    return judged.select(*[cleaned.alias(c) if c == text else F.col(quoted(c)) for c in df.columns])

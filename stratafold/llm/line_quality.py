@@ -7,11 +7,12 @@ those hashes.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratafold.operators.lookup import lookup_join
+from stratafold.operators.lookup import lookup_join, quoted
 from stratafold.session import stage
 
 # fixed values: words of these rules are separated by ASCII white space
@@ -171,30 +172,34 @@ def clean_documents(
 ) -> DataFrame:
     """The kept documents with all their columns, without their template lines.
 
-    Rows with the same key, text and host share one verdict, which returns to them by a lookup
-    (broadcast up to a measured size, else a shuffle join), as does the array of template hashes of
-    the document.
+    Rows with the same key, text and host share one verdict. Only the verdicts that change something
+    return to the rows, by a lookup on key and text hash: rejections, and the template hashes of the
+    documents that hold some. A missing text has no words and is rejected; a missing host is a host of
+    its own; an empty table gives none. Columns may have any names.
     """
-    mark = F.xxhash64(F.col(text), F.col(host))
-    pairs = df.select(F.struct(F.col(key).alias("k"), mark.alias("mark")).alias("_id"), F.col(text).alias("_text"), F.col(host).alias("_host"))
+    mark = F.xxhash64(F.col(quoted(text)), F.col(quoted(host)))
+    pairs = df.select(
+        F.struct(F.col(quoted(key)).alias("k"), mark.alias("mark")).alias("_id"), F.col(quoted(text)).alias("_text"), F.col(quoted(host)).alias("_host")
+    )
     profiled = _profiled(pairs, "_id", "_text", "_host")
     templates = template_lines(profiled, limits)
     lines = profiled.select("_row", "host", F.explode("lines.h").alias("h"))
-    hits = _with_common(lines, templates).where("is_template").groupBy("_row").agg(F.collect_set("h").alias("_hits"))
-    kept = _judged(profiled, templates, limits).where("kept").select("_row", "_id").join(hits, "_row", "left")
-    decided = stage(
-        kept.groupBy("_id").agg(F.first("_hits").alias("_hits")).select(
-            F.coalesce(F.col("_id.k").cast("string"), F.lit("")).alias("_k"), F.col("_id.mark").alias("_mark"),
-            F.coalesce("_hits", F.array().cast("array<bigint>")).alias("_hits"),
-        ),
-        "line-verdicts",
+    hits = _with_common(lines, templates).where("is_template").groupBy("_row").agg(F.collect_set("h").alias("hits"))
+    judged = _judged(profiled, templates, limits).select("_row", "_id", "kept").join(hits, "_row", "left")
+    gone = f"_hits_{uuid.uuid4().hex}"
+    changed = judged.where("NOT kept OR hits IS NOT NULL").groupBy("_id").agg(
+        F.first(F.when(F.col("kept"), F.col("hits")).otherwise(F.array().cast("array<bigint>"))).alias(gone)
+    )
+    table = stage(
+        changed.select(F.coalesce(F.col("_id.k").cast("string"), F.lit("")).alias("k"), F.col("_id.mark").alias("mark"), gone), "line-verdicts"
     )
-    keys = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark": mark}
-    judged = lookup_join(df, decided, keys, broadcast_bytes=32 << 20, population=df).where(F.col("_hits").isNotNull())
-    cleaned = F.when(F.size("_hits") == 0, F.col(text)).otherwise(
+    keys = {"k": F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")), "mark": mark}
+    # an empty list stands for a rejected document
+    left = lookup_join(df, table, keys, broadcast_bytes=32 << 20, population=df).where(F.coalesce(F.size(gone) > 0, F.lit(True)))
+    cleaned = F.when(F.col(gone).isNull(), F.col(quoted(text))).otherwise(
         F.array_join(
-            F.filter(F.split(F.col(text), "\n"), lambda line: ~F.array_contains("_hits", F.xxhash64(F.trim(normalised(line))))),
+            F.filter(F.split(F.col(quoted(text)), "\n"), lambda line: ~F.array_contains(gone, F.xxhash64(F.trim(normalised(line))))),
             "\n",
         )
     )
-    return judged.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    return left.select(*[cleaned.alias(c) if c == text else F.col(quoted(c)) for c in df.columns])

@@ -19,6 +19,7 @@ With 24 bands of 5 registers, a pair at the threshold of 0.85 shares no group wi
 
 from __future__ import annotations
 
+import uuid
 from hashlib import blake2b
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.llm.wordhash import NO_SPACE, joined, mix, word_hashes
-from stratafold.operators.lookup import lookup_join, row_bytes
+from stratafold.operators.lookup import lookup_join, quoted, row_bytes
 from stratafold.session import stage
 
 WORDS = 5
@@ -310,16 +311,23 @@ def _named_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str)
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns; of repeated rows one stays.
 
-    Verdicts return to the rows by key and text hash: broadcast up to a measured size, else by a
-    shuffle join.
+    Rows without a key that are linked with no keyed row all stay, as do texts without words. Only the
+    verdicts that change something return to the rows, by key and text hash: how many rows go, and
+    which ones stand more than once. An empty table gives none. Columns may have any names.
     """
-    verdicts = near_duplicates(df, key, text).where("kept")
-    counted = verdicts.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("mark").alias("_mark")).agg(
-        F.count(F.lit(1)).alias("_rows")
+    found = near_duplicates(df.select(F.col(quoted(key)).alias("name"), F.col(quoted(text)).alias("text")), "name", "text")
+    named = F.coalesce(F.col("name").cast("string"), F.lit("")).alias("k")
+    counted = found.groupBy(named, "mark", F.col("name").isNull().alias("unnamed")).agg(
+        F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")
     )
-    keys = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark": F.xxhash64(F.col(text))}
-    joined_ = lookup_join(df, stage(counted, "kept-rows"), keys, broadcast_bytes=BROADCAST, population=df).where(F.col("_rows").isNotNull())
-    single = joined_.where("_rows = 1").select(*df.columns)
-    repeated = joined_.where((F.col("_rows") > 1) & F.col(key).isNotNull()).select(*df.columns).dropDuplicates([key, text])
-    unnamed = joined_.where((F.col("_rows") > 1) & F.col(key).isNull()).select(*df.columns)
-    return single.unionByName(repeated).unionByName(unnamed)
+    verdict = F.when(~F.col("kept"), "drop").when((F.col("rows") > 1) & ~F.col("unnamed"), "single")
+    change = f"_change_{uuid.uuid4().hex}"
+    table = stage(counted.select("k", "mark", "unnamed", verdict.alias(change)).where(F.col(change).isNotNull()), "changed-rows")
+    keys = {
+        "k": F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")), "mark": F.xxhash64(F.col(quoted(text))), "unnamed": F.col(quoted(key)).isNull(),
+    }
+    joined_ = lookup_join(df, table, keys, broadcast_bytes=BROADCAST, population=df)
+    columns = [quoted(c) for c in df.columns]
+    kept = joined_.where(F.col(change).isNull()).select(*columns)
+    repeated = joined_.where(F.col(change) == "single")
+    return kept.unionByName(repeated.dropDuplicates([key, text]).select(*columns))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from odd_rows import ODD, docs  # noqa: F401
 from stratafold.llm import decontaminate, licenses, line_quality, secrets
@@ -169,12 +170,106 @@ def test_secrets_equal_brute_force(docs):
     assert secrets.scan(docs([])).collect() == []
 
 
-def test_random_strings_are_told_from_identifiers(docs):
-    plain = "the configuration_of_applications considers internationalization_settings and_other_ordinary_names "
-    rows = [(n, plain * 20 + 'token = "' + hashlib.sha1(str(n).encode()).hexdigest() + '"') for n in range(40)]
-    rows += [(100, "key sk_9aZx81QpLm77TyRw2KdE4 end"), (101, plain)]
-    by = {r.doc_id: r for r in secrets.scan(docs(rows)).collect()}
-    assert by[100].spans == "random:4:28" and by[101].n_random == 0
+LETTERS_OF_KEYS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+NAMES = [
+    "configuration", "applications", "internationalization_settings", "customer_session", "signing_key", "get_current_user", "performance",
+    "database_connection", "considerable", "understanding", "environment_variables", "https_proxy_address", "documentation", "parse_arguments",
+]
+
+
+def training_rows(rng, n=60):
+    """Texts of ordinary names in all orders, with values that the base patterns find."""
+    return [
+        (n, " ".join(rng.choice(NAMES) + rng.choice(["", "_" + rng.choice(NAMES)]) for _ in range(60)) + f' token = "{hashlib.sha1(str(n).encode()).hexdigest()}"'
+         + " secret=" + "".join(rng.choices(LETTERS_OF_KEYS, k=24)))
+        for n in range(n)
+    ]
+
+
+def covered(row, start, past):
+    """Whether the spans of a row cover a stretch of its text."""
+    marked = set()
+    for span in row.spans.split(",") if row.spans else []:
+        _, a, z = span.split(":")
+        marked |= set(range(int(a), int(z)))
+    return set(range(start, past)) <= marked
+
+
+@pytest.fixture(scope="module")
+def random_scan(spark):
+    import random
+
+    rng = random.Random(11)
+    key = lambda k: "".join(rng.choices(LETTERS_OF_KEYS, k=k))
+    rows, places = training_rows(rng), {}
+
+    def add(number, before, found, after=""):
+        rows.append((number, f"{before}{found}{after}"))
+        places[number] = (len(before), len(before) + len(found))
+
+    for n in range(60):
+        add(1000 + n, "set customer_session_signing_key=", key(24), " here")
+        add(2000 + n, "see ", key(16), " end")
+        add(3000 + n, "at data/environment_variables/", key(32), "/documentation")
+        add(4000 + n, f"AKIA{hashlib.md5(str(n).encode()).hexdigest()[:16].upper()}/", key(40))
+    for n in range(40):  # keys in near copies of a text
+        text, found = " ".join(rng.choice(NAMES) for _ in range(30)), key(24)
+        for copy in range(2 + n % 3):
+            add(5000 + 10 * n + copy, text + f" note {copy} of it ", found, " and more")
+    rows += [(9000 + n, " ".join(rng.choice(NAMES) + "_" + rng.choice(NAMES) for _ in range(40))) for n in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df, {r.doc_id: r for r in secrets.scan(df).collect()}, places
+
+
+@pytest.mark.parametrize("low,high,share", [(1000, 1060, 0.95), (2000, 2060, 0.95), (3000, 3060, 0.95), (4000, 4060, 0.95), (5000, 5400, 0.95)])
+def test_random_strings_are_found(random_scan, low, high, share):
+    _, found, places = random_scan
+    wanted = [n for n in places if low <= n < high]
+    # a stretch may begin or end a few ordinary characters late or early
+    assert sum(covered(found[n], places[n][0] + 3, places[n][1] - 3) for n in wanted) >= share * len(wanted)
+
+
+def test_ordinary_names_are_no_secrets(random_scan):
+    _, found, _ = random_scan
+    assert sum(found[n].n_random for n in range(9000, 9040)) == 0
+
+
+def test_redaction_leaves_no_part_beside_a_base_span(random_scan):
+    df, found, places = random_scan
+    cut = {r.doc_id: r.text for r in secrets.redact(df.where("doc_id >= 4000 AND doc_id < 4060").unionByName(df.where("doc_id < 100"))).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    left = [n for n in range(4000, 4060) if texts[n][places[n][0] + 3 : places[n][1] - 3] in cut[n] or "AKIA" in cut[n]]
+    assert len(left) <= 3
+
+
+def test_random_spans_keep_to_the_gaps_of_base_spans(spark):
+    span = "array<struct<start: int, past: int, kind: int>>"
+    row = spark.range(1).select(
+        F.expr(f"CAST(array(struct(5, 30, 3), struct(40, 44, 3), struct(50, 60, 3)) AS {span})").alias("m"),
+        F.expr(f"CAST(array(struct(0, 7, 0), struct(10, 12, 1), struct(11, 15, 2), struct(39, 45, 0), struct(58, 70, 1)) AS {span})").alias("b"),
+    ).select(secrets._outside(F.col("m"), F.col("b")).alias("o")).first()
+    assert [(x.start, x.past) for x in row.o] == [(7, 10), (15, 30), (50, 58)]
+
+
+ODD_NAMES = ["_hits", "_bad", "_rows", "_spans", "_text_", "_base", "_more", "_text", "_k", "_mark", "a.b", "k", "mark", "host", "h", "name"]
+
+
+@pytest.mark.parametrize("change", ["quality", "dedup", "decontaminate", "spans", "redact"])
+def test_columns_of_any_name_pass_through(spark, change):
+    from stratafold.llm import near_duplicates
+
+    rows = [(n, own_words(n), "s", *range(len(ODD_NAMES))) for n in range(3)] + [(3, own_words(0), "s", *range(len(ODD_NAMES)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in ODD_NAMES))
+    bench = spark.createDataFrame([(1, own_words(2))], "item_id long, text string")
+    found = {
+        "quality": lambda: line_quality.clean_documents(df), "dedup": lambda: near_duplicates.keep_one(df),
+        "decontaminate": lambda: decontaminate.remove_documents(df, bench), "spans": lambda: decontaminate.remove_spans(df, bench),
+        "redact": lambda: secrets.redact(df),
+    }[change]()
+    assert found.columns == df.columns
+    kept = {r["doc_id"]: tuple(r)[3:] for r in found.collect()}
+    assert set(kept) == {"dedup": {0, 1, 2}, "decontaminate": {0, 1, 3}}.get(change, {0, 1, 2, 3})
+    assert set(kept.values()) == {tuple(range(len(ODD_NAMES)))}
 
 
 def test_redaction(spark):
