@@ -151,7 +151,9 @@ def _hubs(classes: DataFrame) -> DataFrame:
     order = F.least("weight", F.lit((1 << 42) - 1)) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     listed = classes.select("id", order.alias("order"), F.explode("prefix").alias("token"))
     groups = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", "order").alias("hub")).where("size > 1")
-    return stage(listed.join(groups, "token").select("id", "hub").distinct(), "hub-members")
+    groups = stage(groups.select("token", "hub"), "token-hubs")
+    members = listed.join(F.broadcast(groups) if _small(groups) else groups, "token")
+    return stage(members.select("id", "hub").distinct(), "hub-members")
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -167,7 +169,8 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """Staged full sets of the classes in ``wanted`` (``id``, ``cls``, ``least`` key): ``w`` (the id) and ``shingles``.
 
     Sets are made again from the texts. If the wanted classes are few enough to be broadcast, only rows
-    with one of their smallest keys are hashed; texts are never shuffled for it.
+    with one of their smallest keys are hashed, and a set occurs as often as such a key does; otherwise
+    once. Texts are never shuffled for it.
     """
 
     def gathered(batches):
@@ -185,24 +188,27 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
         rows = rows.join(F.broadcast(names), "name", "left_semi")
     made = rows.select("text").mapInArrow(gathered, "cls binary, shingles array<bigint>")
     ids = wanted.select("cls", "id")
-    kept = made.join(F.broadcast(ids) if few else ids, "cls")
-    return stage(kept.groupBy(F.col("id").alias("w")).agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    kept = made.join(F.broadcast(ids) if few else ids, "cls").select(F.col("id").alias("w"), "shingles")
+    return stage(kept if few else kept.groupBy("w").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
 def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """Staged links among ``pairs`` (``a``, ``b``): those whose full sets meet the threshold.
 
-    ``b`` may stand in very many pairs; its set is broadcast or repeated for them.
+    ``b`` may stand in very many pairs; its set is then repeated for lanes of them. Sets are shuffled at
+    every size, so that small and large tables go the same way.
     """
     names = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = stage(classes.select("id", "cls").join(names, "id").join(keyed.select("cls", "least"), "cls"), "wanted-sets")
     sets = _sets(df, key, text, wanted)
-    left = pairs.join(sets.select(F.col("w").alias("a"), F.col("shingles").alias("own")), "a")
-    partners = sets.join(pairs.select(F.col("b").alias("w")).distinct(), "w", "left_semi").withColumnRenamed("shingles", "other")
-    both = lookup_join(left, stage(partners, "partner-sets"), {"w": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
+    own = sets.select(F.col("w").alias("a"), F.col("shingles").alias("own"))
+    left = own.join(F.broadcast(pairs) if _small(pairs) else pairs, "a")
+    partners = sets.join(pairs.select(F.col("b").alias("w")).distinct(), "w", "left_semi")
+    partners = partners.withColumnRenamed("shingles", "other")
+    both = lookup_join(left, partners, {"w": F.col("b")}, size=1, broadcast_bytes=0, population=pairs, spread="a")
     common = F.size(F.array_intersect("own", "other"))
     linked = 100 * common >= PERCENT * (F.size("own") + F.size("other") - common)
-    return stage(both.where(linked).select("a", "b"), "verified-links")
+    return stage(both.where(linked).select("a", "b").distinct(), "verified-links")
 
 
 def components(links: DataFrame) -> DataFrame:
