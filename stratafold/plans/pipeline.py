@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from stratafold.operators.clean import map_label
 from stratafold.operators.folds import nested_folds
@@ -41,19 +41,19 @@ def run_pipeline(
     ).first()["next_run"]
     run = claim_run(spark, output, int(first))
     report = RunReport(spark, run)
-    # parsed once, and counted while that is done: all later passes read the staged tables
-    seen = {name: Observation(name) for name in raw}
+    # parsed once: all later passes read the staged tables. A session that has observed a metric can send no
+    # model with a training summary to its tasks any more, so the tables are counted from their files
     codes = {name: map_label(df, LABEL) if name != "test" else df for name, df in raw.items()}
     codes["train"] = nested_folds(codes["train"], LABEL, ID, folds, inner_folds, seed)
-    tables = {}
-    for name, df in codes.items():
-        unmapped = F.col(LABEL).isNull() if name != "test" else F.lit(False)
-        counted = [F.count(F.lit(1)).alias("rows"), F.count_if(unmapped).alias("unmapped")]
-        tables[name] = stage(df.observe(seen[name], *counted), name)
-    if seen["train"].get["unmapped"]:
-        raise ValueError(f"{seen['train'].get['unmapped']} rows have no valid {LABEL}")
+    tables = {name: stage(df, name) for name, df in codes.items()}
+    seen = {
+        name: df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(LABEL).isNull() if name != "test" else F.lit(False)).alias("unmapped")).first()
+        for name, df in tables.items()
+    }
+    if seen["train"]["unmapped"]:
+        raise ValueError(f"{seen['train']['unmapped']} rows have no valid {LABEL}")
     for name in raw:
-        report.params({f"{name}_rows": seen[name].get["rows"], f"{name}_columns": len(raw[name].columns)})
+        report.params({f"{name}_rows": seen[name]["rows"], f"{name}_columns": len(raw[name].columns)})
     report.params({"folds": folds, "inner_folds": inner_folds, "seed": seed})
     train, test, columns = build_feature_matrices(tables["train"], tables["test"], tables["reference"], LABEL)
     added = len({"fold", "inner_fold"})
