@@ -25,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.llm.wordhash import NO_SPACE, joined, word_hashes
 from stratafold.operators.lookup import lookup_join, row_bytes
@@ -215,21 +215,18 @@ def components(links: DataFrame) -> DataFrame:
     """Staged: ``id`` and ``root`` (the smallest id of its component) of every class that has a link.
 
     In each round a class, and the one it points to, take the least that their neighbours point to, and
-    then what that points to; all is written in one job, which also counts it. Distances shrink by half
-    or more a round. Only least values are aggregated, so a class with very many links is a row per task.
+    then what that points to; a round is one job. Distances shrink by half or more a round. Only least values are aggregated, so a class with very many links is a row per task.
     """
     edges = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = stage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     found = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("root"))
-    before, number = None, 0
+    before = None
     while True:
-        seen = Observation(f"components-{number}")
-        counted = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id", "root")).alias("state")]
-        found = stage(found.observe(seen, *counted), "components")
-        now = (seen.get["n"], seen.get["state"])
+        found = stage(found, "components")
+        now = tuple(found.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "root"))).first())
         if now == before:
             return found
-        before, number = now, number + 1
+        before = now
         point = lambda name, value: found.select(F.col("id").alias(name), F.col("root").alias(value))
         met = edges.join(point("u", "own"), "u").join(point("v", "other"), "v").select("u", "own", "other")
         offers = met.select(F.col("u").alias("id"), F.col("other").alias("root")).unionByName(
