@@ -34,8 +34,8 @@ from stratafold.session import stage
 WORDS = 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Bits of a signature.
-BITS = 2048
+#: Least and largest bits of a signature; it has at least two bits per shingle up to the largest.
+BITS, MOST_BITS = 2048, 1 << 17
 #: Counters of the sketch that orders shingles, a power of two.
 COUNTERS = 1 << 18
 #: Children of a node, and members of a part of a tree.
@@ -64,12 +64,20 @@ def digest(found: np.ndarray) -> bytes | None:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The bitmap of a set, as longs."""
-    held = np.zeros(BITS, np.uint8)
-    held[(found & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    """The bitmap of a set, as longs. A shingle's place in a wider bitmap is that in a narrower one but for leading bits."""
+    bits = BITS
+    while bits < min(2 * len(found), MOST_BITS):
+        bits *= 2
+    held = np.zeros(bits, np.uint8)
+    held[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(held).view(np.int64)
 
 
+def folded(bitmaps: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmaps (rows of longs) in the narrower width."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, longs), axis=1)
+
+
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of which a set must share one with every partner, by rising count and then hash."""
     length = len(found) + (-PERCENT * len(found) // 100) + 1
@@ -120,19 +128,20 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _classes(df: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
-    """Staged: ``id``, ``cls``, ``n``, ``signature``, ``prefix`` and ``weight`` (mean count of the prefix) of every
-    distinct set."""
+    """Staged: ``id``, ``cls``, ``n``, ``signature``, ``narrow`` (the signature in the least width), ``prefix`` and
+    ``weight`` (mean count of the prefix) of every distinct set."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def described(batches):
         for batch in batches:
             found = [s for s in (shingles(cell.as_py()) for cell in batch.column(0)) if len(s)]
             first = [prefix(s, shared.value) for s in found]
+            bitmaps = [signature(s) for s in found]
             weights = [int(1000 * shared.value[(p >> _SHIFT).astype(np.int64)].mean()) for p in first]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([signature(s) for s in found], pa.list_(pa.int64())),
+                    pa.array(bitmaps, pa.list_(pa.int64())),
                     pa.array([p.view(np.int64) for p in first], pa.list_(pa.int64())), pa.array(weights, pa.int64()),
                 ],
                 ["cls", "n", "signature", "prefix", "weight"],
@@ -141,7 +150,9 @@ def _classes(df: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
     schema = "cls binary, n bigint, signature array<bigint>, prefix array<bigint>, weight bigint"
     rows = df.select(F.col(text)).mapInArrow(described, schema)
     distinct = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "signature", "prefix", "weight")])
-    return stage(distinct.withColumn("id", F.monotonically_increasing_id()), "classes")
+    whole = F.expr(f"transform(sequence(0, {_LONGS - 1}), i -> aggregate(sequence(i, size(signature) - 1, {_LONGS}), 0L, (s, k) -> s | signature[k]))")
+    narrow = F.when(F.size("signature") == _LONGS, F.col("signature")).otherwise(whole)
+    return stage(distinct.withColumn("narrow", narrow).withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _hubs(classes: DataFrame) -> DataFrame:
@@ -202,8 +213,10 @@ def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, classes: Data
     wanted = stage(classes.select("id", "cls").join(names, "id").join(keyed.select("cls", "least"), "cls"), "wanted-sets")
     sets = _sets(df, key, text, wanted)
     own = sets.select(F.col("w").alias("a"), F.col("shingles").alias("own"))
-    left = own.join(F.broadcast(pairs) if _small(pairs) else pairs, "a")
-    partners = sets.join(pairs.select(F.col("b").alias("w")).distinct(), "w", "left_semi")
+    few = _small(pairs)
+    left = own.join(F.broadcast(pairs) if few else pairs, "a")
+    named = pairs.select(F.col("b").alias("w")).distinct()
+    partners = sets.join(F.broadcast(named) if few else named, "w", "left_semi")
     partners = partners.withColumnRenamed("shingles", "other")
     both = lookup_join(left, partners, {"w": F.col("b")}, size=1, broadcast_bytes=0, population=pairs, spread="a")
     common = F.size(F.array_intersect("own", "other"))
@@ -309,8 +322,9 @@ def _best(a: np.ndarray, room: np.ndarray) -> np.ndarray:
 
 
 def _tree_members(hubs: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Staged members of hubs whose classes are not one component: ``hub``, ``id``, ``root``, ``n``, ``signature`` and
-    ``part``, which is 0 for a hub with at most ``PART`` members, else given by size class and hash."""
+    """Staged members of hubs whose classes are not one component: ``hub``, ``id``, ``root``, ``n``, ``signature``,
+    ``narrow`` and ``part``: the width of the signature and, for a hub of more than ``PART`` members, size class and
+    hash."""
     rooted = hubs.join(found, "id", "left").select("hub", "id", F.coalesce("root", "id").alias("root"))
     rooted = stage(rooted, "rooted-members")
     counted = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
@@ -318,14 +332,16 @@ def _tree_members(hubs: DataFrame, found: DataFrame, facts: DataFrame) -> DataFr
     mixed = counted.where("low <> high AND members > 2").select("hub", F.ceil(F.col("members") / PART).alias("lanes"))
     described = rooted.join(mixed, "hub").join(facts, "id")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    part = F.when(F.col("lanes") == 1, F.lit(0)).otherwise(band * F.col("lanes") + F.pmod(F.xxhash64("id"), F.col("lanes")))
+    # all signatures of a part have one width; it bounds the sizes that share a part
+    place = F.size("signature") * 1000 + F.when(F.col("lanes") > 1, band).otherwise(0)
+    part = place * F.col("lanes") + F.pmod(F.xxhash64("id"), F.col("lanes"))
     return stage(described.withColumn("part", part.cast("bigint")).drop("lanes"), "tree-members")
 
 
 def _part_pairs(parted: DataFrame) -> DataFrame:
     """Pairs of parts (``hub``, ``p``, ``q``) whose roots can hold a link between components."""
-    bits = [F.bit_or(F.get("signature", F.lit(n))).alias(f"b{n}") for n in range(_LONGS)]
-    ones = F.expr("aggregate(signature, 0, (s, x) -> s + bit_count(x))")
+    bits = [F.bit_or(F.get("narrow", F.lit(n))).alias(f"b{n}") for n in range(_LONGS)]
+    ones = F.expr("aggregate(narrow, 0, (s, x) -> s + bit_count(x))")
     nodes = parted.withColumn("over", F.col("n") - ones).groupBy("hub", "part").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("over").alias("excess"), F.min("root").alias("first"), F.max("root").alias("last"), *bits
     )
@@ -351,13 +367,15 @@ def _searched(parted: DataFrame) -> DataFrame:
     def met(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
         roots, sizes, ids = (table.column(c).to_numpy() for c in ("root", "n", "id"))
-        bits = table.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, _LONGS)
-        trees, places = [], []
+        bitmaps = table.column("signature").combine_chunks()
+        held, places = [], []
         for part in np.unique(parts):
             at = np.flatnonzero(parts == part)
-            at = at[np.lexsort((ids[at], sizes[at], roots[at]))]
-            places.append(at)
-            trees.append(Tree(bits[at], sizes[at], roots[at]))
+            places.append(at[np.lexsort((ids[at], sizes[at], roots[at]))])
+            longs = bitmaps.take(pa.array(places[-1])).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append(longs.view(np.uint64).reshape(len(at), -1))
+        narrowest = min(one.shape[1] for one in held)
+        trees = [Tree(folded(one, narrowest), sizes[at], roots[at]) for one, at in zip(held, places)]
         x, y, room = traverse(*trees)
         x, y = places[0][x], places[-1][y]
         marked = _best(ids[x], room) | _best(ids[y], room)
@@ -369,13 +387,20 @@ def _searched(parted: DataFrame) -> DataFrame:
 
 def _hub_pairs(hubs: DataFrame, facts: DataFrame) -> DataFrame:
     """Staged pairs (``a``, ``b``) of classes and their hubs that sizes and signatures cannot keep apart."""
-    left, right = (facts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in "ab")
-    both = hubs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).join(left, "a").join(right, "b")
-    common = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)")
-    excess = [F.col(f"n_{c}") - F.expr(f"aggregate(s_{c}, 0, (t, x) -> t + bit_count(x))") for c in "ab"]
+    columns = {"n": "n", "signature": "s", "narrow": "t"}
+    left, right = (facts.select(F.col("id").alias(c), *[F.col(name).alias(f"{short}_{c}") for name, short in columns.items()]) for c in "ab")
+    pairs = hubs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     fits = _sizes_fit(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"))
-    met = both.where(fits & (common + F.least(*excess) >= _needed(F.col("n_a"), F.col("n_b"))))
-    return stage(met.select("a", "b"), "likely-pairs")
+    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(fits)
+    both = stage(sized, "sized-pairs").drop("n_a", "n_b").join(left, "a").join(right, "b")
+
+    def overlap(s: str) -> Column:
+        common = F.expr(f"aggregate(zip_with({s}_a, {s}_b, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)")
+        excess = [F.col(f"n_{c}") - F.expr(f"aggregate({s}_{c}, 0, (t, x) -> t + bit_count(x))") for c in "ab"]
+        return common + F.least(*excess)
+
+    most = F.when(F.size("s_a") == F.size("s_b"), overlap("s")).otherwise(overlap("t"))
+    return stage(both.where(most >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b"), "likely-pairs")
 
 
 def _stars(found: DataFrame) -> DataFrame:
@@ -404,7 +429,7 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     keyed = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
     keyed = stage(keyed, "class-keys")
     classes = _classes(df, text, _sketch(rows))
-    facts = classes.select("id", "n", "signature")
+    facts = classes.select("id", "n", "signature", "narrow")
     hubs = _hubs(classes)
     found = components(_checked(_hub_pairs(hubs, facts), df, key, text, classes, keyed))
     pairs = _searched(_tree_members(hubs, found, facts))

@@ -69,6 +69,8 @@ def groups(rng):
         rows += [(40_000 + 2 * pair, " ".join(left)), (40_001 + 2 * pair, " ".join(right))]
     lines = [" ".join(f"line{n}w{w}" for w in range(12)) for n in range(8)]  # texts of shared passages only
     rows += [(15_000 + n, " ".join(rng.sample(lines, rng.choice([3, 5, 7])))) for n in range(40)]
+    long = [f"l{n}" for n in range(1300)]  # signatures of several widths meet
+    rows += [(16_000 + n, " ".join(edited(long, 0.01 if n % 3 else 0.03, rng)[: 1300 - 60 * (n % 5)])) for n in range(25)]
     rows += [(20_000 + n, "same short text") for n in range(30)] + [(30_000, "Same  SHORT text"), (30_001, "one"), (30_002, "one")]
     return rows
 
@@ -105,7 +107,7 @@ def test_trees_prune_no_link(count, other):
         roots = rng.integers(0, 4, size)
         order = np.lexsort(([len(s) for s in sets], roots))
         sets, roots = [sets[o] for o in order], roots[order]
-        bits = np.array([join.signature(s) for s in sets]).view(np.uint64)
+        bits = np.array([join.folded(join.signature(s)[None, :], 32)[0] for s in sets]).view(np.uint64)
         return sets, roots, join.Tree(bits, np.array([len(s) for s in sets]), roots)
 
     left = tree(count)
@@ -147,3 +149,14 @@ def test_components_of_paths_and_stars(spark):
     got = {r.id: r.root for r in join.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: min(part) for part in (order[:150], order[150:]) for n in part}
     assert join.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_wide_signatures_fold_to_narrow_ones():
+    rng = np.random.default_rng(6)
+    for count in (1, 1024, 1025, 5000, 100_000):
+        found = np.unique(rng.integers(0, 1 << 63, count, dtype=np.uint64))
+        wide = join.signature(found)
+        assert len(wide) * 64 == min(max(2048, 1 << (2 * len(found) - 1).bit_length()), 1 << 17)
+        plain = np.zeros(2048, np.uint8)
+        plain[(found & np.uint64(2047)).astype(np.int64)] = 1
+        assert (join.folded(wide[None, :], 32)[0] == np.packbits(plain).view(np.int64)).all()
