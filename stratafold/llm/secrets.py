@@ -176,11 +176,13 @@ def _stretches(token: Column, table: list[float], settings: MarkovSettings) -> C
 
     A running sum of the pairs' ratios less half the threshold begins anew where it has fallen to zero,
     or by ``drop`` below its best; a stretch reaches up to the best. It counts if it is long enough and its
-    mean ratio reaches the threshold.
+    mean ratio reaches the threshold. A run in capitals alone is judged as if in small letters: shouting is
+    not random.
     """
+    said = F.when(token.rlike("[a-z0-9]"), token).otherwise(F.lower(token))
     ratios = F.expr("CAST(split('" + ",".join(f"{x:.6g}" for x in table) + "', ',') AS array<double>)")
     drift = settings.threshold / 2
-    steps = F.get(F.transform(F.array(_codes(token)), lambda c: F.zip_with(
+    steps = F.get(F.transform(F.array(_codes(said)), lambda c: F.zip_with(
         F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1),
         lambda a, b: F.coalesce(F.get(ratios, a * _SIZE + b), F.lit(0.0)) - drift,
     )), F.lit(0))
