@@ -84,9 +84,9 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, counts[(found >> _SHIFT).astype(np.int64)]))[:length]]
 
 
-def _small(table: DataFrame) -> bool:
-    """Whether a stored table measures at most ``BROADCAST`` bytes."""
-    return (table.agg(F.sum(row_bytes(table))).first()[0] or 0) <= BROADCAST
+def _small(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a stored table measures at most ``BROADCAST`` bytes, or ``most``."""
+    return (table.agg(F.sum(row_bytes(table))).first()[0] or 0) <= (BROADCAST if most is None else most)
 
 
 def _hashed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -163,7 +163,7 @@ def _hubs(classes: DataFrame) -> DataFrame:
     listed = classes.select("id", order.alias("order"), F.explode("prefix").alias("token"))
     groups = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", "order").alias("hub")).where("size > 1")
     groups = stage(groups.select("token", "hub"), "token-hubs")
-    members = listed.join(F.broadcast(groups) if _small(groups) else groups, "token")
+    members = listed.join(F.broadcast(groups) if _small(groups, 3 * BROADCAST) else groups, "token")
     return stage(members.select("id", "hub").distinct(), "hub-members")
 
 
@@ -360,9 +360,9 @@ def _part_pairs(parted: DataFrame) -> DataFrame:
 def _searched(parted: DataFrame) -> DataFrame:
     """Staged pairs (``a``, ``b``) of different components that signatures cannot keep apart; ``promising``
     marks the one with most room of each class and tree."""
-    pairs = _part_pairs(parted)
+    pairs = stage(_part_pairs(parted), "part-pairs")
     named = pairs.select("hub", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part"))
-    rows = parted.join(named, ["hub", "part"]).select("hub", "p", "q", "part", "id", "root", "n", "signature")
+    rows = parted.join(F.broadcast(named) if _small(pairs) else named, ["hub", "part"]).select("hub", "p", "q", "part", "id", "root", "n", "signature")
 
     def met(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
