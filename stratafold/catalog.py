@@ -17,17 +17,20 @@ from stratafold.plans.matrix import build_feature_matrices, matrix_columns
 from stratafold.plans.runs import next_run_number
 from stratafold.plans.training import CrossValidation, boosted_trees, cross_validated_fit
 from stratafold.schema import CATEGORICAL, ENCODED_STATS, ID, LABEL, NGRAM_SOURCES, NUMERIC, SERVICES, table_schema
-from stratafold.session import shared_dir, stage
+from stratafold.session import apart, shared_dir, stage
 from stratafold.sources.subjects import subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOLDS, INNER, SEED = 5, 5, 42
+WIDE = 16  # columns beyond which a projection is better compiled apart
 NUMERIC_KEYS = ["CAT_tenure", "Contract", "PaymentMethod"]
 
 
 def rounded(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Keys and numbers at six decimals, so that engines can be compared."""
     six = [f"floor(double(`{n}`) * 1000000D + 0.5D) / 1000000D AS `{n}`" for n in names]
+    if len(names) > WIDE:
+        keys = [apart(F.col(keys[0])).alias(keys[0]), *keys[1:]]
     return df.select(*keys, *[F.expr(text) for text in six])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.functions import as_feature
 from stratafold.operators.keyed import KeyedNumbers, unpivoted
+from stratafold.session import apart
 
 
 def target_cells(
@@ -63,12 +64,12 @@ class TargetStats:
         """Slots of a statistic; with a prior per outer fold, those of all outer folds in turn."""
         return (self.inner_folds + 1) * (len(self.prior) if isinstance(self.prior, list) else 1)
 
-    def fill(self) -> str:
+    def fill(self, slot: str = "_slot") -> str:
         """The prior of the row's slot as SQL."""
         if not isinstance(self.prior, list):
             return f"double('{float(self.prior)!r}')"
         listed = ", ".join(f"double('{float(p)!r}')" for p in self.prior)
-        return f"get(array({listed}), int(_slot div {self.inner_folds + 1}))"
+        return f"get(array({listed}), int({slot} div {self.inner_folds + 1}))"
 
 
 def closed_form(count: Column, hits: Column, stat: str) -> Column:
@@ -238,12 +239,23 @@ def apply_all_folds(
     width = encodings.inner_folds + 1
     folds = encodings.slots() // width
     found = encodings.numbers.find(rows, wanted, **options)
-    every = found.withColumn(held_out, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    place = F.lit(encodings.inner_folds)
-    if fold is not None:
-        place = F.when(F.col(fold) != F.col(held_out), F.col(inner)).when(F.col(fold) == F.col(held_out), place)
-    slotted = every.withColumn("_slot", _checked_slot(encodings, F.col(held_out) * width + place))
-    return slotted.selectExpr(*[f"`{c}`" for c in rows.columns], f"`{held_out}`", *_read_slots(encodings, wanted))
+    slots = {}
+    for k in range(folds):
+        place = F.lit(encodings.inner_folds)
+        if fold is not None:
+            place = F.when(F.col(fold) != k, F.col(inner)).when(F.col(fold) == k, place)
+        slots[f"_slot_{k}"] = _checked_slot(encodings, k * width + place)
+    # A row's own slots are read before the folds multiply it, so that no array is copied per fold.
+    listed = [
+        F.struct(
+            F.floor(apart(F.col(name)) / width).cast("int").alias(held_out),
+            *[F.expr(value).alias(feature) for feature, value in _slot_values(encodings, wanted, name)],
+        )
+        for name in slots
+    ]
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    every = found.withColumns(slots).select(*kept, F.array(*listed).alias("_folds"))
+    return every.select(*kept, F.explode_outer("_folds").alias("_fold")).select(*kept, "_fold.*")
 
 
 def _checked_slot(encodings: TargetStats, slot: Column) -> Column:
@@ -255,15 +267,16 @@ def _checked_slot(encodings: TargetStats, slot: Column) -> Column:
 
 def _read_slots(encodings: TargetStats, wanted: Mapping[str, Sequence[str]]) -> list[str]:
     """The features as SQL over the looked-up arrays and ``_slot``."""
+    return [f"{value} AS `{name}`" for name, value in _slot_values(encodings, wanted, "_slot")]
+
+
+def _slot_values(encodings: TargetStats, wanted: Mapping[str, Sequence[str]], slot: str) -> list[tuple[str, str]]:
     added = []
     for column, stats in wanted.items():
         for stat in stats:
             start = encodings.stats.index(stat) * encodings.slots()
-            fill = encodings.fill() if stat == "mean" else "double('0')"
-            added.append(
-                f"cast(coalesce(get(`_found_{column}`, _slot + {start}), {fill}) as float) "
-                f"AS `TE_{column}_{stat}`"
-            )
+            fill = encodings.fill(slot) if stat == "mean" else "double('0')"
+            added.append((f"TE_{column}_{stat}", f"cast(coalesce(get(`_found_{column}`, {slot} + {start}), {fill}) as float)"))
     return added
 
 

@@ -65,3 +65,17 @@ def test_encoded_fold(matrices):
     assert fitted.count() + valid.count() == train.count()
     assert {t for n, t in fitted.dtypes if n in features} == {"float"}
     assert coded.select([F.count_if(F.col(c).isNull()).alias(c) for c in features]).first() == tuple([0] * 174)
+
+
+def test_wide_projections_are_compiled_apart(spark):
+    """One method of a whole stage cannot be compiled with dozens of columns; its rows would be interpreted."""
+    from stratafold.catalog import registered
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        plan = registered()["te_validation"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    wide = [line for line in plan.split("\n") if "Project [" in line and line.count(" AS ") > 30]
+    assert wide and all("lambdafunction" in line for line in wide), [line[:80] for line in wide]
+    assert not any("Generate" in line and line.count("TE_") > 30 for line in plan.split("\n"))
