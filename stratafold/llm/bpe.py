@@ -22,16 +22,19 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-# A text falls into pieces at white space as the word pattern does, so pieces can be looked up whole.
+# A text falls into pieces where the word pattern always ends a word: after letters and digits before ASCII
+# punctuation or white space, after such punctuation (but an apostrophe, which may begin a word) before letters
+# and digits, and at white space. Most pieces are one word and can be looked up whole.
 # \s of the re module also takes U+001C to U+001F, which are no white space here.
-_PIECES = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+_PIECES = re.compile(
+    r" ?[^\W_]+(?=[!-/:-@\[-`{-~\s]|\Z)| ?[!-&(-/:-@\[-`{-~]+(?=[^\W_]|\s|\Z)"
+    r"| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+"
+)
 #: Words that a Python worker remembers in each of two generations; when the younger is full, the
 #: older is forgotten. This bounds its memory.
 REMEMBERED = 200_000
 #: Longer words are not remembered.
 LONGEST_REMEMBERED = 64
-_PLACES = 40
-_PLACE = (1 << _PLACES) - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,46 +79,47 @@ class BytePairCoder:
         A queue entry is one integer, the rank above the place. It is stale if the pair that now
         starts at its place has another rank.
         """
-        ids = [self.byte_ids[byte] for byte in word.encode("utf-8", "replace")]
+        ids = list(map(self.byte_ids.__getitem__, word.encode("utf-8", "replace")))
         count = len(ids)
         rank_of, merged_ids = self.ranks.get, self.merged_ids
-        queue = []
-        for place, pair in enumerate(zip(ids, ids[1:])):
-            rank = rank_of(pair)
-            if rank is not None:
-                queue.append(rank << _PLACES | place)
+        ranks = list(map(rank_of, zip(ids, ids[1:])))  # of the pair that starts at a place
+        bits = count.bit_length()  # short words have small entries
+        places = (1 << bits) - 1
+        queue = [rank << bits | place for place, rank in enumerate(ranks) if rank is not None]
         if not queue:
             return tuple(ids)
         heapify(queue)
         left, right = list(range(-1, count)), list(range(1, count + 1))
         ids.append(-1)  # stands behind the last symbol and merges with nothing
+        ranks.append(None)  # of the last symbol, which starts no pair
         while queue:
             entry = heappop(queue)
-            place = entry & _PLACE
-            follower = right[place]
-            if rank_of((ids[place], ids[follower])) != entry >> _PLACES:
+            place, rank = entry & places, entry >> bits
+            if ranks[place] != rank:
                 continue  # stale: one of the symbols was merged meanwhile
-            merged = ids[place] = merged_ids[entry >> _PLACES]
-            ids[follower] = -1
+            merged = ids[place] = merged_ids[rank]
+            follower = right[place]
+            ids[follower], ranks[follower] = -1, None
             after = right[place] = right[follower]
             left[after] = place
-            rank = rank_of((merged, ids[after]))
+            rank = ranks[place] = rank_of((merged, ids[after]))
             if rank is not None:
-                heappush(queue, rank << _PLACES | place)
+                heappush(queue, rank << bits | place)
             before = left[place]
             if before >= 0:
-                rank = rank_of((ids[before], merged))
+                rank = ranks[before] = rank_of((ids[before], merged))
                 if rank is not None:
-                    heappush(queue, rank << _PLACES | before)
-            right[follower] = count
+                    heappush(queue, rank << bits | before)
         return tuple([number for number in ids if number >= 0])
 
     def learned(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece that is not among those met lately; remembered if short."""
         found = self.older.get(piece)
         if found is None:
-            words = self.words.findall(piece)
-            found = self.word_ids(piece) if len(words) == 1 else self._joined(words)
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                found = self.word_ids(piece)  # letters alone are one word
+            else:
+                found = self._joined(self.words.findall(piece))
         if len(piece) <= LONGEST_REMEMBERED and len(self.known) <= REMEMBERED:
             self.known[piece] = found
         return found

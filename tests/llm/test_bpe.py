@@ -31,6 +31,19 @@ def test_special_and_long_texts(text):
     assert CODER.encode(text) == ids and CODER.decode(ids) == decoded
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aZé漢19²½ ,.!(_'-—\n\t\x1c\x85\xa0\u0301stll")))
+def test_pieces_end_where_words_end(text):
+    assert CODER.encode(text) == expected(text)[0]
+
+
+def test_punctuation_makes_no_new_words():
+    coder = BytePairCoder(open(PATH, encoding="utf-8").read())
+    for text in (" plonkish", " plonkish, plonkish. plonkish) plonkish; plonkish!"):
+        assert coder.encode(text) == expected(text)[0]
+    assert [piece for piece in coder.known if "plonk" in piece] == [" plonkish"]
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     import stratafold.llm.bpe as bpe
 
