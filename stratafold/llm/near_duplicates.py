@@ -10,11 +10,13 @@
    equal registers, corrected for accidental collisions, estimates the similarity; pairs that can
    reach the threshold are verified on their sets, and links make components.
 4. Groups that still hold several components may hide links between members that were not compared.
-   Their members go through an exact similarity join: shingles ordered by frequency, prefix, length
-   and positional filters, never two members of one component.
+   In groups of up to ``FEW`` classes every pair of two components is estimated and verified like
+   the pairs before, with a wider margin. The members of larger groups go through an exact similarity
+   join: shingles ordered by frequency, prefix, length and positional filters, never two members of
+   one component.
 
 With 24 bands of 5 registers, a pair at the threshold of 0.85 shares no group with a probability of
-1e-6; everything after that is exact.
+1e-6; of estimates with the wider margin one in 1e8 is too low. Everything else is exact.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ MANTISSA = 10
 PERCENT = 85
 #: Pairs are verified unless their estimate is this many standard deviations below the threshold.
 DEVIATIONS = 5.0
+#: Groups of up to this many classes are compared pair by pair; a class is in ``BANDS`` of them at most.
+FEW = 16
+FEW_DEVIATIONS = 6.5
 BROADCAST = 24 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -116,11 +121,19 @@ def _side(table: DataFrame, name: str) -> DataFrame:
     return F.broadcast(staged) if size <= BROADCAST else staged
 
 
-def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Full sets of the classes in ``wanted`` (``cls``, ``key`` of one of its rows), one row each."""
-    names = stage(wanted.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("_k"), F.lit(True).alias("_wanted")).distinct(), "wanted")
-    rows = df.select(F.col(key), F.col(text).alias("_text"))
-    near = lookup_join(rows, names, {"_k": F.coalesce(F.col(key).cast("string"), F.lit(""))}, broadcast_bytes=BROADCAST, population=rows)
+def _sets(df: DataFrame, key: str, text: str, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full sets of the classes in ``wanted`` (``cls``, ``key`` of one of its rows), one row each.
+
+    ``rows`` are the hashed rows. Only sets of keys that several rows have can stand there twice; the
+    others are not shuffled.
+    """
+    name = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    held = rows.select(name.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    asked = wanted.select("cls", name.alias("_k")).join(_side(held, "repeated-keys"), "_k", "left")
+    asked = stage(asked.select("cls", "_k", F.col("_n").isNotNull().alias("repeated")), "wanted")
+    names = asked.select("_k", F.lit(True).alias("_wanted"), F.col("repeated").alias("_repeated")).distinct()
+    texts = df.select(F.col(key), F.col(text).alias("_text"))
+    near = lookup_join(texts, stage(names, "wanted-keys"), {"_k": F.coalesce(F.col(key).cast("string"), F.lit(""))}, broadcast_bytes=BROADCAST, population=texts)
 
     def gathered(batches):
         for batch in batches:
@@ -129,13 +142,15 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                 [
                     pa.array([blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found], pa.binary()),
                     pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())),
+                    batch.column(1),
                 ],
-                ["cls", "shingles"],
+                ["cls", "shingles", "repeated"],
             )
 
-    made = near.where("_wanted").select("_text").mapInArrow(gathered, "cls binary, shingles array<bigint>")
-    exact = made.join(_side(wanted.select("cls"), "wanted-classes"), "cls", "left_semi")
-    return stage(exact.groupBy("cls").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    made = near.where("_wanted").select("_text", F.col("_repeated").alias("repeated")).mapInArrow(gathered, "cls binary, shingles array<bigint>, repeated boolean")
+    exact = stage(made.join(_side(asked.select("cls", "repeated"), "wanted-classes"), ["cls", "repeated"], "left_semi"), "shingle-sets")
+    again = exact.where("repeated").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return exact.where("NOT repeated").select("cls", "shingles").unionByName(stage(again, "repeated-sets"))
 
 
 def _linked(common: Column, n: Column, m: Column) -> Column:
@@ -152,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_linked(common, F.size("own"), F.size("other"))).select("a", "b")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """Pairs whose sizes and registers can belong to a link."""
     facts = classes.select("cls", "n", "registers")
     left = facts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")).join(_side(pairs, "pairs"), "a")
@@ -161,7 +176,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     both = lookup_join(left, stage(hubs, "hubs"), {"cls": F.col("b")}, broadcast_bytes=BROADCAST, population=pairs, spread="a")
     sized = both.where((100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")))
-    least = PERCENT / 100 - DEVIATIONS * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
+    least = PERCENT / 100 - deviations * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
 
     def passed(batches):
         for batch in batches:
@@ -226,10 +241,17 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, stage(pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
 
 
+def _few_pairs(unsettled: DataFrame) -> DataFrame:
+    """All pairs of members of a group (``key``) that belong to different components."""
+    left = unsettled.select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
+    right = unsettled.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
+    return left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+
+
 def _hidden_pairs(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs between different components of groups that hold several (``rooted``: ``cls``
     and the hash of the ``root`` of their members), by prefix, length and position."""
-    own = stage(rooted.join(sets, "cls").select("cls", "root", F.size("shingles").alias("n"), "shingles"), "unsettled-sets")
+    own = stage(sets.join(_side(rooted, "unsettled-roots"), "cls").select("cls", "root", F.size("shingles").alias("n"), "shingles"), "unsettled-sets")
     tokens = own.select("root", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min("root").alias("low"), F.max("root").alias("high"))
     shared = counts.where("freq > 1").select("token", "freq", (F.col("low") != F.col("high")).alias("mixed"))
@@ -279,15 +301,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     likely = stage(_estimated(pairs, classes), "likely-pairs")
     named = members.select("cls").distinct()
     wanted = stage(classes.join(named, "cls", "left_semi").select("cls", "key"), "members")
-    sets = _sets(df, key, text, wanted)
+    sets = _sets(df, key, text, rows, wanted)
     links = stage(_verified(likely, sets), "verified-links")
     found = components(links)
     # the pair of a group of two has been compared; only larger groups can hold pairs that have not
-    rooted = stage(_rooted(members.where("size > 2").drop("size"), found).withColumn("root", F.xxhash64("root")), "rooted-members")
+    rooted = stage(_rooted(members.where("size > 2"), found).withColumn("root", F.xxhash64("root")), "rooted-members")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    unsettled = stage(rooted.join(mixed, "key", "left_semi").select("cls", "root").distinct(), "unsettled")
-    hidden = stage(_hidden_pairs(unsettled, sets), "hidden-pairs")
-    more = _verified(hidden, sets)
+    unsettled = stage(rooted.join(mixed, "key", "left_semi"), "unsettled")
+    few = stage(_few_pairs(unsettled.where(F.col("size") <= FEW)), "few-pairs")
+    hidden = _hidden_pairs(unsettled.where(F.col("size") > FEW).select("cls", "root").distinct(), sets)
+    both = stage(hidden.unionByName(_estimated(few, classes, FEW_DEVIATIONS)).distinct(), "hidden-pairs")
+    more = _verified(both, sets)
     stars = found.select(F.col("cls").alias("a"), F.col("root").alias("b"))  # as good as the links they stand for
     found = components(stars.unionByName(more))
     return _named_rows(rows, classes, found, key)

@@ -68,6 +68,34 @@ def test_groups_chains_and_odd_rows(docs):
     assert found(docs(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_links_inside_small_and_large_groups(docs, monkeypatch, few):
+    """Pairs that no hub shows are found pair by pair in small groups and by the join in large ones."""
+    joined = []
+    real = near._hidden_pairs
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "_hidden_pairs", lambda rooted, sets: (joined.append(rooted.count()), real(rooted, sets))[1])
+    rng = random.Random(3)
+    base = [f"w{n}" for n in range(120)]
+    rows = []
+    for pair in range(8):
+        left = edited(base, 0.03, rng)
+        right = list(left)
+        right[rng.randrange(120)] = "other"
+        rows += [(2 * pair, " ".join(left)), (2 * pair + 1, " ".join(right))]
+    assert found(docs(rows)) == brute(rows)
+    assert (joined[0] == 0) == (few > 0)
+
+
+def test_one_set_per_class_of_repeated_keys(docs):
+    one, other = (" ".join(f"{c}{n}" for n in range(30)) for c in "ab")
+    df = docs([(1, one), (1, other), (0, other), (None, one), (2, "c " + one)])
+    rows = near._hashed_rows(df, "doc_id", "text").localCheckpoint()
+    wanted = rows.groupBy("cls").agg(near.F.min("key").alias("key")).localCheckpoint()
+    sets = near._sets(df, "doc_id", "text", rows, wanted)
+    assert sorted(r.cls for r in sets.collect()) == sorted(r.cls for r in wanted.collect())
+
+
 def test_links_hidden_from_the_centres_are_found(docs):
     """Without any registers to compare, only the similarity join can find links beyond the hubs'."""
     rng = random.Random(9)
