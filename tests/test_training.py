@@ -6,11 +6,13 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.sql import functions as F
 
 from stratafold.operators.ensemble import coverage
+from stratafold.operators.folds import nested_folds
+from stratafold.plans.fold_matrix import encode_all_folds, vectors_of_all_folds
 from stratafold.plans.pipeline import run_pipeline
 from stratafold.plans.runs import stored_names
 from stratafold.plans.training import boosted_trees, cross_validated_fit
 from stratafold.schema import ID, LABEL, MatrixColumns, table_schema
-from stratafold.session import shared_dir
+from stratafold.session import shared_dir, stage
 from stratafold.sources.sinks import write_table
 from stratafold.sources.subjects import subjects
 from stratafold.sources.tables import read_table
@@ -23,6 +25,19 @@ def rows(spark):
     return view.where("split = 'train'").drop("split"), view.where("split = 'test'").drop("split", LABEL)
 
 
+def test_every_row_is_stored_once_with_a_vector_per_fold(spark, rows):
+    train = nested_folds(rows[0].withColumn("gap", F.when(F.col(ID) % 3 > 0, F.col("tenure") / 7)), LABEL, ID, 3, 3, 42)
+    tested = rows[1].withColumn("gap", F.lit(None).cast("double"))
+    given = [stage(train, "rows"), tested, MatrixColumns(["Contract"], []), 3, 3, LABEL, ID]
+    wide = encode_all_folds(*given)
+    found = vectors_of_all_folds(*given)
+    assert found[2] == wide[2] and "gap" in found[2]
+    for long, stored, source in ((wide[0], found[0], train), (wide[1], found[1], tested)):
+        assert stored.count() == source.count()
+        expected = {(r[ID], r["held_out"]): [float(r[c]) for c in wide[2]] for r in long.collect()}
+        assert expected == {(r[ID], k): list(r[f"features_{k}"]) for r in stored.collect() for k in range(3)}
+
+
 def test_any_estimator_learns_the_planted_label(rows):
     found = cross_validated_fit(*rows, MatrixColumns(["Contract"], []), LogisticRegression(maxIter=5), 3, 3)
     assert found.features == ["tenure"] + [f"TE_Contract_{s}" for s in ("mean", "std", "min", "max")]
