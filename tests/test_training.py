@@ -1,5 +1,7 @@
 """Cross-validation, files and the whole run."""
 
+from threading import Barrier
+
 import pytest
 from conftest import SF_DIR
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
@@ -49,6 +51,27 @@ def test_any_estimator_learns_the_planted_label(rows):
     assert 0 <= low <= high <= 1 and found.submission().count() == rows[1].count()
 
 
+class Meeting(LogisticRegression):
+    """An estimator whose fits wait for each other."""
+
+    barrier = None
+
+    def _fit(self, dataset):
+        Meeting.barrier.wait()
+        return super()._fit(dataset)
+
+
+def test_folds_are_fitted_at_once_as_one_by_one(rows):
+    given = [*rows, MatrixColumns(["Contract"], [])]
+    found = []
+    for parallelism in (1, 3):
+        Meeting.barrier = Barrier(parallelism, timeout=60)
+        whole = cross_validated_fit(*given, Meeting(maxIter=5), 3, 3, parallelism=parallelism)
+        places = [r["fold"] for r in whole.test_predictions.groupBy("fold").count().orderBy("fold").collect()]
+        found.append((places, {r[ID]: (r["fold"], round(r["oof_pred"], 9)) for r in whole.oof.collect()}, [model.numFeatures for model in whole.models]))
+    assert found[0] == found[1] and found[0][0] == [0, 1, 2]
+
+
 def test_the_whole_run_from_files(spark, tmp_path):
     view = subjects(spark, SF_DIR)
     for split in ("train", "test", "orig"):
