@@ -4,17 +4,20 @@ from threading import Barrier
 
 import pytest
 from conftest import SF_DIR
+from numpy import float32
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from stratafold.operators.ensemble import coverage
 from stratafold.operators.folds import nested_folds
 from stratafold.plans.fold_matrix import encode_all_folds, vectors_of_all_folds
 from stratafold.plans.pipeline import run_pipeline
 from stratafold.plans.runs import stored_names
-from stratafold.plans.training import boosted_trees, cross_validated_fit
+from stratafold.plans.training import _fits_at_once, boosted_trees, cross_validated_fit, predicted
 from stratafold.schema import ID, LABEL, MatrixColumns, table_schema
-from stratafold.session import shared_dir, stage
+from stratafold.session import shared_dir, stage, stage_vectors, storage_bytes
 from stratafold.sources.sinks import write_table
 from stratafold.sources.subjects import subjects
 from stratafold.sources.tables import read_table
@@ -51,6 +54,39 @@ def test_any_estimator_learns_the_planted_label(rows):
     assert 0 <= low <= high <= 1 and found.submission().count() == rows[1].count()
 
 
+def test_vectors_are_stored_in_single_precision(spark):
+    given = {k: [k / 7, -1.0, 0.0, k * 1e5] for k in range(50)}
+    df = spark.createDataFrame(list(given.items()), "id int, v array<double>")
+    stored = stage_vectors(df, ["v"], "vectors")
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(folder).schema["v"].dataType["values"].dataType.elementType == FloatType()
+    for vectorized in ("true", "false"):
+        spark.conf.set("spark.sql.parquet.enableVectorizedReader", vectorized)
+        found = {r["id"]: r["v"] for r in stored.collect()}
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+        assert found == {k: DenseVector([float32(x) for x in numbers]) for k, numbers in given.items()}
+
+
+def test_no_more_folds_are_fitted_than_storage_holds(spark):
+    assert [_fits_at_once(gb << 30, 4_320_000, 174, 3) for gb in (1, 6, 10, 20, 60)] == [1, 1, 2, 3, 3]
+    assert _fits_at_once(0, 0, 0, 3) == 1 and storage_bytes(spark) > 1 << 30
+
+
+def test_test_rows_are_predicted_in_one_pass_without_stored_vectors(spark, rows):
+    train = stage(nested_folds(rows[0], LABEL, ID, 3, 3, 42), "rows")
+    columns = MatrixColumns(["Contract"], [])
+    before = {r["name"] for r in stored_names(spark, shared_dir(spark)).collect()}
+    found = cross_validated_fit(train, rows[1], columns, LogisticRegression(maxIter=5), 3, 3)
+    added = {r["name"].rsplit("-", 1)[0] for r in stored_names(spark, shared_dir(spark)).collect()} - before
+    assert "matrices" in added and "test" in added and "test-matrices" not in added
+    tested = vectors_of_all_folds(train, rows[1], columns, 3, 3, LABEL, ID)[1]
+    expected = {}
+    for k, model in enumerate(found.models):
+        expected |= {(r[ID], k): r["prediction"] for r in predicted(model, tested.select(ID, F.col(f"features_{k}").alias("features"))).collect()}
+    assert found.test_predictions.columns == [ID, "fold", "prediction"]
+    assert expected == {(r[ID], r["fold"]): pytest.approx(r["prediction"], abs=1e-12) for r in found.test_predictions.collect()}
+
+
 class Meeting(LogisticRegression):
     """An estimator whose fits wait for each other."""
 
