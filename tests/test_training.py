@@ -12,7 +12,7 @@ from pyspark.sql.types import FloatType
 
 from stratafold.operators.ensemble import coverage
 from stratafold.operators.folds import nested_folds
-from stratafold.plans.fold_matrix import encode_all_folds, vectors_of_all_folds
+from stratafold.plans.fold_matrix import encode_all_folds, key_cells, vectors_of_all_folds
 from stratafold.plans.pipeline import run_pipeline
 from stratafold.plans.runs import stored_names
 from stratafold.plans.training import _fits_at_once, boosted_trees, cross_validated_fit, predicted
@@ -87,6 +87,24 @@ def test_test_rows_are_predicted_in_one_pass_without_stored_vectors(spark, rows)
     assert expected == {(r[ID], r["fold"]): pytest.approx(r["prediction"], abs=1e-12) for r in found.test_predictions.collect()}
 
 
+def test_counts_of_all_folds_are_those_of_every_fold_alone(spark):
+    """Also where a cell has no label at all, and where a key is in one fold only."""
+    rows = spark.range(300).selectExpr(
+        "cast(id % 3 AS int) AS fold", "cast(id DIV 3 % 4 AS int) AS inner_fold", "concat('k', id * 7 % 11) AS Contract",
+        "CASE WHEN id % 3 = 1 AND id DIV 3 % 4 = 2 AND id * 7 % 11 < 5 THEN NULL ELSE cast(id % 5 = 0 AS int) END AS Churn",
+    ).unionByName(spark.createDataFrame([(0, 0, "once", 1), (1, 3, "blank", None)], "fold int, inner_fold int, Contract string, Churn int"))
+    columns = MatrixColumns(["Contract"], [])
+    cells = key_cells(stage(rows, "rows"), columns, LABEL, "inner_fold", 4, "fold")
+    whole = cells.all_stats(rows, LABEL, 3)
+    slots = whole.slots()
+    for held_out in range(3):
+        alone = {r["value"]: r["numbers"] for r in cells.stats(0.5, held_out).numbers.table.collect()}
+        for row in whole.numbers.table.collect():
+            for stat in range(4):
+                found = row["numbers"][stat * slots + held_out * 5:stat * slots + held_out * 5 + 5]
+                assert found == alone.get(row["value"], [None] * 20)[stat * 5:stat * 5 + 5], (row["value"], held_out, stat)
+
+
 class Meeting(LogisticRegression):
     """An estimator whose fits wait for each other."""
 
