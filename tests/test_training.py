@@ -17,7 +17,7 @@ from stratafold.plans.pipeline import run_pipeline
 from stratafold.plans.runs import stored_names
 from stratafold.plans.training import _fits_at_once, boosted_trees, cross_validated_fit, predicted
 from stratafold.schema import ID, LABEL, MatrixColumns, table_schema
-from stratafold.session import shared_dir, stage, stage_vectors, storage_bytes
+from stratafold.session import computed, shared_dir, stage, stage_vectors, storage_bytes
 from stratafold.sources.sinks import write_table
 from stratafold.sources.subjects import subjects
 from stratafold.sources.tables import read_table
@@ -105,6 +105,14 @@ def test_counts_of_all_folds_are_those_of_every_fold_alone(spark):
                 assert found == alone.get(row["value"], [None] * 20)[stat * 5:stat * 5 + 5], (row["value"], held_out, stat)
 
 
+def test_what_is_computed_is_not_merged_into_what_follows(spark):
+    df = spark.range(5).select("id", (F.col("id") * 7 + 1).alias("x"))
+    apart = computed(df)
+    assert apart.columns == df.columns and sorted(apart.collect()) == sorted(df.collect())
+    plan = apart.select(F.transform(F.array("x"), lambda v: v + 1).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "lambda" in line and "* 7" in line] and "* 7" in plan
+
+
 class Meeting(LogisticRegression):
     """An estimator whose fits wait for each other."""
 
