@@ -10,9 +10,10 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
+from stratafold.operators.encode import apply_all_folds
 from stratafold.operators.ensemble import coverage
 from stratafold.operators.folds import nested_folds
-from stratafold.plans.fold_matrix import encode_all_folds, key_cells, vectors_of_all_folds
+from stratafold.plans.fold_matrix import encode_all_folds, key_cells, vectors_of_all_folds, wanted_stats
 from stratafold.plans.pipeline import run_pipeline
 from stratafold.plans.runs import stored_names
 from stratafold.plans.training import _fits_at_once, boosted_trees, cross_validated_fit, predicted
@@ -113,6 +114,36 @@ def test_what_is_computed_is_not_merged_into_what_follows(spark):
     assert not [line for line in plan.split("\n") if "lambda" in line and "* 7" in line] and "* 7" in plan
 
 
+def shuffled_columns(df):
+    """What the left sides of a plan's joins hold."""
+    def walk(node):
+        children = [node.children().apply(at) for at in range(node.children().length())]
+        own = [children[0].output().mkString(",")] if node.nodeName() == "Join" else []
+        return own + [found for child in children for found in walk(child)]
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def test_large_lookups_shuffle_packed_rows_with_their_own_slots(spark, rows):
+    def keyed(df):
+        return df.withColumn("gap", F.when(F.col(ID) % 3 > 0, F.col("tenure") / 7)).withColumn("who", F.concat(F.lit("w"), F.col(ID) % 301)).withColumn("whom", F.col(ID) % 283)
+
+    train = stage(nested_folds(keyed(rows[0]), LABEL, ID, 3, 3, 42), "rows")
+    given = [train, keyed(rows[1]), MatrixColumns(["who", "Contract", "whom"], []), 3, 3, LABEL, ID]
+    found = [encode_all_folds(*given, options) for options in (None, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "dictionaries": False})]
+    assert found[0][2] == found[1][2] == found[2][2] and len(found[0][2]) == 14
+    for place in (0, 1):
+        sides = [sorted(encoded[place].select(*found[0][place].columns).collect()) for encoded in found]
+        assert sides[0] == sides[1] == sides[2] and len(sides[0]) == 3 * given[place].count()
+    cells = key_cells(train, given[2], LABEL, "inner_fold", 3, "fold")
+    wide = apply_all_folds(train, found[0][3], wanted_stats(cells.columns), "held_out", "fold", "inner_fold", broadcast_bytes=0)
+    names = [c for c in found[0][2] if c.startswith("TE_")]
+    assert sorted(wide.select(ID, "held_out", *names).collect()) == sorted(found[0][0].select(ID, "held_out", *names).collect())
+    held = shuffled_columns(found[1][0])
+    assert any("_found_" in columns for columns in held)  # a second lookup comes after the first
+    assert not [columns for columns in held if "gap#" in columns or "Contract#" in columns]
+
+
 class Meeting(LogisticRegression):
     """An estimator whose fits wait for each other."""
 
